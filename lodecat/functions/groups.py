@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodecat.fixed import table, terms
-from lodecat.functions.text import blank, lit_map
+from lodecat.functions.text import blank, let, lit_array, lit_map
 
 STOP_PARTS = ["and", "vs", "of", "or", "the", "with", "replicate", "replicates"]
 # How group names are announced in design texts, with their capture groups.
@@ -41,11 +41,11 @@ def group_token(name: Column) -> Column:
 
 def group_name(token: Column, names: Mapping[str, str] | None = None) -> Column:
     """Known token, else the first known prefix, else the token in title case."""
-    names = names or table("group_names")
-    known = F.element_at(lit_map(names), token)
-    prefix = F.get(F.filter(
-        F.array(*[F.lit(k) for k in names]), lambda k: F.startswith(token, k)), F.lit(0))
-    return F.coalesce(known, F.element_at(lit_map(names), prefix), title_case(token))
+    names = table("group_names") if names is None else names
+    known = lambda k: F.element_at(lit_map(names), k)
+    prefix = lambda t: F.get(F.filter(
+        lit_array(names), lambda k: F.startswith(t, k)), F.lit(0))
+    return let(token, lambda t: F.coalesce(known(t), known(prefix(t)), title_case(t)))
 
 
 def groups_from_text(title: Column, design: Column, samples: Column) -> Column:
@@ -57,7 +57,7 @@ def groups_from_text(title: Column, design: Column, samples: Column) -> Column:
     names = F.filter(
         F.array(*parts),
         lambda p: (p != "") & ~p.rlike("^[0-9]+$") & ~p.isin(*STOP_PARTS))
-    names = F.array_distinct(F.filter(F.transform(names, group_name), lambda n: n != ""))
+    names = F.array_distinct(F.filter(F.transform(names, lambda n: group_name(n)), lambda n: n != ""))
     group = lambda n, k: F.struct(n.alias("name"), k.cast("long").alias("n"))
     half = F.floor(samples / 2)
     split = (F.when(samples >= 4, F.array(group(F.lit("case"), half),

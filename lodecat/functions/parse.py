@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodecat.fixed import terms
-from lodecat.functions.text import blank
+from lodecat.functions.text import blank, has_any, last_wins
 
 
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
@@ -117,11 +117,8 @@ def attribute_lines(text: Column) -> Column:
     key = lambda x: F.replace(
         F.lower(F.trim(F.substring_index(x, ":", 1))), F.lit(" "), F.lit("_"))
     value = lambda x: F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x)))
-    pairs = F.transform(lines, lambda x: F.struct(key(x).alias("key"), value(x).alias("value")))
-    keys = F.transform(pairs, lambda p: p["key"])
-    last = F.filter(pairs, lambda p, i: ~F.array_contains(
-        F.slice(keys, i + 2, F.size(keys)), p["key"]))
-    return F.map_from_entries(last)
+    return last_wins(F.transform(
+        lines, lambda x: F.struct(key(x).alias("key"), value(x).alias("value"))))
 
 
 ANSWER = T.StructType([
@@ -176,7 +173,6 @@ def prefer_answer(answer: Column, fact: Column) -> Column:
 def availability(status: Column, access_text: Column, consent: Column, runs: Column,
                  min_samples: int = 1) -> dict[str, Column]:
     """Availability, access type and note of a landed study status."""
-    from lodecat.functions.text import has_any
     state = F.lower(blank(status))
     gone = state.isin(*terms.WITHDRAWN)
     text = F.lower(blank(access_text))

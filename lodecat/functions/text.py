@@ -159,11 +159,27 @@ def best_phrase(text: Column, ranked: Sequence[tuple], fields: Sequence[str]) ->
     return F.array_min(F.transform(hits, lambda h: F.element_at(known, h)))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` over a value that is worked out once per row.
+
+    A lambda evaluates all it holds for every element, so what does not depend on the
+    element is bound outside first.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def distinct_ignoring_case(terms: Column) -> Column:
     """Distinct by lower-cased, blank-collapsed form; the first spelling stays."""
     norm = lambda t: F.trim(F.regexp_replace(F.lower(t), r"\s+", " "))
-    keys = F.transform(terms, norm)
-    return F.filter(terms, lambda t, i: F.array_position(keys, norm(t)) == i + 1)
+    return let(terms, lambda ts: let(F.transform(ts, norm), lambda ks: F.filter(
+        ts, lambda t, i: F.array_position(ks, F.element_at(ks, i + 1)) == i + 1)))
+
+
+def last_wins(pairs: Column) -> Column:
+    """(key, value) structs to a map; of equal keys the last one counts."""
+    return let(pairs, lambda ps: let(F.transform(ps, lambda p: p["key"]), lambda ks:
+        F.map_from_entries(F.filter(ps, lambda p, i: ~F.array_contains(
+            F.slice(ks, i + 2, F.size(ks)), p["key"])))))
 
 
 def ordered_union(*arrays: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodecat.fixed import terms
 from lodecat.functions.parse import accession_type
-from lodecat.functions.text import blank
+from lodecat.functions.text import blank, distinct_ignoring_case
 from lodecat.operators.order import top_per_key
 from lodecat.session import cut_lineage
 
@@ -182,7 +182,6 @@ def expand_abbreviations(names: DataFrame, abbreviations: DataFrame) -> DataFram
 
     ``abbreviations`` has key (upper case), search_terms, related_diseases, related_organs.
     """
-    from lodecat.functions.text import distinct_ignoring_case
     joined = names.join(abbreviations, F.upper(F.trim("name")) == F.col("key"), "left")
     terms_ = distinct_ignoring_case(F.concat(
         "search_terms", "related_diseases", "related_organs"))

@@ -60,11 +60,14 @@ def match_all(df: DataFrame, key: str, text: Column, vocab: DataFrame) -> DataFr
     widths = sorted(r[0] for r in terms.select(
         F.size(F.split("term", runs)).alias("n")).distinct().collect())  # a few numbers
     pieces = df.select(key, F.split(squash(text), runs).alias("_runs"))
-    sequences = F.flatten(F.array(*[
-        F.when(F.size("_runs") >= n, F.transform(
-            F.sequence(F.lit(1), F.size("_runs") - n + 1),
-            lambda i, n=n: F.array_join(F.slice("_runs", i, n), "")))
-        .otherwise(F.array().cast("array<string>")) for n in widths])) if widths else F.array()
+    def of_width(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.size("_runs") - n + 1)
+        return F.when(F.size("_runs") >= n, F.transform(
+            places, lambda i: F.array_join(F.slice("_runs", i, n), ""))).otherwise(
+                F.array().cast("array<string>"))
+
+    sequences = F.flatten(F.array(*[of_width(n) for n in widths])) if widths \
+        else F.array().cast("array<string>")
     grams = pieces.select(key, F.explode(F.array_distinct(sequences)).alias("term"))
     return grams.join(terms, "term").select(key, "term", *FIELDS, "rank")
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from lodecat.fixed import terms
 from lodecat.functions.classify import library_classes
 from lodecat.functions.parse import attribute_lines, series_ids
-from lodecat.functions.text import blank, squash
+from lodecat.functions.text import blank, last_wins, squash
 from lodecat.operators.order import first_per_key
 
 
@@ -234,11 +234,8 @@ def _after_term(name: str) -> Column:
 def _pairs(html: Column) -> Column:
     """Two-cell table rows to a map; the last row of a name wins."""
     cells = F.filter(F.transform(_rows(html), _cells), lambda c: F.size(c) == 2)
-    pairs = F.transform(cells, lambda c: F.struct(
-        _plain(F.get(c, F.lit(0))).alias("key"), _plain(F.get(c, F.lit(1)), " ").alias("value")))
-    keys = F.transform(pairs, lambda p: p["key"])
-    return F.map_from_entries(F.filter(pairs, lambda p, i: ~F.array_contains(
-        F.slice(keys, i + 2, F.size(keys)), p["key"])))
+    return last_wins(F.transform(cells, lambda c: F.struct(
+        _plain(F.get(c, F.lit(0))).alias("key"), _plain(F.get(c, F.lit(1)), " ").alias("value"))))
 
 
 def parse_biosample_pages(df: DataFrame) -> DataFrame:

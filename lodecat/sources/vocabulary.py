@@ -53,18 +53,16 @@ def read_ontology(spark: SparkSession, path: str, domain: str,
 
 
 def seed_entries(spark: SparkSession, domains: Sequence[str] = tuple(ROOTS)) -> DataFrame:
-    """The small vocabulary that ships with the package."""
-    parts = [read_ontology(spark, f"file://{SEED / (d + '.json')}", d) for d in domains]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    """The small vocabulary that ships with the package (four files of a few kilobytes, read
+    by the driver because only it is sure to have the package folder)."""
+    out = None
+    for d in domains:
+        body = pa.table({"body": [(SEED / f"{d}.json").read_text("utf-8")], "seq": [d]})
+        part = parse_entries(spark.createDataFrame(body), d, ROOTS[d])
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-def seed_list(spark: SparkSession) -> list[str]:
-    return [str(SEED / f"{d}.json") for d in ROOTS]
-
-
 def entry_granularity(category: Column, key: Column) -> Column:
     low = F.lower(category)
     return (F.when(F.contains(low, F.lit("single"))
@@ -98,12 +96,13 @@ def vocab_terms(entries: DataFrame, matching_only: bool = False) -> DataFrame:
     weight = lambda kind: F.coalesce(*[
         F.when((F.col("domain") == d) & F.lit(k == kind), w)
         for d, pairs in WEIGHTS.items() for k, w in pairs])
-    blocks = [F.transform(
-        F.array(single[k]) if k in single else F.col(_SOURCE[k]),
-        lambda t, i, k=k, n=n: F.struct(
-            F.lower(t).alias("term"), t.alias("label"), F.lit(k).alias("kind"),
-            weight(k).cast("double").alias("weight"), F.lit(n).alias("k"), i.alias("i")))
-        for n, k in enumerate(kinds)]
+    def block(n: int, kind: str) -> Column:
+        words = F.array(single[kind]) if kind in single else F.col(_SOURCE[kind])
+        return F.transform(words, lambda t, i: F.struct(
+            F.lower(t).alias("term"), t.alias("label"), F.lit(kind).alias("kind"),
+            weight(kind).cast("double").alias("weight"), F.lit(n).alias("k"), i.alias("i")))
+
+    blocks = [block(n, k) for n, k in enumerate(kinds)]
     rows = entries.withColumn("t", F.explode(F.flatten(F.array(*blocks)))).filter("t.term <> ''")
     if matching_only:
         rows = rows.filter("t.weight is not null")
