@@ -16,13 +16,31 @@ from pyspark.sql import functions as F
 Classes = Sequence[tuple[str, Sequence[str]]]
 
 
+def constant(value) -> str:
+    """SQL text of a constant.  Large constants are built as one expression: a call per
+    literal would cost more than planning the query."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, float):
+        return f"{value!r}D"
+    if isinstance(value, dict):
+        fields = ", ".join(f"'{k}', {constant(v)}" for k, v in value.items())
+        return f"named_struct({fields})"
+    if isinstance(value, (list, tuple)):
+        return f"array({', '.join(map(constant, value))})"
+    return str(value)
+
+
 def lit_array(values: Iterable[str]) -> Column:
     values = list(values)
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    return F.expr(constant(values)) if values else F.array().cast("array<string>")
 
 
-def lit_map(pairs: Mapping[str, str | float]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+def lit_map(pairs: Mapping[str, object]) -> Column:
+    flat = [x for kv in pairs.items() for x in kv]
+    return F.expr(f"map({', '.join(map(constant, flat))})")
 
 
 def blank(col: Column) -> Column:
@@ -151,10 +169,8 @@ def best_phrase(text: Column, ranked: Sequence[tuple], fields: Sequence[str]) ->
     ranks: dict[str, tuple] = {}
     for rank, (term, *values) in enumerate(ranked):
         ranks.setdefault(term, (rank, values))
-    struct = lambda rank, values: F.struct(
-        F.lit(rank).alias("rank"), *[F.lit(v).alias(f) for f, v in zip(fields, values)])
-    known = F.create_map(
-        *[x for t, (r, v) in ranks.items() for x in (F.lit(t), struct(r, v))])
+    known = lit_map({t: {"rank": rank, **dict(zip(fields, values))}
+                     for t, (rank, values) in ranks.items()})
     hits = phrases_at_boundaries(text, ranks)
     return F.array_min(F.transform(hits, lambda h: F.element_at(known, h)))
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodecat.functions.text import (
-    all_classes, blank, distinct_ignoring_case, lit_array, ordered_union,
+    all_classes, blank, constant, distinct_ignoring_case, lit_array, lit_map, ordered_union,
     phrases_at_boundaries, remove_phrases,
 )
 
@@ -26,11 +26,11 @@ def _lookup(pairs: dict, key: Column) -> Column:
     if not pairs:
         some = F.lit(None)
         return some.cast("string")
-    lists = isinstance(next(iter(pairs.values())), list)
-    flat = []
-    for k, v in pairs.items():
-        flat += [F.lit(k), lit_array(v) if lists else F.lit(v)]
-    return F.element_at(F.create_map(*flat), key)
+    if isinstance(next(iter(pairs.values())), list):
+        inner = ", ".join(f"{constant(k)}, {constant(v) if v else 'cast(array() as array<string>)'}"
+                          for k, v in pairs.items())
+        return F.element_at(F.expr(f"map({inner})"), key)
+    return F.element_at(lit_map(pairs), key)
 
 
 def _lists(pairs: dict, key: Column) -> Column:

@@ -198,7 +198,7 @@ def section_key(name: str) -> str:
 
 def parse_record_pages(df: DataFrame) -> DataFrame:
     """Labelled sections and sample count of record pages."""
-    lines = F.transform(_rows(F.col("body")), _plain)
+    lines = F.transform(_rows(F.col("body")), lambda r: _plain(r))
     value = lambda name: F.trim(F.substring(
         F.get(F.filter("_lines", lambda x: F.startswith(x, F.lit(name))), F.lit(0)),
         len(name) + 1, 1 << 30))
@@ -217,7 +217,7 @@ def parse_supplementary_listing(df: DataFrame) -> DataFrame:
     path as name do not count.
     """
     body = F.regexp_extract("body", r"(?s)<tbody[^>]*>(.*)</tbody>", 1)
-    cells = F.transform(_rows(body), lambda r: F.transform(_cells(r), _plain))
+    cells = F.transform(_rows(body), lambda r: F.transform(_cells(r), lambda x: _plain(x)))
     good = F.filter(cells, lambda c: (F.size(c) >= 4) & (F.get(c, F.lit(0)) != "")
                     & ~F.startswith(F.get(c, F.lit(0)), F.lit("/")))
     files = F.transform(good, lambda c: F.struct(
@@ -233,7 +233,7 @@ def _after_term(name: str) -> Column:
 
 def _pairs(html: Column) -> Column:
     """Two-cell table rows to a map; the last row of a name wins."""
-    cells = F.filter(F.transform(_rows(html), _cells), lambda c: F.size(c) == 2)
+    cells = F.filter(F.transform(_rows(html), lambda r: _cells(r)), lambda c: F.size(c) == 2)
     return last_wins(F.transform(cells, lambda c: F.struct(
         _plain(F.get(c, F.lit(0))).alias("key"), _plain(F.get(c, F.lit(1)), " ").alias("value"))))
 

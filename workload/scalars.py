@@ -1,5 +1,7 @@
 """Scalar functions H1-H45 over whole derived tables."""
 
+from functools import cache
+
 from pyspark.sql import functions as F
 
 from lodecat.fixed import table as fixed, terms
@@ -11,7 +13,7 @@ from lodecat.plans.inference import (
     single_cell_terms, text_granularity,
 )
 from lodecat.plans.queries import parse_queries
-from lodecat.sources.vocabulary import seed_entries, vocab_terms
+from lodecat.sources.vocabulary import keyword_vocab, seed_entries, vocab_terms
 from workload.derived import AS_OF, QUERY, records, table
 from workload.registry import query
 from workload.sqltext import (
@@ -703,14 +705,11 @@ def h45(spark, sf):
     return parse_queries(table(spark, sf, "datasets"), "title").select("gse_id", "has_meaning")
 
 
+@cache
 def vocabularies(spark):
+    """Read once per session, as a job would."""
     return Vocabularies.of(vocab_terms(seed_entries(spark), matching_only=True),
-                           keyword_vocab_terms(spark))
-
-
-def keyword_vocab_terms(spark):
-    from lodecat.sources.vocabulary import keyword_vocab
-    return keyword_vocab(spark, terms.DISEASE_TERMS)
+                           keyword_vocab(spark, terms.DISEASE_TERMS))
 
 
 INFER_CTE = (D_CTE + SC_HIT + ", " + best_("hd", "d", "gse_id", "txt", disease_rows()) + ", "

@@ -1,5 +1,7 @@
 """Text matching family M1-M10."""
 
+from functools import cache
+
 from pyspark.sql import functions as F
 
 from lodecat.fixed import table as fixed, terms
@@ -19,8 +21,10 @@ from workload.sqltext import (
 TEXT = "concat(title, ' ', abstract, ' ', overall_design)"
 
 
-def title_join(s="|"):
-    return lambda c: F.array_join(c, s)
+@cache
+def knowledge(spark):
+    """Read once per session, as a job would."""
+    return Knowledge.of(seed_entries(spark))
 
 
 def disease_rows():
@@ -155,7 +159,7 @@ _DISEASE_NAMES = [n.lower() for k, e in seed("disease").items() for n in [k, *e[
        f"title, '\\s+', ' ', 'g')), {q('(?i)(?:(?:' + _phrase_alt(_DISEASE_NAMES) + ')(?: |$)|[^ ]+(?: |$))')}), "
        "lambda x: rtrim(x)), '|') AS tokens FROM datasets", "datasets")
 def m8(spark, sf):
-    know = Knowledge.of(seed_entries(spark))
+    know = knowledge(spark)
     return table(spark, sf, "datasets").select("gse_id", F.array_join(
         query_tokens(F.col("title"), know.disease.names), "|").alias("tokens"))
 
@@ -182,7 +186,7 @@ def known_phrases():
          "SELECT gse_id, concat_ws('|', found, nullif(rest, '')) AS entities FROM datasets LEFT JOIN p "
          "USING (gse_id) LEFT JOIN w USING (gse_id)", "datasets")
 def m9(spark, sf):
-    know = Knowledge.of(seed_entries(spark))
+    know = knowledge(spark)
     return table(spark, sf, "datasets").select(
         "gse_id", F.array_join(know.phrases(F.col("title")), "|").alias("entities"))
 
