@@ -137,7 +137,7 @@ def study_links(packages: DataFrame) -> DataFrame:
 def cache_stats(index: DataFrame, as_of: datetime, ttl_hours: float) -> DataFrame:
     """Total, valid and expired entries and bytes."""
     old = (F.lit(as_of).cast("timestamp").cast("double")
-           - F.col("cached_at").cast("double")) / 3600 > ttl_hours
+           - F.col("cached_at").cast("timestamp").cast("double")) / 3600 > ttl_hours
     return index.agg(F.count(F.lit(1)).alias("total"), F.count_if(~old).alias("valid"),
                      F.count_if(old).alias("expired"), F.sum("bytes").alias("bytes"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodecat.functions.text import best_phrase, blank, squash
+from lodecat.session import spread
 
 INLINE_TERMS = 5000
 FIELDS = ("canonical", "weight", "granularity")
@@ -42,7 +43,7 @@ def match_best(df: DataFrame, key: str, text: Column, vocab: DataFrame, out: str
         if not terms:
             return df.withColumn(out, F.lit(None).cast(
                 "struct<canonical:string,weight:double,granularity:string>"))
-        found = df.withColumn("_t", squash(text)).withColumn(
+        found = spread(df).withColumn("_t", squash(text)).withColumn(
             "_b", best_phrase(F.col("_t"), terms, FIELDS))
         return found.withColumn(out, F.when(F.col("_b").isNotNull(), F.struct(
             *[F.col("_b")[f].alias(f) for f in FIELDS]))).drop("_t", "_b")
@@ -59,7 +60,7 @@ def match_all(df: DataFrame, key: str, text: Column, vocab: DataFrame) -> DataFr
         F.min_by(F.struct(*FIELDS, "rank"), "rank").alias("_best")).select("term", "_best.*")
     widths = sorted(r[0] for r in terms.select(
         F.size(F.split("term", runs)).alias("n")).distinct().collect())  # a few numbers
-    pieces = df.select(key, F.split(squash(text), runs).alias("_runs"))
+    pieces = spread(df.select(key, text.alias("_text"))).select(key, F.split(squash(F.col("_text")), runs).alias("_runs"))
     def of_width(n: int) -> Column:
         places = F.sequence(F.lit(1), F.size("_runs") - n + 1)
         return F.when(F.size("_runs") >= n, F.transform(

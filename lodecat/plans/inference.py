@@ -11,6 +11,7 @@ from lodecat.fixed import terms
 from lodecat.functions import classify, groups as g, render
 from lodecat.functions.text import best_phrase, blank, has_any, join_text, squash
 from lodecat.operators.matching import FIELDS, small_terms
+from lodecat.session import spread
 
 
 @dataclass(frozen=True)
@@ -85,8 +86,8 @@ def infer(records: DataFrame, vocab: Vocabularies, groups: DataFrame | None = No
     without samples are read from their design text.  ``platforms`` names platform codes (H8).
     """
     c = F.col
-    rows = records.withColumn("_text", squash(join_text(c("title"), c("abstract"),
-                                                        c("overall_design"))))
+    rows = spread(records).withColumn("_text", squash(join_text(c("title"), c("abstract"),
+                                                                c("overall_design"))))
     rows = infer_fields(rows, c("_text"), vocab)
     if platforms is not None:
         rows = name_platforms(rows, platforms)

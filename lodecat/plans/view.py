@@ -14,6 +14,7 @@ from lodecat.functions.text import all_classes, blank, join_text, squash
 from lodecat.plans.inference import Vocabularies, infer_fields
 from lodecat.sources.landed import with_defaults
 from lodecat.schemas import DATASET
+from lodecat.session import spread
 
 
 def to_view(records: DataFrame, query: str, as_of: date, vocab: Vocabularies | None = None,
@@ -26,7 +27,7 @@ def to_view(records: DataFrame, query: str, as_of: date, vocab: Vocabularies | N
     over the records: no join, no shuffle, one read of each text per derived form.
     """
     c = F.col
-    rows = with_defaults(records, DATASET)
+    rows = spread(with_defaults(records, DATASET))
     rows = rows.withColumn("_text", squash(join_text(c("title"), c("abstract"),
                                                      c("overall_design"))))
     if vocab is not None:

@@ -55,3 +55,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the input comes in fewer pieces than there are cores.
+
+    For work that costs far more per row than a shuffle of the row, such as reading XML or
+    scanning whole texts.  Inputs of a cluster's size come in many pieces and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -20,6 +20,7 @@ from lodecat.functions.classify import library_classes
 from lodecat.functions.parse import attribute_lines, series_ids
 from lodecat.functions.text import blank, last_wins, squash
 from lodecat.operators.order import first_per_key
+from lodecat.session import spread
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
@@ -132,23 +133,26 @@ def _flatten_packages(df: DataFrame, package: Column) -> DataFrame:
         F.coalesce(F.array_distinct(F.transform(external, lambda x: x["_VALUE"])),
                    F.array().cast("array<string>")).alias("bioproject_ids"),
         F.size(runs).alias("run_count"),
-        F.greatest(F.coalesce(F.size(p["SAMPLE"]), F.lit(0)), F.size(runs)).alias("sample_count"),
-    ).filter(blank(F.col("srp_id")) != "")
+        F.greatest(F.coalesce(F.size(p["SAMPLE"]), F.lit(0)), F.size(runs)).alias("sample_count"))
 
 
 def parse_sra_packages(df: DataFrame) -> DataFrame:
     """Experiment packages from one XML element per row.
 
     The explicit schema reads every element once; the organism is taken from the sample.
+    Elements without a study are left out by pattern: a filter on the parsed study would make
+    Spark read the XML a second time.
     """
-    return _flatten_packages(df.withColumn("_p", F.from_xml("body", PACKAGE)), F.col("_p"))
+    with_study = df.filter(F.col("body").rlike(r'<STUDY\s[^>]*accession="[^"]+"'))
+    return _flatten_packages(spread(with_study).withColumn("_p", F.from_xml("body", PACKAGE)), F.col("_p"))
 
 
 def read_sra_packages(spark: SparkSession, path: str) -> DataFrame:
     """Experiment packages from XML files of any size: Spark splits them by row tag."""
     df = (spark.read.format("xml").option("rowTag", "EXPERIMENT_PACKAGE")
           .schema(PACKAGE[len("struct<"):-1]).load(path))
-    return _flatten_packages(df, F.struct(*df.columns))
+    rows = df.filter(blank(F.col("STUDY._accession")) != "")
+    return _flatten_packages(rows, F.struct(*df.columns))
 
 
 def classify_packages(packages: DataFrame) -> DataFrame:

@@ -188,7 +188,7 @@ TABLES: dict[str, tuple[str, dict[str, str]]] = {
     "parts": ("part", {
         "name": "concat('part ', CAST(p_partkey AS STRING))",
         "parent": "CASE WHEN p_partkey < 7 THEN '' ELSE concat('part ', "
-                  "CAST(floor(p_partkey / 7) AS STRING)) END",
+                  "CAST(CAST(floor(p_partkey / 7) AS BIGINT) AS STRING)) END",
         "p_partkey": "p_partkey",
         "brand": "p_brand",
         "kind": "p_type",

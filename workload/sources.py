@@ -110,7 +110,7 @@ def page(df, body):
     return df.select("doc_id", body.alias("body"))
 
 
-@query("s4_record_pages", "SELECT doc_id, trim(title) AS title, organism, 'Public on ' || publication_date AS status, "
+@query("s4_record_pages", "SELECT doc_id, trim(title) AS title, organism, trim('Public on ' || publication_date) AS status, "
        "platform AS platforms, nullif(sample_count, -1) AS sample_count FROM datasets", "datasets")
 def s4(spark, sf):
     row = lambda k, x: F.concat(lit(f"<tr class='r'><td> {k} </td>\n<td><b>"), x, lit("</b></td></tr>"))
