@@ -1 +1,320 @@
-"""Empty for now."""
+"""User-level pipelines C1-C20 and result documents K7, K9."""
+
+from pyspark.sql import functions as F
+
+from lodecat.fixed import table as fixed, terms
+from lodecat.functions import score, text as t
+from lodecat.operators import joins as j
+from lodecat.operators.matching import match_all
+from lodecat.plans import (
+    availability, inference, knowledge as kn, queries as qs, ranking, reports, sample_groups as sg, search, topics as tp,
+)
+from lodecat.sources import sinks
+from workload.aggregates import TOKENS
+from workload.derived import AS_OF, QUERY, given, records, table
+from workload.filters import VIEW_CTE, view
+from workload.joins import CONVERT, _DIM, _IDS, papers, topic_dimensions, topics
+from workload.registry import query
+from workload.scalars import (
+    A_BONUS, AVAILABILITY, BONUS_CTE, C_BONUS, GRAIN, INFER_CTE, INFER_FROM, MATCH, NAMES_TYPES, O_BONUS, PLATFORM, P_BONUS, QUALITY, SKIP,
+    SIGNAL, YEARS, YEAR_AGE, species_sql, token_sql, name_sql, vocabularies,
+)
+from workload.sources import part_entries
+from workload.sqltext import any_, count_
+from workload.text import TEXT, _WORDS, knowledge, word_vocab
+from workload.windows import TOTAL
+
+c, lit = F.col, F.lit
+WORDS = QUERY.split()
+
+# --- search --------------------------------------------------------------------------------
+
+FEDERATED = f""", geo AS (SELECT gse_id, 'geo' AS match_source, {MATCH} AS match_score, true AS has_gse, 0 AS sr, doc_id AS pos FROM (SELECT *, lower({TEXT}) AS x FROM datasets)),
+ roll AS (SELECT gse_id, arg_min(srp_id, pos) AS srp, arg_min(title, pos) AS title, min(pos) AS pos FROM sra_packages WHERE gse_id <> '' GROUP BY gse_id),
+ solo AS (SELECT srp_id AS id, arg_min(title, pos) AS title, 0 AS late, min(pos) AS pos FROM sra_packages WHERE gse_id = '' GROUP BY srp_id UNION ALL SELECT srp, title, 1, pos FROM roll WHERE gse_id NOT IN
+ (SELECT gse_id FROM datasets)), one AS (SELECT id, arg_min(title, (late, pos)) AS title, arg_min(pos, (late, pos)) AS pos FROM solo GROUP BY id),
+ sra AS (SELECT gse_id, 'sra', 0.6, true, 1, pos FROM roll WHERE gse_id IN (SELECT gse_id FROM datasets) UNION ALL SELECT id, 'sra', 0.4, false, 1, pos FROM one WHERE {any_('lower(title)', WORDS)}),
+ fit AS (SELECT * FROM papers WHERE {any_("lower(concat(title, ' ', abstract))", WORDS)}),
+ lk AS (SELECT pmid, gse_id, min(o) AS o FROM (SELECT pmid, concat('GSE', 100000 + pos) AS gse_id, 0 AS o FROM fit WHERE pos % 3 = 0 UNION ALL SELECT pmid, gse_id, 1 FROM paper_links WHERE regexp_matches(gse_id,
+ '^GSE[0-9]{{1,7}}$') AND pmid IN (SELECT pmid FROM fit)) GROUP BY ALL), ok AS (SELECT *, row_number() OVER (PARTITION BY pmid ORDER BY o, gse_id) AS r FROM lk WHERE gse_id IN (SELECT gse_id FROM datasets)),
+ pub AS (SELECT gse_id, 'pubmed', 0.5, true, 2, fit.pos * 5 + r FROM ok JOIN fit USING (pmid) WHERE r <= 5), allr AS (SELECT * FROM geo UNION ALL SELECT * FROM sra UNION ALL SELECT * FROM pub),
+ best AS (SELECT gse_id, arg_min(match_source, (sr, pos)) AS match_source, arg_min(match_score, (sr, pos))::DOUBLE AS match_score, arg_min(has_gse, (sr, pos)) AS has_gse FROM allr GROUP BY gse_id)
+ SELECT gse_id, match_source, round(match_score, 6) AS match_score, has_gse FROM best WHERE round(match_score, 9) >= 0.3"""
+
+
+@query("c1_federated_search", FEDERATED, "datasets sra_packages papers paper_links")
+def c1(spark, sf):
+    geo = table(spark, sf, "datasets").withColumn("pos", c("doc_id"))
+    out = search.federated_search(QUERY, geo, table(spark, sf, "sra_packages"), papers(spark, sf), table(spark, sf, "paper_links"))
+    return out.select("gse_id", "match_source", F.round("match_score", 6).alias("match_score"), "has_gse")
+
+
+@query("c2_view", VIEW_CTE + "SELECT data_type, granularity, single_cell, disease, tissue, count(*) AS n, round(avg(relevance), 5) AS relevance FROM viewed GROUP BY ALL", "datasets")
+def c2(spark, sf):
+    return view(spark, sf).groupBy("data_type", "granularity", "single_cell", "disease", "tissue").agg(
+        F.count(lit(1)).alias("n"), F.round(F.avg(F.round("relevance_score", 6)), 5).alias("relevance"))
+
+
+GROUPS = TOKENS + """, per AS (SELECT gse_id, strategy, count(*) AS k, sum(n)::BIGINT AS m, count(*) FILTER (token <> '') AS named, sum(n_split)::BIGINT AS sp, count(*) FILTER (token = 'unknown') AS unk, min(n) FILTER (token <> '') AS
+ least_n FROM ct GROUP BY ALL), ok AS (SELECT * FROM per WHERE CASE strategy WHEN 0 THEN k >= 2 AND named >= 2 AND k <> m WHEN 1 THEN k >= 2 AND named >= 2 AND sp / m >= 0.5 ELSE k >= 2 AND unk = 0 END),
+ ch AS (SELECT gse_id, max(m) AS n_samples FROM per GROUP BY 1), pick AS (SELECT gse_id, arg_min(strategy, strategy) AS strategy, arg_min(named, strategy) AS n_groups, arg_min(least_n, strategy) AS least_n FROM ok GROUP BY 1),
+ gsum AS (SELECT gse_id, n_samples, coalesce(strategy, -1) AS strategy, coalesce(n_groups, 1) AS n_groups, coalesce(least_n >= 2, false) AS contrast_ready FROM ch LEFT JOIN pick USING (gse_id)),
+ grp AS (SELECT gse_id, token AS name, n, pos FROM ct JOIN gsum USING (gse_id, strategy) WHERE token <> '' UNION ALL SELECT gse_id, 'all', n_samples, 0 FROM gsum WHERE strategy = -1) """
+METHOD = "CASE strategy WHEN 0 THEN 'prefix' WHEN 1 THEN 'delimiter' WHEN 2 THEN 'timecourse' ELSE 'fallback' END"
+DESIGN = "CASE n_groups WHEN 1 THEN 'single-group' WHEN 2 THEN 'binary' ELSE 'multi-group' END"
+
+
+@query("c3_infer", INFER_CTE + ", " + GROUPS.lstrip(", ") + f"SELECT x.gse_id, coalesce(hd.canonical, '') AS disease, coalesce(ho.canonical, '') AS organ, coalesce(ha.canonical, '') AS assay, CASE WHEN ha.canonical IS NOT NULL THEN "
+       f"ha.granularity ELSE {GRAIN} END AS granularity, {PLATFORM} AS platform, {METHOD} AS method, {DESIGN} AS design, contrast_ready, n_samples FROM datasets x JOIN {INFER_FROM} USING (gse_id) JOIN gsum USING (gse_id)", "datasets samples")
+def c3(spark, sf):
+    summary, groups = sg.infer_groups(table(spark, sf, "samples"))
+    out = inference.infer(table(spark, sf, "datasets"), vocabularies(spark), sg.with_lead_groups(summary, groups))
+    return out.select("gse_id", *[F.coalesce(f"i_{x}", lit("")).alias(x) for x in ("disease", "organ", "assay")], c("i_granularity").alias("granularity"),
+                      c("platform_mapped").alias("platform"), c("group_method").alias("method"), "design", "contrast_ready", "n_samples")
+
+
+@query("c4_sample_groups", GROUPS + f"SELECT gse_id, {METHOD} AS method, (CASE strategy WHEN 0 THEN 0.95 WHEN 1 THEN 0.85 WHEN 2 THEN 0.7 ELSE 0.3 END)::DOUBLE AS confidence, {DESIGN} AS design, contrast_ready, name, n FROM gsum JOIN grp "
+       "USING (gse_id)", "samples")
+def c4(spark, sf):
+    summary, groups = sg.infer_groups(table(spark, sf, "samples"))
+    return summary.join(groups, "gse_id").select("gse_id", "method", "confidence", "design", "contrast_ready", "name", "n")
+
+
+def attributes(spark, sf):
+    df = table(spark, sf, "samples")
+    return df.withColumns({"sample_type": F.array("kind"), "attributes": F.create_map(
+        lit("source_name"), c("tissue"), lit("treatment"), lit("NA"), lit("other"), lit("ignored"))})
+
+
+@query("c5_groups_from_attributes", """, v AS (SELECT gse_id, CASE kind WHEN 'control group' THEN 'control' ELSE 'case' END AS root FROM samples UNION ALL SELECT gse_id, 'pbmc' FROM samples WHERE tissue <> ''),
+ g AS (SELECT gse_id, root AS name, count(*) AS n FROM v GROUP BY ALL), z AS (SELECT gse_id, count(*) AS k, min(n) AS lo, sum(n) AS s FROM g GROUP BY 1), m AS (SELECT gse_id, count(*) AS total FROM samples GROUP BY 1)
+ SELECT gse_id, round(least(0.95, 0.6 + 0.1 * least(total / k, 4))::DOUBLE, 6) AS confidence, CASE k WHEN 2 THEN 'binary' ELSE 'multi-group' END AS design, k >= 2 AND lo >= 2 AND s >= 4 AS contrast_ready, name, n FROM g JOIN z USING (gse_id)
+ JOIN m USING (gse_id)""", "samples")
+def c5(spark, sf):
+    summary, groups = sg.groups_from_attributes(attributes(spark, sf))
+    return summary.join(groups, "gse_id").select("gse_id", F.round("confidence", 6).alias("confidence"), "design", "contrast_ready", "name", "n")
+
+
+_TITLED = "CASE tk WHEN 'x day' THEN 'X Day' WHEN 'x week' THEN 'X Week' ELSE upper(left(tk, 1)) || substr(tk, 2) END"
+
+
+def named(names, source):
+    return f"SELECT gse_id, {name_sql('tk', names, _TITLED)} AS name, tk, n, pos FROM {source} WHERE tk <> ''"
+
+
+@query("c5b_groups_simple", f", q AS (SELECT gse_id, tk, count(*) AS n, min(pos) AS pos FROM (SELECT gse_id, pos, {token_sql('title')} AS tk FROM samples) GROUP BY ALL), r AS ({named(fixed('group_names_simple'), 'q')}) SELECT gse_id, name, "
+       "arg_min(n, (-n, pos)) AS n, arg_min(tk, (-n, pos)) AS token FROM r GROUP BY gse_id, name", "samples")
+def c5b(spark, sf):
+    return sg.groups_simple(table(spark, sf, "samples"))
+
+
+@query("c5c_groups_named", GROUPS + f", q AS (SELECT gse_id, {token_sql('name')} AS tk, name AS raw, n, pos FROM grp), r AS (SELECT gse_id, {name_sql('tk', None, _TITLED)} AS name, tk, raw, n, pos FROM q WHERE tk <> '') SELECT gse_id, name, "
+       "arg_min(n, (pos, raw)) AS n FROM r GROUP BY gse_id, name", "samples")
+def c5c(spark, sf):
+    _, groups = sg.infer_groups(table(spark, sf, "samples"))
+    return sg.named_groups(groups).select("gse_id", "name", "n")
+
+
+# --- topics and queries --------------------------------------------------------------------
+
+@query("c6_generate_keywords", _DIM + ", r AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY round(weight, 9) DESC, seq) AS rank FROM u WHERE first = 1) SELECT topic_id, keyword, round(weight, 6) AS weight, rank FROM r WHERE rank <= 100",
+       "datasets")
+def c6(spark, sf):
+    return tp.generate_keywords(topic_dimensions(spark, sf), knowledge(spark)).select("topic_id", "keyword", F.round("weight", 6).alias("weight"), "rank")
+
+
+def by_title(values):
+    """Expected text per title pattern, worked out by hand from the shipped vocabulary."""
+    return "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+_DISEASES = ["Gout", "Liver fibrosis", "", "Breast cancer", "Hyperuricemia", "", "", ""]
+_ORGANS = ["Joint|Synovium|PBMC", "Liver", "Kidney", "Breast", "Blood|Kidney|Synovium", "Lung", "Heart", ""]
+_ASSAYS = ["RNA-Seq|Single-Cell RNA-Seq", "RNA-Seq", "ATAC-Seq", "Spatial Transcriptomics", "RNA-Seq|Single-Cell RNA-Seq", "Microarray", "ChIP-Seq", ""]
+_SPECIES = ["Homo sapiens", "Homo sapiens|Mus musculus", "", "Homo sapiens", "Homo sapiens|Mus musculus", "", "", ""]
+_CONF = [1.0, 0.75, 0.5, 0.75, 1.0, 0.5, 0.5, 0.0]
+
+
+def flat(*names):
+    return [F.array_join(n, "|").alias(n) for n in names]
+
+
+@query("c9_analyze_queries", f"SELECT gse_id, {by_title(_DISEASES)} AS diseases, {by_title(_ORGANS)} AS organs, {by_title(_ASSAYS)} AS omics_types, {by_title(_SPECIES)} AS species, (CASE doc_id % 8 "
+       + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(_CONF)) + " END)::DOUBLE AS confidence FROM datasets", "datasets")
+def c9(spark, sf):
+    out = knowledge(spark).analyze(table(spark, sf, "datasets"), "title")
+    return out.select("gse_id", *flat("diseases", "organs", "omics_types", "species"), "confidence")
+
+
+_DEFAULT = "|".join(terms.DEFAULT_TOPIC_ASSAYS)
+_T_DISEASES = ["Gout", "Liver fibrosis", "", "Breast cancer", "Hyperuricemia", "", "", ""]
+_T_ORGANS = ["Joint|Synovium|PBMC", "Liver", "Kidney", "Breast", "Blood|Kidney|Synovium|Joint", "Lung", "Heart", ""]
+_T_ASSAYS = ["RNA-Seq|Single-Cell RNA-Seq", "RNA-Seq", "ATAC-Seq", "Spatial Transcriptomics", "RNA-Seq|Single-Cell RNA-Seq", "Microarray", "ChIP-Seq", _DEFAULT]
+_T_SPECIES = [s or "Homo sapiens" for s in _SPECIES]
+
+
+@query("c7_parse_topics", f"SELECT gse_id, {by_title(_T_DISEASES)} AS diseases, {by_title(_T_ORGANS)} AS organs, {by_title(_T_ASSAYS)} AS omics_types, {by_title(_T_SPECIES)} AS species FROM datasets", "datasets")
+def c7(spark, sf):
+    out = tp.parse_topics(table(spark, sf, "datasets"), "title", knowledge(spark))
+    return out.select("gse_id", *flat("diseases", "organs", "omics_types", "species"))
+
+
+@query("c8_expand_terms", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'odd ' || p_partkey ELSE kind || '|' || brand || '|' || brand || ' ' || name END AS expansion FROM parts", "parts")
+def c8(spark, sf):
+    asked = table(spark, sf, "parts").select("p_partkey", F.when(c("p_partkey") % 3 == 0, F.concat(lit("odd "), c("p_partkey").cast("string"))).otherwise(
+        F.upper(F.concat_ws(" ", "brand", "name"))).alias("name"))
+    out = kn.expand_terms_join(asked, part_entries(spark, sf), "p_partkey")
+    return out.select("p_partkey", F.array_join("expansion", "|").alias("expansion"))
+
+
+_Q_DISEASE = ["gout|tophus|gouty arthritis|podagra", "liver fibrosis|hepatic fibrosis|fibrosis of liver", "", "breast cancer|breast tumor|breast carcinoma", "hyperuricemia|uric acid|hyperuricaemia|high uric acid", "", "", ""]
+
+
+@query("c10_build_queries", f"SELECT gse_id, {by_title(_Q_DISEASE)} AS diseases, starts_with(query, '(') AS grouped FROM (SELECT *, '(' AS query FROM datasets)", "datasets")
+def c10(spark, sf):
+    out = qs.build_queries(table(spark, sf, "datasets"), "title", knowledge(spark))
+    return out.select("gse_id", *flat("diseases"), F.startswith("query", lit("(")).alias("grouped"))
+
+
+_C11 = ["gout", "fibrosis", "", "tumor", "hyperuricemia", "", "", ""]
+_C11T = ["", "liver", "kidney", "breast", "", "lung", "heart", ""]
+_C11X = ['("gout" OR "gouty arthritis" OR "podagra")', '("Liver fibrosis" OR "hepatic fibrosis" OR "fibrosis of liver")', "", '("Breast cancer" OR "breast tumor" OR "breast carcinoma")',
+         '("hyperuricemia" OR "hyperuricaemia" OR "high uric acid")', "", "", ""]
+_C11F = ['(gout OR "hyperuricemia" OR "uric acid" OR "urate")', '(fibrosis OR "fibrotic" OR "scarring")', '(atac-seq OR "chromatin accessibility" OR "open chromatin")', "", '(rna-seq OR "RNA sequencing" OR "transcriptome" OR "rnaseq")', "",
+         '(chip-seq OR "histone modification" OR "tf binding")', ""]
+
+
+@query("c11_parse_and_expand", f"SELECT gse_id, {by_title(_C11)} AS disease_terms, {by_title(_C11T)} AS tissue_terms, {by_title(_C11X)} AS disease_part, CASE WHEN {by_title(_C11F)} = '' THEN title ELSE {by_title(_C11F)} END AS fallback FROM datasets",
+       "datasets")
+def c11(spark, sf):
+    parsed = qs.parse_queries(table(spark, sf, "datasets"), "title")
+    out = qs.expand_queries(parsed, "title", knowledge(spark))
+    first = F.regexp_extract("expanded_query", r'^(\("[^)]*\))', 1)
+    return out.select("gse_id", *flat("disease_terms", "tissue_terms"), F.when(F.size("x_disease") > 0, first).otherwise("").alias("disease_part"),
+                      qs.fallback_expansion(c("title")).alias("fallback"))
+
+
+# --- ranking -------------------------------------------------------------------------------
+
+@query("c12_rank", VIEW_CTE + f"SELECT gse_id, row_number() OVER (ORDER BY round(({TOTAL})::DOUBLE, 9) DESC, gse_id) AS rank FROM viewed QUALIFY rank <= 50", "datasets")
+def c12(spark, sf):
+    rounded = view(spark, sf).withColumn("relevance_score", F.round("relevance_score", 6))
+    scored = rounded.withColumn("total_score", F.round(score.total(
+        score.Weights(), c("organism"), c("sample_count"), c("relevance_score"), c("recency_score"), c("quality_score")), 9))
+    return ranking.numbered(ranking.best_first(scored, "total_score", 50), "total_score").select("gse_id", "rank")
+
+
+BIO = BONUS_CTE.rstrip() + f""", y AS (SELECT *, {YEAR_AGE} AS y FROM b), z AS (SELECT gse_id, least((2 * {count_('lower(title)', WORDS)} + {count_('lower(abstract)', WORDS)} + {count_('lower(keyword)', WORDS)}) / 12.0, 1)
+ AS s1, {YEARS} AS s2, {QUALITY} AS s3, CASE WHEN sample_count > 0 THEN least(ln(sample_count + 1) / ln(10001), 1) ELSE 0 END AS s4, {P_BONUS} AS s5, {C_BONUS} AS s6, {A_BONUS} + {O_BONUS} AS s7 FROM y) """
+
+
+@query("c13_bio_rank", BIO + " SELECT gse_id, 'default' AS profile, round(least(0.30 * s1 + 0.15 * s2 + 0.15 * s3 + 0.15 * s4 + 0.15 * s5 + 0.10 * s6 + s7, 1)::DOUBLE, 5) AS total FROM z UNION ALL SELECT gse_id, 'recent', round(least(0.20 * s1 + "
+       "0.40 * s2 + 0.15 * s3 + 0.10 * s4 + 0.10 * s5 + 0.05 * s6 + s7, 1)::DOUBLE, 5) FROM z UNION ALL SELECT gse_id, 'perturbation', round(least(0.20 * s1 + 0.10 * s2 + 0.15 * s3 + 0.10 * s4 + 0.35 * s5 + 0.10 * s6 + s7, 1)::DOUBLE, 5) FROM z",
+       "datasets")
+def c13(spark, sf):
+    from lodecat.functions import classify
+    df = records(spark, sf).withColumns({
+        "summary": c("abstract"), "data_type": classify.data_type(c("omics_type"), c("title"), c("platform")), "single_cell": lit(False),
+        "perturbation_types": t.all_classes(F.lower(t.join_text(c("title"), c("abstract"))), terms.PERTURBATIONS),
+        "quality_score": score.quality(c("gse_id"), c("pubmed_ids"), c("sra_ids"), c("bioproject_ids"), c("abstract"), c("sample_count"), c("platform"))})
+    out = None
+    for name in score.BIO_PROFILES:
+        part = ranking.bio_rank(df, QUERY, AS_OF, name).select("gse_id", lit(name).alias("profile"), F.round("total_score", 5).alias("total"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+RERANK = VIEW_CTE.rstrip() + f""", tot AS (SELECT *, round(({TOTAL})::DOUBLE, 9) AS total FROM viewed ORDER BY total DESC, gse_id LIMIT 150),
+ fl AS (SELECT t.*, {NAMES_TYPES} AS nt, lower(concat_ws(' ', d.title, abstract, overall_design)) AS txt, score_text FROM tot t JOIN (SELECT gse_id AS g, * EXCLUDE (gse_id, title, organism, sample_count, disease, organ, platform)
+ FROM datasets) d ON g = t.gse_id JOIN answers a USING (gse_id)) , dd AS (SELECT f.*, d2.title AS dt2 FROM fl f JOIN datasets d2 USING (gse_id)),
+ sg AS (SELECT *, {SIGNAL} AS signal, {any_('nt', terms.BULK_FILES)} AS bulk FROM dd), fit AS (SELECT * FROM sg WHERE {SKIP} = '' AND relevance >= 0.05),
+ mk AS (SELECT *, row_number() OVER (ORDER BY total DESC, gse_id) <= 20 AS chosen, TRY_CAST(nullif(regexp_extract(score_text, '([0-9]+\\.?[0-9]*)', 1), '') AS DOUBLE) AS v FROM fit),
+ ag AS (SELECT *, CASE WHEN chosen AND v IS NOT NULL THEN least(CASE WHEN v > 1 THEN v / 100 ELSE v END, 1) ELSE relevance END AS rel FROM mk),
+ fin AS (SELECT gse_id, rel, round(((0.5 * rel + 0.2 * recency + 0.15 * quality + 0.15 * CASE WHEN sample_count > 0 THEN least(sample_count / 1000.0, 1) ELSE 0 END) * {species_sql('organism', terms.SPECIES_WEIGHTS)})::DOUBLE, 9) AS t2 FROM ag)
+ SELECT gse_id, round(rel, 6) AS relevance, row_number() OVER (ORDER BY t2 DESC, gse_id) AS rank FROM fin QUALIFY rank <= 50"""
+
+
+@query("c14_rerank", RERANK, "datasets answers")
+def c14(spark, sf):
+    scores = table(spark, sf, "answers").select("gse_id", c("score_text").alias("text"))
+    out = ranking.rerank(view(spark, sf), scores, QUERY)
+    return out.select("gse_id", F.round("relevance_score", 6).alias("relevance"), "rank")
+
+
+# --- reports and the rest ------------------------------------------------------------------
+
+_J = "topic_datasets JOIN datasets USING (gse_id)"
+
+
+@query("c15_topic_report", f"SELECT topic_id, 'total' AS section, 'datasets' AS item, count(*) AS n FROM {_J} GROUP BY 1 UNION ALL SELECT topic_id, 'review', s, count(*) FILTER (review_status = s) FROM topic_datasets, (VALUES ('pending'), ('approved'), "
+       f"('irrelevant'), ('deleted')) v(s) GROUP BY topic_id, s UNION ALL SELECT topic_id, 'availability', s, count(*) FILTER (CASE s WHEN 'controlled' THEN access_type = s ELSE availability_status = s END) FROM {_J}, (VALUES ('available'), "
+       "('unavailable'), ('restricted'), ('controlled'), ('unverified')) v(s) GROUP BY topic_id, s", "topic_datasets datasets")
+def c15(spark, sf):
+    return reports.topic_report(table(spark, sf, "topic_datasets"), table(spark, sf, "datasets"))
+
+
+@query("c15_summary_report", "SELECT 'overview' AS section, 'datasets' AS item, count(*) AS n FROM datasets UNION ALL SELECT 'overview', 'topics', count(DISTINCT topic_id) FROM topic_datasets UNION ALL SELECT 'availability', availability_status, "
+       "count(*) FROM datasets GROUP BY 2 UNION ALL SELECT 'organisms', organism, count(*) FROM datasets WHERE organism <> '' GROUP BY 2", "datasets topic_datasets")
+def c15b(spark, sf):
+    return reports.summary_report(table(spark, sf, "datasets"), topics(spark, sf))
+
+
+@query("c17_check_availability", f"SELECT gse_id, srp_id, {AVAILABILITY} FROM (SELECT d.gse_id, s.* FROM datasets d JOIN study_docs s ON d.sra_id = s.srp_id WHERE d.availability_status = 'unverified')", "datasets study_docs")
+def c17(spark, sf):
+    """Status fields are read out of study XML first."""
+    docs = table(spark, sf, "study_docs")
+    tag = lambda name, x: F.concat(lit(f"<{name}>"), x, lit(f"</{name}>"))
+    body = F.concat(lit('<ROOT><STUDY status="'), c("study_status"), lit('">'), tag("TITLE", c("access_text")), lit("</STUDY>"), tag("CONSENT", c("consent")),
+                    F.repeat(lit('<RUN accession="r"/>'), c("run_count")), lit("</ROOT>"))
+    studies = availability.study_status(docs.select("srp_id", body.alias("body")))
+    return availability.check_availability(records(spark, sf), studies, 2)
+
+
+@query("c18_convert_ids", CONVERT + f"SELECT target, CASE WHEN fam = 'PRJ' THEN 'BioProject' ELSE st END AS source_type, count(*) AS asked, count(*) FILTER ({_IDS} <> '') AS found FROM z LEFT JOIN p USING (accession, target) GROUP BY ALL",
+       "accessions crosswalk")
+def c18(spark, sf):
+    out = j.convert_ids(table(spark, sf, "accessions"), table(spark, sf, "crosswalk"))
+    return out.groupBy("target", "source_type").agg(F.count(lit(1)).alias("asked"), F.count_if(F.size("targets") > 0).alias("found"))
+
+
+@query("c19_evaluate", "SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN " + any_("x", terms.VERDICT_DISEASE_TERMS) + " AND " + any_("x", terms.VERDICT_SINGLE_CELL_TERMS) + " THEN 'RELEVANT' WHEN " + any_("x", terms.VERDICT_DISEASE_TERMS)
+       + " THEN 'PARTIAL' WHEN " + any_("x", terms.VERDICT_SINGLE_CELL_TERMS) + " THEN 'NOISE' ELSE 'GARBAGE' END AS verdict FROM (SELECT lower(concat_ws(' ', title, abstract)) AS x FROM papers)) GROUP BY 1", "papers")
+def c19(spark, sf):
+    return reports.evaluate(table(spark, sf, "papers"))
+
+
+@query("c20_cited_series", "SELECT pmid, concat('GSE', 100000 + pos) AS gse_id FROM papers WHERE pos % 3 = 0 UNION SELECT pmid, gse_id FROM paper_links WHERE regexp_matches(gse_id, '^GSE[0-9]+$') AND pmid IN (SELECT pmid FROM papers)", "papers paper_links")
+def c20(spark, sf):
+    from lodecat.functions.parse import series_ids
+    found = table(spark, sf, "papers").withColumn("gse_ids", series_ids(t.join_text(c("title"), c("journal")), None))
+    return search.cited_series(found, table(spark, sf, "paper_links"))
+
+
+@query("j9_text_vocabulary", _WORDS + "SELECT doc_id, term FROM w JOIN v USING (term)")
+def j9(spark, sf):
+    """Every whole-word hit of a vocabulary that grows with the data."""
+    return match_all(given(spark, sf, "documents"), "doc_id", c("text"), word_vocab(spark, sf)).select("doc_id", "term")
+
+
+def page(spark, sf):
+    df = records(spark, sf).withColumns({
+        "relevance_score": lit(0.5), "total_score": c("sample_count") / 1000.0, "single_cell": F.contains("title", lit("ingle-cell")), "data_type": c("omics_type"),
+        "has_perturbation": lit(False)})
+    return ranking.numbered(ranking.best_first(df, "total_score", 50), "total_score")
+
+
+_PAGE = ", pg AS (SELECT *, row_number() OVER (ORDER BY sample_count DESC, gse_id) AS rank FROM datasets QUALIFY rank <= 10) "
+
+
+@query("k7_result_summary", _PAGE + "SELECT rank, gse_id FROM pg", "datasets")
+def k7(spark, sf):
+    out = sinks.result_summary(page(spark, sf), 10)
+    return out.select(c("rank").cast("long").alias("rank"), F.get_json_object("payload", "$.gse_id").alias("gse_id"))
+
+
+@query("k9_result_json", _PAGE + f"SELECT '{QUERY}' AS query, string_agg(gse_id, '|' ORDER BY rank) AS ids, CAST(count(*) AS VARCHAR) AS returned FROM pg", "datasets")
+def k9(spark, sf):
+    doc = sinks.result_json(page(spark, sf), QUERY, 10, "2025-06-30T00:00:00Z", ["gout"])
+    rows = F.from_json(F.get_json_object("document", "$.results"), "array<struct<gse_id:string>>")
+    return doc.select(F.get_json_object("document", "$.query").alias("query"), F.array_join(F.transform(rows, lambda x: x["gse_id"]), "|").alias("ids"),
+                      F.get_json_object("document", "$.stats.returned").alias("returned"))
