@@ -99,14 +99,12 @@ def study_rollup(packages: DataFrame) -> DataFrame:
     per_series = linked.groupBy("gse_id").agg(
         lead.alias("_rep"), F.sum("sample_count").alias("_samples"),
         F.sum("run_count").alias("_runs"), F.min("pos").alias("pos"))
-    # Distinct counts by way of (series, id) pairs: a hot series spreads over its ids.
-    distinct = lambda c, out: (
-        linked.filter(blank(F.col(c)) != "").select("gse_id", c).distinct()
-        .groupBy("gse_id").agg(F.count(F.lit(1)).alias(out)))
-    out = per_series
-    for column, name in (("srx_id", "n_experiments"), ("srp_id", "n_studies"),
-                         ("srr_id", "n_runs"), ("bioproject_id", "n_projects")):
-        out = out.join(distinct(column, name), "gse_id", "left").fillna(0, [name])
+    # Distinct counts by way of (series, kind, id): a hot series spreads over its ids.
+    kinds = {"study": "n_studies", "run": "n_runs", "project": "n_projects",
+             "experiment": "n_experiments"}
+    counts = study_links(linked).groupBy("gse_id").agg(
+        *[F.count_if(F.col("kind") == k).alias(n) for k, n in kinds.items()])
+    out = per_series.join(counts, "gse_id", "left").fillna(0, list(kinds.values()))
     series = out.select(
         "gse_id", "_rep.*",
         F.when(F.col("n_experiments") > 0, F.col("n_experiments"))
@@ -124,12 +122,14 @@ def study_rollup(packages: DataFrame) -> DataFrame:
 
 
 def study_links(packages: DataFrame) -> DataFrame:
-    """(gse_id, kind, linked_id, place) of every study, run and project of a series: the id
-    lists of D8 as rows, in first-seen order, so that no list grows without bound."""
+    """(gse_id, kind, linked_id, place) of every study, run, project and experiment of a
+    series: the id lists of D8 as rows, in first-seen order, so that no list grows without
+    bound."""
     linked = packages.filter(blank(F.col("gse_id")) != "")
     pairs = linked.select("gse_id", "pos", F.inline(F.array(*[
         F.struct(F.lit(kind).alias("kind"), F.col(c).alias("linked_id"))
-        for kind, c in (("study", "srp_id"), ("run", "srr_id"), ("project", "bioproject_id"))])))
+        for kind, c in (("study", "srp_id"), ("run", "srr_id"), ("project", "bioproject_id"),
+                        ("experiment", "srx_id"))])))
     return (pairs.filter(blank(F.col("linked_id")) != "")
             .groupBy("gse_id", "kind", "linked_id").agg(F.min("pos").alias("place")))
 

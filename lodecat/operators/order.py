@@ -84,9 +84,10 @@ def evict(index: DataFrame, max_entries: int, max_bytes: int, spare: int = 10,
     them the count falls to ``max_entries - spare`` and the bytes to a share of the limit.
     """
     total = index.agg(F.count(F.lit(1)).alias("_n"), F.sum("bytes").alias("_b"))
-    aged = global_positions(index, [F.col("cached_at").asc(), F.col("key").asc()], "age_rank",
-                            {"bytes_through": F.col("bytes")})
-    joined = aged.crossJoin(F.broadcast(total))  # one row of totals
+    joined = global_positions(
+        index, [F.col("cached_at").asc(), F.col("key").asc()], "age_rank",
+        {"bytes_through": F.col("bytes")}).withColumns(
+            {"_n": total.select("_n").scalar(), "_b": total.select("_b").scalar()})
     over = (F.col("_n") > max_entries) | (F.col("_b") > max_bytes)
     left_n = F.col("_n") - (F.col("age_rank") - 1)
     left_b = F.col("_b") - (F.col("bytes_through") - F.col("bytes"))

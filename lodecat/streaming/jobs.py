@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
 from datetime import datetime, timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lodecat.operators.review import review_state
 from lodecat.operators.store import fold_versions
 
 
@@ -45,29 +43,34 @@ def compact(spark: SparkSession, folder: str, into: str, key: str = "gse_id") ->
     read_table(spark, folder, key).write.mode("overwrite").parquet(f"{into}/parts/batch=0")
 
 
-def _fold_stack(key: tuple, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    stack = json.loads(state.get[0]) if state.exists else []
-    rows = pd.concat(list(chunks)).sort_values(["acted_at", "log_id"])
-    for action, status in zip(rows["action"], rows["new_status"]):
-        if action != "undo":
-            stack.append(status)
-        elif stack:
-            stack.pop()
-    state.update((json.dumps(stack),))
-    yield pd.DataFrame({"topic_id": [key[0]], "gse_id": [key[1]],
-                        "status": [stack[-1] if stack else "pending"],
-                        "log_id": [int(rows["log_id"].max())]})
+def stream_review(log: DataFrame, folder: str, checkpoint: str,
+                  every: str | None = "2 seconds") -> StreamingQuery:
+    """Review actions as a stream: the log, and the status of every pair a batch touched.
 
+    Undo needs all earlier actions of a pair, in time order, also those that arrive late.  So
+    a batch is first added to the stored log; then the pairs it touched are folded from the
+    log by :func:`review_state`, which spreads a pair with very many actions over tasks.  No
+    state lives in one task, and a repeated batch overwrites itself.
+    """
+    pair = ["topic_id", "gse_id"]
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{folder}/log/batch={number}")
+        stored = spark.read.parquet(f"{folder}/log").filter(F.col("batch") <= number)
+        touched = stored.filter(F.col("batch") == number).select(*pair).distinct()
+        state = review_state(stored.drop("batch").join(touched, pair, "left_semi"))
+        state.write.mode("overwrite").parquet(f"{folder}/status/batch={number}")
+
+    writer = log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return writer.trigger(**trigger).start()
 
-def review_stream(log: DataFrame) -> DataFrame:
-    """Status of a pair after each batch, from a stack kept per pair.
 
-    Entries of one batch are put in time order; the whole log at rest is folded by
-    ``operators.review.review_state``, which spreads a pair over tasks.
-    """
-    return log.groupBy("topic_id", "gse_id").applyInPandasWithState(
-        _fold_stack, "topic_id string, gse_id string, status string, log_id bigint",
-        "stack string", "update", "NoTimeout")
+def read_status(spark: SparkSession, folder: str) -> DataFrame:
+    """Current status per pair: that of the last batch that touched it."""
+    return spark.read.parquet(f"{folder}/status").groupBy("topic_id", "gse_id").agg(
+        F.max_by("status", "batch").alias("status"))
 
 
 def expire_stream(stream: DataFrame, time: str, ttl_hours: float, as_of: datetime) -> DataFrame:

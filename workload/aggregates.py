@@ -90,7 +90,8 @@ def d8(spark, sf):
 
 
 @query("d8_study_links", "SELECT gse_id, 'study' AS kind, srp_id AS linked_id, min(pos) AS place FROM sra_packages WHERE gse_id <> '' GROUP BY ALL UNION ALL SELECT gse_id, 'run', srr_id, min(pos) "
-       "FROM sra_packages WHERE gse_id <> '' GROUP BY ALL UNION ALL SELECT gse_id, 'project', bioproject_id, min(pos) FROM sra_packages WHERE gse_id <> '' GROUP BY ALL", "sra_packages")
+       "FROM sra_packages WHERE gse_id <> '' GROUP BY ALL UNION ALL SELECT gse_id, 'project', bioproject_id, min(pos) FROM sra_packages WHERE gse_id <> '' GROUP BY ALL UNION ALL SELECT gse_id, 'experiment', srx_id, "
+       "min(pos) FROM sra_packages WHERE gse_id <> '' GROUP BY ALL", "sra_packages")
 def d8b(spark, sf):
     return a.study_links(table(spark, sf, "sra_packages"))
 

@@ -225,7 +225,7 @@ def c13(spark, sf):
 
 
 RERANK = VIEW_CTE.rstrip() + f""", tot AS (SELECT *, round(({TOTAL})::DOUBLE, 9) AS total FROM viewed ORDER BY total DESC, gse_id LIMIT 150),
- fl AS (SELECT t.*, {NAMES_TYPES} AS nt, lower(concat_ws(' ', d.title, abstract, overall_design)) AS txt, score_text FROM tot t JOIN (SELECT gse_id AS g, * EXCLUDE (gse_id, title, organism, sample_count, disease, organ, platform)
+ fl AS (SELECT t.*, {NAMES_TYPES} AS nt, lower(concat_ws(' ', t.title, abstract, overall_design)) AS txt, score_text FROM tot t JOIN (SELECT gse_id AS g, * EXCLUDE (gse_id, title, organism, sample_count, disease, organ, platform)
  FROM datasets) d ON g = t.gse_id JOIN answers a USING (gse_id)) , dd AS (SELECT f.*, d2.title AS dt2 FROM fl f JOIN datasets d2 USING (gse_id)),
  sg AS (SELECT *, {SIGNAL} AS signal, {any_('nt', terms.BULK_FILES)} AS bulk FROM dd), fit AS (SELECT * FROM sg WHERE {SKIP} = '' AND relevance >= 0.05),
  mk AS (SELECT *, row_number() OVER (ORDER BY total DESC, gse_id) <= 20 AS chosen, TRY_CAST(nullif(regexp_extract(score_text, '([0-9]+\\.?[0-9]*)', 1), '') AS DOUBLE) AS v FROM fit),

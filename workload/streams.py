@@ -47,9 +47,8 @@ def x2(spark, sf):
 @query("x2_review_stream", STACK, "review_log")
 def x2b(spark, sf):
     folder = run_folder(spark, "review")
-    log = stream(spark, sf, "review_log")
-    jobs.run_once(jobs.review_stream(log), folder + "/out", folder + "/state", "update")
-    return spark.read.parquet(folder + "/out").groupBy("topic_id", "gse_id").agg(F.max_by("status", "batch").alias("status"))
+    jobs.stream_review(stream(spark, sf, "review_log"), folder + "/out", folder + "/state", every=None).awaitTermination()
+    return jobs.read_status(spark, folder + "/out")
 
 
 @query("x3_expire", "SELECT key FROM cache_index WHERE cached_at >= TIMESTAMP '1998-12-25 00:00:00'", "cache_index")
