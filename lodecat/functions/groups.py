@@ -96,13 +96,18 @@ def is_split(sample: Column) -> Column:
 
 
 def time_token(sample: Column) -> Column:
-    """First declared time word that stands free, else ``t`` and digits, else unknown."""
-    out = None
-    for word in terms.TIME_WORDS:
-        hit = sample.rlike(rf"(^|[_\-.\s]){word}($|[_\-.\s0-9])")
-        out = F.when(hit, word) if out is None else out.when(hit, word)
+    """First declared time word that stands free, else ``t`` and digits, else unknown.
+
+    All time words of a title are found in one pass.
+    """
+    order = {w: i for i, w in enumerate(terms.TIME_WORDS)}
+    hits = F.regexp_extract_all(sample, F.lit(
+        rf"(?<![^_\-.\s])(?=({'|'.join(order)})(?:$|[_\-.\s0-9]))"), F.lit(1))
+    first = F.array_min(F.transform(hits, lambda h: F.element_at(lit_map(order), h)))
+    word = F.element_at(lit_array(order), first + 1)
     short = F.regexp_extract(sample, "t([0-9]+)", 1)
-    return out.when(short != "", F.concat(F.lit("t"), short)).otherwise("unknown")
+    return (F.when(first.isNotNull(), word)
+            .when(short != "", F.concat(F.lit("t"), short)).otherwise("unknown"))
 
 
 def merged_root(name: Column) -> Column:

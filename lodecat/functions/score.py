@@ -207,23 +207,37 @@ def perturbation_patterns(compat: bool = False) -> Mapping[str, str]:
             for k, v in terms.PERTURBATION_REGEX.items()}
 
 
+def pattern_hit(text: Column, pattern: str) -> Column:
+    """``text`` fits an alternation; plain words are looked up, only the rest is a pattern.
+
+    A pattern with word boundaries is tried only where its word is at all.
+    """
+    hit = F.lit(False)
+    words = [p for p in pattern.split("|") if re.fullmatch("[a-z0-9 -]+", p)]
+    if words:
+        hit = has_any(text, words)
+    for part in pattern.split("|"):
+        if part not in words:
+            bare = re.fullmatch(r"\\b([a-z]+)\\b", part)
+            real = text.rlike(part)
+            hit = hit | (F.contains(text, F.lit(bare.group(1))) & real if bare else real)
+    return hit
+
+
 def perturbation_bonus(types: Column, text: Column, compat: bool = False) -> Column:
     """Highest weight among stored types, else among patterns found in the text."""
     folded = {k.lower(): v for k, v in terms.PERTURBATION_WEIGHTS.items()}
     stored = F.array_max(F.transform(
         types, lambda t: F.coalesce(F.element_at(lit_map(folded), F.lower(t)), F.lit(0.0))))
-    found = F.lit(0.0)
-    ordered = sorted(terms.PERTURBATION_WEIGHTS.items(), key=lambda kv: -kv[1])
     patterns = perturbation_patterns(compat)
-    chain = None
-    for name, weight in ordered:
-        hit = text.rlike(patterns[name])
-        chain = F.when(hit, weight) if chain is None else chain.when(hit, weight)
-    return F.when(F.size(types) > 0, stored).otherwise(chain.otherwise(found))
+    found = F.when(F.lit(False), 0.0)
+    for name, weight in sorted(terms.PERTURBATION_WEIGHTS.items(), key=lambda kv: -kv[1]):
+        found = found.when(pattern_hit(text, patterns[name]), weight)
+    return F.when(F.size(types) > 0, stored).otherwise(found.otherwise(0.0))
 
 
 def single_cell_bonus(flag: Column, text: Column) -> Column:
-    return F.when(flag | text.rlike(terms.SINGLE_CELL_REGEX), 0.10).otherwise(0.0)
+    return F.when(flag | pattern_hit(text, terms.SINGLE_CELL_REGEX), 0.10).otherwise(0.0)
 
 
 def assay_bonus(kind: Column) -> Column:

@@ -137,10 +137,29 @@ def alternation(terms: Iterable[str]) -> str:
 def phrases_at_boundaries(text: Column, terms: Iterable[str]) -> Column:
     """Whole-word rule: for every word boundary the longest term that starts there.
 
-    The look-ahead consumes nothing, so terms that overlap are all seen in one pass.
+    The look-ahead consumes nothing, so terms that overlap are all seen in one pass; the set
+    of first characters in front skips most places cheaply.
     """
+    terms = [t for t in terms if t]
+    first = "".join(_quote(c) for c in sorted({t[0] for t in terms}))
     return F.array_distinct(F.regexp_extract_all(
-        text, F.lit(rf"(?U)\b(?=({alternation(terms)})\b)"), F.lit(1)))
+        text, F.lit(rf"(?U)(?=[{first}])\b(?=({alternation(terms)})\b)"), F.lit(1)))
+
+
+def phrase_hits(text: Column, terms: Iterable[str]) -> Column:
+    """All terms that stand in the text as whole words, each once.
+
+    Where several start at one place the longest stands for those it begins with.
+    """
+    known = list(dict.fromkeys(t for t in terms if t))
+    heads = {t: [h for h in known if h == t or (
+        t.startswith(h) and not (t[len(h)].isalnum() or t[len(h)] == "_"))] for t in known}
+    heads = {t: h for t, h in heads.items() if len(h) > 1}
+    found = phrases_at_boundaries(text, known)
+    if not heads:
+        return found
+    return F.array_distinct(F.flatten(F.transform(
+        found, lambda h: F.coalesce(F.element_at(lit_map(heads), h), F.array(h)))))
 
 
 def consume_phrases(text: Column, terms: Iterable[str], max_words: int = 4) -> Column:
@@ -160,21 +179,24 @@ def leading_phrase(text: Column, terms: Iterable[str]) -> Column:
     return F.regexp_extract(text, rf"^({alternation(terms)})(?![^ ])", 1)
 
 
-def best_phrase(text: Column, ranked: Sequence[tuple], fields: Sequence[str]) -> Column:
-    """Whole-word rule, first in rank order wins (M1).
+def best_of(hits: Column, ranked: Sequence[tuple], fields: Sequence[str]) -> Column:
+    """Of the terms found, the first in rank order, as a struct; null when none is ranked.
 
-    ``ranked`` holds (term, *values) best first; the result is a struct of ``fields``, null
-    without a hit.
+    ``ranked`` holds (term, *values) best first; terms of other vocabularies do not count.
     """
     ranks: dict[str, tuple] = {}
     for rank, (term, *values) in enumerate(ranked):
         ranks.setdefault(term, (rank, values))
     known = lit_map({t: {"rank": rank, **dict(zip(fields, values))}
                      for t, (rank, values) in ranks.items()})
-    hits = phrases_at_boundaries(text, ranks)
     return F.array_min(F.transform(hits, lambda h: F.element_at(known, h)))
 
 
+def best_phrase(text: Column, ranked: Sequence[tuple], fields: Sequence[str]) -> Column:
+    """Whole-word rule, first in rank order wins (M1)."""
+    return best_of(phrases_at_boundaries(text, [r[0] for r in ranked]), ranked, fields)
+
+
 def let(value: Column, body) -> Column:
     """``body`` over a value that is worked out once per row.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodecat.fixed import terms
 from lodecat.functions import classify, groups as g, render
-from lodecat.functions.text import best_phrase, blank, has_any, join_text, squash
+from lodecat.functions.text import best_of, blank, has_any, join_text, phrase_hits, squash
 from lodecat.operators.matching import FIELDS, small_terms
 from lodecat.session import spread
 
@@ -47,10 +47,11 @@ def single_cell_terms() -> list[tuple[str, float]]:
     return sorted(listed + extra, key=lambda p: -len(p[0]))
 
 
-def text_granularity(text: Column) -> Column:
+def text_granularity(text: Column, hits: Column | None = None) -> Column:
     """Struct(granularity, weight): cells, then spatial, then bulk, then plain RNA (H6)."""
     lowered = [(t, w) for t, w in single_cell_terms() if t == t.lower()]
-    cells = best_phrase(text, lowered, ["weight"])["weight"]
+    hits = phrase_hits(text, [t for t, _ in lowered]) if hits is None else hits
+    cells = best_of(hits, lowered, ["weight"])["weight"]
     value = lambda name, weight: F.struct(
         F.lit(name).alias("granularity"), weight.alias("weight"))
     return (F.when(cells.isNotNull(), value("single_cell", cells))
@@ -61,11 +62,18 @@ def text_granularity(text: Column) -> Column:
 
 
 def infer_fields(rows: DataFrame, text: Column, vocab: Vocabularies) -> DataFrame:
-    """Adds i_disease, i_organ, i_assay, i_granularity and their weights."""
+    """Adds i_disease, i_organ, i_assay, i_granularity and their weights.
+
+    The text is scanned once for the terms of all vocabularies together.
+    """
     none = F.lit(None).cast("struct<canonical:string,weight:double,granularity:string>")
-    pick = lambda found: best_phrase(text, found, FIELDS) if found else none
-    out = rows.withColumns({"_d": pick(vocab.disease), "_o": pick(vocab.organ),
-                            "_a": pick(vocab.assay), "_g": text_granularity(text)})
+    every = [t for part in (vocab.disease, vocab.organ, vocab.assay, single_cell_terms())
+             for t, *_ in part if t == t.lower()]
+    hits = F.col("_hits")
+    pick = lambda found: best_of(hits, found, FIELDS) if found else none
+    out = rows.withColumn("_hits", phrase_hits(text, every)).withColumns({
+        "_d": pick(vocab.disease), "_o": pick(vocab.organ), "_a": pick(vocab.assay),
+        "_g": text_granularity(text, hits)})
     from_assay = F.col("_a.canonical").isNotNull() & (F.col("_a.granularity") != "unknown")
     return out.withColumns({
         "i_disease": F.col("_d.canonical"), "i_disease_weight": F.coalesce("_d.weight", F.lit(0.0)),
@@ -75,7 +83,7 @@ def infer_fields(rows: DataFrame, text: Column, vocab: Vocabularies) -> DataFram
                           .otherwise(F.col("_g.granularity")),
         "i_granularity_weight": F.when(from_assay, F.col("_a.weight"))
                                  .otherwise(F.col("_g.weight")),
-    }).drop("_d", "_o", "_a", "_g")
+    }).drop("_d", "_o", "_a", "_g", "_hits")
 
 
 def infer(records: DataFrame, vocab: Vocabularies, groups: DataFrame | None = None,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodecat.functions.text import (
     all_classes, blank, constant, distinct_ignoring_case, lit_array, lit_map, ordered_union,
-    phrases_at_boundaries, remove_phrases,
+    phrase_hits, remove_phrases,
 )
 
 MOST_ENTRIES = 5000
@@ -137,12 +137,8 @@ class Knowledge:
         known: dict[str, str] = {}
         for phrase in [*self.disease.phrases(), *self.organ.phrases()]:
             known.setdefault(phrase.lower(), phrase)
-        # A hit stands for itself and for the known names it starts with.
-        heads = {t: [h for h in known if t == h or (t.startswith(h) and not t[len(h)].isalnum()
-                                                    and t[len(h)] != "_")] for t in known}
         low = F.lower(blank(text))
-        hits = F.array_distinct(F.flatten(F.transform(
-            phrases_at_boundaries(low, known), lambda h: _lists(heads, h))))
+        hits = phrase_hits(low, known)
         ordered = F.array_sort(F.transform(hits, lambda h: F.struct(
             (-F.length(h)).alias("n"), F.array_position(lit_array(known), h).alias("p"),
             h.alias("h"))))

@@ -12,6 +12,7 @@ from lodecat.functions import classify, score
 from lodecat.functions.parse import parse_score
 from lodecat.functions.text import join_text
 from lodecat.operators.joins import with_answers
+from lodecat.session import spread
 
 
 def best_first(df: DataFrame, value: str, n: int | None, tie: str = "gse_id") -> DataFrame:
@@ -34,13 +35,11 @@ def rank(view: DataFrame, top_n: int = 50, weights: score.Weights = score.Weight
     return numbered(best_first(scored, "total_score", top_n), "total_score")
 
 
-def bio_scores(records: DataFrame, query: str, as_of: date,
-               weights: score.BioWeights = score.BioWeights(),
-               compat: bool = False) -> DataFrame:
-    """Records with the parts of the biology-aware score and their total."""
+def bio_parts(records: DataFrame, query: str, as_of: date, compat: bool = False) -> DataFrame:
+    """Records with the parts of the biology-aware score, which no profile changes."""
     c = F.col
-    rows = records.withColumn("_text", F.lower(join_text(c("title"), c("summary"))))
-    rows = rows.withColumns({
+    rows = spread(records).withColumn("_text", F.lower(join_text(c("title"), c("summary"))))
+    return rows.withColumns({
         "s_relevance": score.term_relevance(c("title"), c("summary"), c("keywords"), query),
         "s_recency": score.recency_by_year(c("publication_date"), as_of),
         "s_quality": F.coalesce("quality_score", F.lit(0.5)),
@@ -49,18 +48,26 @@ def bio_scores(records: DataFrame, query: str, as_of: date,
         "s_single_cell": score.single_cell_bonus(c("single_cell"), c("_text")),
         "s_assay": score.assay_bonus(c("data_type")),
         "s_organism": score.organism_bonus(c("organism")),
-    })
-    total = (weights.relevance * c("s_relevance") + weights.recency * c("s_recency")
-             + weights.quality * c("s_quality") + weights.sample_size * c("s_sample_size")
-             + weights.perturbation * c("s_perturbation")
-             + weights.single_cell * c("s_single_cell") + c("s_assay") + c("s_organism"))
-    return rows.withColumn("total_score", F.least(total, F.lit(1.0))).drop("_text")
+    }).drop("_text")
+
+
+def bio_total(weights: score.BioWeights) -> Column:
+    """Weighted parts plus the assay and organism bonuses, at most 1."""
+    c = F.col
+    return F.least(
+        weights.relevance * c("s_relevance") + weights.recency * c("s_recency")
+        + weights.quality * c("s_quality") + weights.sample_size * c("s_sample_size")
+        + weights.perturbation * c("s_perturbation")
+        + weights.single_cell * c("s_single_cell") + c("s_assay") + c("s_organism"),
+        F.lit(1.0))
 
 
 def bio_rank(records: DataFrame, query: str, as_of: date, profile: str = "default",
              top_n: int | None = None, compat: bool = False) -> DataFrame:
-    return best_first(bio_scores(records, query, as_of, score.BIO_PROFILES[profile], compat),
-                      "total_score", top_n)
+    """Records by the total of one profile, best first (T4)."""
+    scored = bio_parts(records, query, as_of, compat).withColumn(
+        "total_score", bio_total(score.BIO_PROFILES[profile]))
+    return best_first(scored, "total_score", top_n)
 
 
 def skip_reasons(view: DataFrame, floor: float = 0.05) -> DataFrame:

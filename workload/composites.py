@@ -208,20 +208,29 @@ BIO = BONUS_CTE.rstrip() + f""", y AS (SELECT *, {YEAR_AGE} AS y FROM b), z AS (
  AS s1, {YEARS} AS s2, {QUALITY} AS s3, CASE WHEN sample_count > 0 THEN least(ln(sample_count + 1) / ln(10001), 1) ELSE 0 END AS s4, {P_BONUS} AS s5, {C_BONUS} AS s6, {A_BONUS} + {O_BONUS} AS s7 FROM y) """
 
 
-@query("c13_bio_rank", BIO + " SELECT gse_id, 'default' AS profile, round(least(0.30 * s1 + 0.15 * s2 + 0.15 * s3 + 0.15 * s4 + 0.15 * s5 + 0.10 * s6 + s7, 1)::DOUBLE, 5) AS total FROM z UNION ALL SELECT gse_id, 'recent', round(least(0.20 * s1 + "
-       "0.40 * s2 + 0.15 * s3 + 0.10 * s4 + 0.10 * s5 + 0.05 * s6 + s7, 1)::DOUBLE, 5) FROM z UNION ALL SELECT gse_id, 'perturbation', round(least(0.20 * s1 + 0.10 * s2 + 0.15 * s3 + 0.10 * s4 + 0.35 * s5 + 0.10 * s6 + s7, 1)::DOUBLE, 5) FROM z",
-       "datasets")
-def c13(spark, sf):
+def bio_records(spark, sf):
     from lodecat.functions import classify
-    df = records(spark, sf).withColumns({
+    return records(spark, sf).withColumns({
+
         "summary": c("abstract"), "data_type": classify.data_type(c("omics_type"), c("title"), c("platform")), "single_cell": lit(False),
         "perturbation_types": t.all_classes(F.lower(t.join_text(c("title"), c("abstract"))), terms.PERTURBATIONS),
         "quality_score": score.quality(c("gse_id"), c("pubmed_ids"), c("sra_ids"), c("bioproject_ids"), c("abstract"), c("sample_count"), c("platform"))})
-    out = None
-    for name in score.BIO_PROFILES:
-        part = ranking.bio_rank(df, QUERY, AS_OF, name).select("gse_id", lit(name).alias("profile"), F.round("total_score", 5).alias("total"))
-        out = part if out is None else out.unionByName(part)
-    return out
+
+
+@query("c13_bio_rank", BIO + " SELECT gse_id, 'default' AS profile, round(least(0.30 * s1 + 0.15 * s2 + 0.15 * s3 + 0.15 * s4 + 0.15 * s5 + 0.10 * s6 + s7, 1)::DOUBLE, 5) AS total FROM z UNION ALL SELECT gse_id, 'recent', round(least(0.20 * s1 + "
+       "0.40 * s2 + 0.15 * s3 + 0.10 * s4 + 0.10 * s5 + 0.05 * s6 + s7, 1)::DOUBLE, 5) FROM z UNION ALL SELECT gse_id, 'perturbation', round(least(0.20 * s1 + 0.10 * s2 + 0.15 * s3 + 0.10 * s4 + 0.35 * s5 + 0.10 * s6 + s7, 1)::DOUBLE, 5) FROM z",
+       "datasets")
+def c13(spark, sf):
+    df = bio_records(spark, sf)
+    parts = ranking.bio_parts(df, QUERY, AS_OF)
+    return parts.select("gse_id", F.inline(F.array(*[
+        F.struct(lit(name).alias("profile"), F.round(ranking.bio_total(w), 5).alias("total")) for name, w in score.BIO_PROFILES.items()])))
+
+
+@query("c13_bio_rank_top", BIO + " SELECT gse_id, row_number() OVER (ORDER BY round(least(0.20 * s1 + 0.40 * s2 + 0.15 * s3 + 0.10 * s4 + 0.10 * s5 + 0.05 * s6 + s7, 1)::DOUBLE, 9) DESC, gse_id) AS rank FROM z QUALIFY rank <= 100", "datasets")
+def c13b(spark, sf):
+    scored = ranking.bio_parts(bio_records(spark, sf), QUERY, AS_OF).withColumn("total_score", F.round(ranking.bio_total(score.BIO_PROFILES["recent"]), 9))
+    return ranking.numbered(ranking.best_first(scored, "total_score", 100), "total_score").select("gse_id", "rank")
 
 
 RERANK = VIEW_CTE.rstrip() + f""", tot AS (SELECT *, round(({TOTAL})::DOUBLE, 9) AS total FROM viewed ORDER BY total DESC, gse_id LIMIT 150),
