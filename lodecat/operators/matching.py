@@ -19,19 +19,29 @@ INLINE_TERMS = 5000
 FIELDS = ("canonical", "weight", "granularity")
 
 
-def ranked(vocab: DataFrame) -> DataFrame:
+def ranked(vocab: DataFrame, *more: str) -> DataFrame:
     """Terms with their rank key: longest first, then declared order."""
     return vocab.select(
-        "term", *FIELDS, F.struct((-F.length("term")).alias("length"), "pos").alias("rank"))
+        "term", *FIELDS, *more, F.struct((-F.length("term")).alias("length"), "pos").alias("rank"))
 
 
-def small_terms(vocab: DataFrame, limit: int = INLINE_TERMS) -> list[tuple] | None:
-    """All terms best first, or None when there are more than ``limit``."""
-    rows = ranked(vocab).limit(limit + 1).collect()
+def small_vocabularies(vocab: DataFrame,
+                       limit: int = INLINE_TERMS) -> dict[str, list[tuple]] | None:
+    """Terms per domain, best first, read in one go; None when there are more than ``limit``."""
+    rows = ranked(vocab, "domain").limit(limit + 1).collect()
     if len(rows) > limit:
         return None
     rows.sort(key=lambda r: (r["rank"]["length"], r["rank"]["pos"]))
-    return [(r["term"], *(r[f] for f in FIELDS)) for r in rows]
+    out: dict[str, list[tuple]] = {}
+    for r in rows:
+        out.setdefault(r["domain"], []).append((r["term"], *(r[f] for f in FIELDS)))
+    return out
+
+
+def small_terms(vocab: DataFrame, limit: int = INLINE_TERMS) -> list[tuple] | None:
+    """All terms of one vocabulary best first, or None when there are more than ``limit``."""
+    found = small_vocabularies(vocab.withColumn("domain", F.lit("")), limit)
+    return None if found is None else found.get("", [])
 
 
 def match_best(df: DataFrame, key: str, text: Column, vocab: DataFrame, out: str,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodecat.fixed import terms
 from lodecat.functions import classify, groups as g, render
 from lodecat.functions.text import best_of, blank, has_any, join_text, phrase_hits, squash
-from lodecat.operators.matching import FIELDS, small_terms
+from lodecat.operators.matching import FIELDS, small_vocabularies
 from lodecat.session import spread
 
 
@@ -28,16 +28,12 @@ class Vocabularies:
         Vocabularies beyond the limit are matched with the joining form in
         ``operators.matching`` instead.
         """
-        def read(domain: str) -> tuple:
-            own = vocab.filter(F.col("domain") == domain)
-            if domain == "disease" and keyword_terms is not None:
-                own = keyword_terms.unionByName(own)
-            found = small_terms(own)
-            if found is None:
-                raise ValueError(f"{domain}: too many terms for the in-row form; use match_best")
-            return tuple(found)
-
-        return cls(read("disease"), read("organ"), read("assay"))
+        if keyword_terms is not None:
+            vocab = keyword_terms.unionByName(vocab)
+        found = small_vocabularies(vocab)
+        if found is None:
+            raise ValueError("too many terms for the in-row form; use match_best")
+        return cls(*(tuple(found.get(d, ())) for d in ("disease", "organ", "assay")))
 
 
 def single_cell_terms() -> list[tuple[str, float]]:

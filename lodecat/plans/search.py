@@ -42,18 +42,18 @@ def from_geo(series: DataFrame, query: str) -> DataFrame:
 def from_sra(packages: DataFrame, authority: DataFrame, query: str) -> DataFrame:
     """Studies rolled up to series that exist, and studies alone if their title fits (D8,
     J6, F7)."""
-    studies = aggregates.study_rollup(packages)
-    series = studies.filter("has_gse")
-    good = joins.known_only(series, authority)
+    known = authority.select(F.col("gse_id").alias("_known")).distinct()
+    studies = aggregates.study_rollup(packages).join(
+        known, F.col("gse_id") == F.col("_known"), "left")
+    good = F.col("has_gse") & F.col("_known").isNotNull()
     # A series nobody knows falls back to its first study, behind studies without a series.
-    lost = joins.unknown_only(series, authority).withColumns(
-        {"gse_id": F.col("srp_id"), "has_gse": F.lit(False)})
-    alone = studies.filter(~F.col("has_gse")).withColumn("_late", F.lit(0)).unionByName(
-        lost.withColumn("_late", F.lit(1)))
-    alone = first_per_key(alone, ["gse_id"], [F.col("_late"), F.col("pos")]).drop("_late")
-    fits = alone.filter(score.title_relevant(F.lower(blank(F.col("title"))), query))
-    return _result(good, "sra", F.lit(0.6), F.lit(True)).unionByName(
-        _result(fits, "sra", F.lit(0.4), F.lit(False)))
+    keyed = studies.withColumns({
+        "gse_id": F.when(good, F.col("gse_id")).otherwise(F.col("srp_id")),
+        "_late": F.col("has_gse").cast("int"), "has_gse": good}).drop("_known")
+    first = first_per_key(keyed, ["gse_id"], [F.col("_late"), F.col("pos")])
+    fits = first.filter(F.col("has_gse") | score.title_relevant(
+        F.lower(blank(F.col("title"))), query))
+    return _result(fits, "sra", F.when(F.col("has_gse"), 0.6).otherwise(0.4), F.col("has_gse"))
 
 
 def from_pubmed(papers: DataFrame, links: DataFrame, authority: DataFrame, query: str,

@@ -10,6 +10,8 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodecat.session import spread
+
 AS_OF = date(2025, 6, 30)
 NOW = datetime(2024, 2, 1)
 QUERY = "gout single cell"
@@ -232,7 +234,9 @@ def cte(*names: str) -> str:
 
 
 def given(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; the large ones come as one piece each and are spread over the cores."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in ("documents", "lineitem") else df
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
