@@ -150,7 +150,7 @@ def parse_sra_packages(df: DataFrame) -> DataFrame:
 def read_sra_packages(spark: SparkSession, path: str) -> DataFrame:
     """Experiment packages from XML files of any size: Spark splits them by row tag."""
     df = (spark.read.format("xml").option("rowTag", "EXPERIMENT_PACKAGE")
-          .schema(PACKAGE[len("struct<"):-1]).load(path))
+          .schema(T.DataType.fromDDL(PACKAGE)).load(path))
     rows = df.filter(blank(F.col("STUDY._accession")) != "")
     return _flatten_packages(rows, F.struct(*df.columns))
 
