@@ -86,7 +86,8 @@ def attributes(spark, sf):
         lit("source_name"), c("tissue"), lit("treatment"), lit("NA"), lit("other"), lit("ignored"))})
 
 
-@query("c5_groups_from_attributes", """, v AS (SELECT gse_id, CASE kind WHEN 'control group' THEN 'control' ELSE 'case' END AS root FROM samples UNION ALL SELECT gse_id, 'pbmc' FROM samples WHERE tissue <> ''),
+@query("c5_groups_from_attributes", """, raw AS (SELECT gse_id, kind AS value FROM samples UNION ALL SELECT gse_id, 'pbmc' FROM samples WHERE tissue <> ''), k0 AS (SELECT gse_id, count(DISTINCT value) AS k0 FROM raw GROUP BY 1),
+ v AS (SELECT gse_id, CASE WHEN k0 = 1 THEN value WHEN value = 'control group' THEN 'control' WHEN value = 'pbmc' THEN value ELSE 'case' END AS root FROM raw JOIN k0 USING (gse_id)),
  g AS (SELECT gse_id, root AS name, count(*) AS n FROM v GROUP BY ALL), z AS (SELECT gse_id, count(*) AS k, min(n) AS lo, sum(n) AS s FROM g GROUP BY 1), m AS (SELECT gse_id, count(*) AS total FROM samples GROUP BY 1)
  SELECT gse_id, round(least(0.95, 0.6 + 0.1 * least(total / k, 4))::DOUBLE, 6) AS confidence, CASE k WHEN 2 THEN 'binary' ELSE 'multi-group' END AS design, k >= 2 AND lo >= 2 AND s >= 4 AS contrast_ready, name, n FROM g JOIN z USING (gse_id)
  JOIN m USING (gse_id)""", "samples")
