@@ -57,11 +57,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input comes in fewer pieces than there are cores.
+    """Rows over all cores when the input is too small to come in a piece per core.
 
     For work that costs far more per row than a shuffle of the row, such as reading XML or
-    scanning whole texts.  Inputs of a cluster's size come in many pieces and stay as they are.
+    scanning whole texts.  Only the planner's size estimate is asked; no job runs.  Inputs of
+    a cluster's size stay as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    plan = df._jdf.queryExecution().optimizedPlan()
+    names = plan.toString()
+    shuffled = any(step in names for step in ("Repartition", "Aggregate [", "Join "))
+    small = int(str(plan.stats().sizeInBytes())) < cores * SPLIT_BYTES
+    return df.repartition(cores) if small and not shuffled else df

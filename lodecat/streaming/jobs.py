@@ -44,22 +44,30 @@ def compact(spark: SparkSession, folder: str, into: str, key: str = "gse_id") ->
 
 
 def stream_review(log: DataFrame, folder: str, checkpoint: str,
-                  every: str | None = "2 seconds") -> StreamingQuery:
+                  every: str | None = "2 seconds", buckets: int = 32) -> StreamingQuery:
     """Review actions as a stream: the log, and the status of every pair a batch touched.
 
     Undo needs all earlier actions of a pair, in time order, also those that arrive late.  So
-    a batch is first added to the stored log; then the pairs it touched are folded from the
-    log by :func:`review_state`, which spreads a pair with very many actions over tasks.  No
-    state lives in one task, and a repeated batch overwrites itself.
+    a batch is first added to the stored log, which is laid out by a hash of the pair; then
+    the touched pairs are folded from their buckets by :func:`review_state`, which spreads a
+    pair with very many actions over tasks.  No state lives in one task, and a repeated batch
+    overwrites itself.
     """
     pair = ["topic_id", "gse_id"]
+    bucket = F.pmod(F.hash(*pair), F.lit(buckets))
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{folder}/log/batch={number}")
-        stored = spark.read.parquet(f"{folder}/log").filter(F.col("batch") <= number)
-        touched = stored.filter(F.col("batch") == number).select(*pair).distinct()
-        state = review_state(stored.drop("batch").join(touched, pair, "left_semi"))
+        (batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket")
+         .parquet(f"{folder}/log/batch={number}"))
+        fresh = spark.read.schema(batch.schema).parquet(f"{folder}/log/batch={number}")
+        hit = [r[0] for r in fresh.select(bucket).distinct().collect()]  # at most ``buckets``
+        if not hit:
+            return
+        stored = spark.read.option("basePath", f"{folder}/log").parquet(f"{folder}/log")
+        stored = stored.filter((F.col("batch") <= number) & F.col("bucket").isin(*hit))
+        state = review_state(stored.drop("batch", "bucket").join(
+            fresh.select(*pair).distinct(), pair, "left_semi"))
         state.write.mode("overwrite").parquet(f"{folder}/status/batch={number}")
 
     writer = log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
