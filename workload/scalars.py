@@ -19,7 +19,7 @@ from workload.registry import query
 from workload.sqltext import (
     all_, any_, best_, case_, count_, hits_, key_, longest_, map_, q, seed_terms, squash_,
 )
-from workload.text import TEXT, disease_rows, disease_vocab
+from workload.text import TEXT, disease_rows
 
 c = F.col
 
