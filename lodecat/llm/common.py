@@ -50,6 +50,15 @@ def whole_partition(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     return pa.Table.from_batches(held) if held else None
 
 
+#: Rows of a lookup table up to which it is sent whole to every task.
+LOOKUP_ROWS = 100_000
+
+
+def lookup(small: DataFrame, rows: int) -> DataFrame:
+    """The table, to be broadcast if it was counted to have few rows; else joined as any other."""
+    return F.broadcast(small) if rows <= LOOKUP_ROWS else small
+
+
 def block_pairs(df: DataFrame, member: str, block_rows: int = 2048) -> DataFrame:
     """Deals the rows of every ``cell`` into groups of bounded size that meet every pair.
 

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodecat.llm.common import lookup
 from lodecat.session import cut_lineage
 
 
@@ -111,7 +112,7 @@ def realise(docs: DataFrame, sources: DataFrame, mix: Mix, id_col: str, source:
         F.col("source").alias("_s"), F.col("tokens").alias("_t"), own.alias("_w"),
         F.greatest(F.lit(1), F.round(own * F.lit(float(mix.budget)))).cast("long").alias("_b"))
     rows = docs.select(F.struct("*").alias("row"), source.alias("source"), tokens.alias("tokens"), F.col(id_col).cast("string").alias("_id"))
-    rows = (rows.join(plan, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    rows = (rows.join(lookup(plan, sources.count()), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
             .withColumn("pass", F.explode(F.sequence(F.lit(0), F.expr("cast((_b - 1) div _t as int)"))))
             .withColumn("_h", _hash60(F.lit(seed), F.col("pass"), F.coalesce("_id", F.lit(""))))
             .withColumn("_hi", F.shiftright("_h", 50)).withColumn("_mid", F.shiftright("_h", 40).bitwiseAND(F.lit(1023))))
@@ -133,15 +134,16 @@ def realise(docs: DataFrame, sources: DataFrame, mix: Mix, id_col: str, source:
 
 
 def mix_sources(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", entropy_share: float = 0.95,
-                repetition: float = 4.0, budget: int | None = None, seed: int = 42, block_tokens: int = 1_000_000) -> tuple[DataFrame, Mix | None]:
-    """The mix of ``docs`` and its figures.
+                repetition: float = 4.0, budget: int | None = None, seed: int = 42, block_tokens: int = 1_000_000,
+                tokens: Column | None = None) -> tuple[DataFrame, Mix | None]:
+    """The mix of ``docs`` and its figures.  Tokens are words, or what ``tokens`` says.
 
     A null source is a source of its own.  Documents without words have no tokens: with their
     source alive they stay where the permutation puts them, at no cost; a source of only such
     documents is left out.  Rows that repeat are documents each, in an order that their equality
     leaves open.  An empty table gives no rows, and no figures.
     """
-    source, tokens = F.col(source_col), words(F.col(text_col))
+    source, tokens = F.col(source_col), words(F.col(text_col)) if tokens is None else tokens
     sources = cut_lineage(shares(docs, source, tokens))
     mix = find_mix(sources, entropy_share, repetition, budget)
     if mix is None:

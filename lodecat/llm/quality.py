@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodecat.llm.common import longs, map_rows
+from lodecat.llm.common import longs, lookup, map_rows
 
 _UPPER, _DIGIT, _MARK = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!%$&#*|@^~=+<>{}[]\\_"
 _TRIM = ".,;:!?\"'()[]{}%$&#*|"
@@ -178,8 +178,8 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     mean = total[0] / total[1] if total[1] else 0.5
     by_host, by_path = _strength(hosts, mean), _strength(paths, mean)
     host_mean = hosts.select("host", ((F.col("s") + by_host * mean) / (F.col("n") + by_host)).alias("host_mean"))
-    return paths.join(host_mean, "host").select(
-        "host", "path", "host_mean", ((F.col("s") + by_path * F.col("host_mean")) / (F.col("n") + by_path)).alias("path_mean")), mean
+    return cut_lineage(paths.join(host_mean, "host").select(
+        "host", "path", "host_mean", ((F.col("s") + by_path * F.col("host_mean")) / (F.col("n") + by_path)).alias("path_mean"))), mean
 
 
 def _odds(p: Column) -> Column:
@@ -187,18 +187,19 @@ def _odds(p: Column) -> Column:
     return F.log(safe / (1 - safe))
 
 
-def judge(docs: DataFrame, model: Model | None, host: Column, path: Column, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Every row of ``docs`` as the struct ``row`` with ``host``, ``path``, ``evidence``,
+def judge(docs: DataFrame, model: Model | None, host: Column, path: Column, text_col: str = "text", threshold: float = 0.5,
+          carry: Sequence[str] = ("*",)) -> DataFrame:
+    """Every row of ``docs`` (its columns in ``carry``) as the struct ``row`` with ``host``, ``path``, ``evidence``,
     ``host_mean``, ``path_mean``, ``posterior`` and ``keep``.
 
     Null hosts and paths are sites of their own, named by the empty string; null and empty texts
     are judged by their form; rows that repeat are judged each; a table without rows gives none.
     Without a model (no usable label) the evidence is one half and everything is kept.
     """
-    base = docs.select(F.struct("*").alias("row"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
-    scored = with_evidence(base, model, F.col("row").getField(text_col))
+    base = docs.select(F.struct(*carry).alias("row"), F.col(text_col).alias("_text"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
+    scored = with_evidence(base, model, F.col("_text")).drop("_text")
     sites, _ = site_posteriors(scored.select("host", "path", "evidence"))
     prior = model.rate if model else 0.5
     odds = _odds(F.col("evidence")) + _odds(F.col("path_mean")) - _odds(F.lit(prior))
-    return (scored.join(sites, ["host", "path"]).withColumn("posterior", 1 / (1 + F.exp(-odds)))
+    return (scored.join(lookup(sites, sites.count()), ["host", "path"]).withColumn("posterior", 1 / (1 + F.exp(-odds)))
             .withColumn("keep", F.col("posterior") >= threshold if model else F.lit(True)))

@@ -93,7 +93,8 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_temperature_mixing")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     """The rows of the mix over all documents, by id."""
-    rows, _ = mixing.mix_sources(table(spark, sf, "documents"))
+    docs = table(spark, sf, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("n_words"))
+    rows, _ = mixing.mix_sources(docs, tokens=F.col("n_words"))
     return rows.select("row.doc_id", "source", "tokens", "pass", "block", "slot")
 
 
@@ -114,7 +115,7 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     The source stands for the host and the language for the path below it."""
     docs = table(spark, sf, "documents")
     model = quality.train(docs, table(spark, sf, "labels"))
-    judged = quality.judge(docs, model, F.col("source"), F.col("lang"))
+    judged = quality.judge(docs, model, F.col("source"), F.col("lang"), carry=["doc_id"])
     return judged.select("row.doc_id", "host", "path", "evidence", "host_mean", "path_mean", "posterior", "keep")
 
 
