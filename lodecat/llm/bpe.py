@@ -13,6 +13,7 @@ import heapq
 import json
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -184,7 +185,7 @@ def encode(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_col: str =
             coded.append(hashlib.sha256(line.encode()).hexdigest())
             decoded.append(hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())
             if ids:
-                lists.append([int(i) for i in line.split(" ")] if line else [])
+                lists.append(np.fromstring(line, np.int32, sep=" ") if line else np.zeros(0, np.int32))
         out = {"doc_id": longs(batch, "doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(coded, pa.string()),
                "decoded_sha256": pa.array(decoded, pa.string())}
         if ids:

@@ -27,14 +27,19 @@ def public_id(column: str = "doc_id") -> Column:
     return F.nullif(F.col(column), F.lit(NULL_ID)).alias(column)
 
 
+_PIECE = 4 << 20
+
+
 def map_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """One Arrow batch in, one out; ``rows`` gives the columns by name."""
+    """Some rows in, some out, in pieces of some MB, so long texts don't add up; ``rows`` gives the
+    columns by name."""
     names = [p.split()[0] for p in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = rows(batch)
+            step = max(1, int(batch.num_rows * _PIECE / max(batch.nbytes, _PIECE)))
+            for at in range(0, batch.num_rows, step):
+                out = rows(batch.slice(at, step))
                 yield pa.RecordBatch.from_arrays([pa.array(out[n]) if not isinstance(
                     out[n], pa.Array) else out[n] for n in names], names)
     return df.mapInArrow(run, schema)
