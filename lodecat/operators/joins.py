@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodecat.fixed import terms
 from lodecat.functions.parse import accession_type
 from lodecat.functions.text import distinct_ignoring_case
-from lodecat.operators.order import top_per_key
+from lodecat.operators.order import one_per_key, top_per_key
 from lodecat.session import cut_lineage
 
 VIEW_FIELDS = ["title", "organism", "sample_count", "omics_type", "omics_granularity",
@@ -47,8 +47,8 @@ def without_answers(rows: DataFrame, answers: DataFrame, keys: Sequence[str]) ->
 
 
 def override(rows: DataFrame, other: DataFrame, keys: Sequence[str], field: str) -> DataFrame:
-    """``field`` from ``other`` where present, else its own value."""
-    theirs = other.select(*keys, F.col(field).alias("_theirs"))
+    """``field`` from ``other`` where present, else its own value (J4); of several the greatest."""
+    theirs = one_per_key(other.select(*keys, field).filter(F.col(field).isNotNull()), keys).select(*keys, F.col(field).alias("_theirs"))
     return (rows.join(theirs, list(keys), "left")
             .withColumn(field, F.coalesce("_theirs", field)).drop("_theirs"))
 
@@ -109,44 +109,34 @@ def fill_missing(rows: DataFrame, source: DataFrame, key: str, text: Sequence[st
     return out.withColumns(new).drop(*[f"_s_{c}" for c in used])
 
 
-def ancestors(nodes: DataFrame, edges: DataFrame, deepest: int = 64) -> DataFrame:
-    """(node, ancestor, depth) up the parent chain; a node already on the path ends it.
+def ancestors(nodes: DataFrame, edges: DataFrame, deepest: int | None = None) -> DataFrame:
+    """(node, relative, depth) up the parent chain, each relative once, at its least depth.
 
-    One equi-join per level; lineage is cut every few levels and the walk stops when no row
-    moved.
+    One equi-join and one checkpoint per level; the walk ends when a level finds nothing new, so
+    chains of any length and cycles both end.  ``deepest`` stops earlier on request.
     """
-    up = edges.select(F.col("child").alias("at"), F.col("parent").alias("next"))
-    front = nodes.select(F.col("node"), F.col("node").alias("at"),
-                         F.array("node").alias("path"))
-    return _walk(front, up, deepest)
+    return _walk(nodes, edges.select(F.col("child").alias("at"), F.col("parent").alias("next")), deepest)
 
 
-def descendants(nodes: DataFrame, edges: DataFrame, deepest: int = 64) -> DataFrame:
-    """(node, descendant, depth) down the child links."""
-    down = edges.select(F.col("parent").alias("at"), F.col("child").alias("next"))
-    front = nodes.select(F.col("node"), F.col("node").alias("at"),
-                         F.array("node").alias("path"))
-    return _walk(front, down, deepest)
+def descendants(nodes: DataFrame, edges: DataFrame, deepest: int | None = None) -> DataFrame:
+    """(node, relative, depth) down the child links, as ``ancestors``."""
+    return _walk(nodes, edges.select(F.col("parent").alias("at"), F.col("child").alias("next")), deepest)
 
 
-def _walk(front: DataFrame, step: DataFrame, deepest: int) -> DataFrame:
+def _walk(nodes: DataFrame, step: DataFrame, deepest: int | None) -> DataFrame:
     step = cut_lineage(step.distinct())
-    levels = []
-    for depth in range(1, deepest + 1):
-        front = (front.join(step, "at").filter(~F.array_contains("path", F.col("next")))
-                 .select("node", F.col("next").alias("at"),
-                         F.array_append("path", F.col("next")).alias("path")))
-        front = cut_lineage(front)
+    front = nodes.select("node", F.col("node").alias("at")).distinct()
+    seen, depth = front.withColumn("depth", F.lit(0)), 0
+    while deepest is None or depth < deepest:
+        depth += 1
+        front = cut_lineage(front.join(step, "at").select("node", F.col("next").alias("at")).distinct()
+                            .join(seen, ["node", "at"], "left_anti"))
         if front.isEmpty():
             break
-        levels.append(front.select("node", F.col("at").alias("relative"),
-                                   F.lit(depth).alias("depth")))
-    if not levels:
-        return front.select("node", F.col("at").alias("relative"), F.lit(0).alias("depth"))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+        seen = seen.unionByName(front.withColumn("depth", F.lit(depth)))
+        if depth % 10 == 0:
+            seen = cut_lineage(seen)
+    return seen.filter("depth > 0").select("node", F.col("at").alias("relative"), "depth")
 
 
 def topic_by_name(topics: DataFrame, names: DataFrame) -> DataFrame:

@@ -76,6 +76,14 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
             .select(*keys, "_row.*").select(*df.columns))
 
 
+def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column] | None = None) -> DataFrame:
+    """One row per key, the last by ``order``; without one, the greatest by all other columns."""
+    rest = [F.col(c) for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    return first_per_key(df, keys, [*(order or []), *rest], last=True)
+
+
 def evict(index: DataFrame, max_entries: int, max_bytes: int, spare: int = 10,
           keep_share: float = 0.8) -> DataFrame:
     """Cache entries to drop, oldest first, until both bounds hold.

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodecat.operators.order import first_per_key
+from lodecat.operators.order import first_per_key, one_per_key
 
 LONGER_WINS = ("abstract", "overall_design")
 ALWAYS_NEW = ("last_updated", "version", "change_log", "availability_status",
@@ -98,9 +98,11 @@ def insert_new(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return stored.unionByName(once.join(stored.select(key), key, "left_anti"))
 
 
-def insert_or_replace(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Incoming rows replace stored ones of the same key."""
-    return stored.join(incoming.select(key), key, "left_anti").unionByName(incoming)
+def insert_or_replace(stored: DataFrame, incoming: DataFrame, key: str,
+                      order: Sequence[Column] | None = None) -> DataFrame:
+    """Incoming rows replace stored ones of the same key; of several the last by ``order``."""
+    once = one_per_key(incoming, [key], order)
+    return stored.join(once.select(key), key, "left_anti").unionByName(once)
 
 
 def append(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -109,9 +111,11 @@ def append(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def update_fields(stored: DataFrame, changes: DataFrame, key: str, fields: Sequence[str],
-                  keep_when_empty: bool = True) -> DataFrame:
-    """Chosen fields by key (U9, U14); empty text and null keep the stored value."""
-    side = changes.select(key, F.lit(True).alias("_hit"),
+                  keep_when_empty: bool = True, order: Sequence[Column] | None = None) -> DataFrame:
+    """Chosen fields by key (U9, U14); empty text and null keep the stored value.
+
+    Of several changes of a key the last by ``order`` counts."""
+    side = one_per_key(changes, [key], order).select(key, F.lit(True).alias("_hit"),
                           *[F.col(f).alias(f"_c_{f}") for f in fields])
     out = stored.join(side, key, "left")
     new = {}
@@ -129,7 +133,7 @@ def update_fields(stored: DataFrame, changes: DataFrame, key: str, fields: Seque
 
 def refresh(stored: DataFrame, fetched: DataFrame) -> DataFrame:
     """Title if given, samples if any, availability open again for fetched rows."""
-    side = fetched.select("gse_id", F.col("title").alias("_t"), F.col("n_samples").alias("_n"),
+    side = one_per_key(fetched, ["gse_id"]).select("gse_id", F.col("title").alias("_t"), F.col("n_samples").alias("_n"),
                           F.lit(True).alias("_hit"))
     return (stored.join(side, "gse_id", "left")
             .withColumn("title", F.coalesce(F.nullif("_t", F.lit("")), "title"))

@@ -95,7 +95,9 @@ class Knowledge:
                 for name in (row["key"], row["canonical"], *other):
                     d.names.setdefault(name.lower(), row["canonical"])
         short = {} if abbreviations is None else {
-            r["key"]: r.asDict() for r in abbreviations.limit(most).collect()}
+            r["key"]: r.asDict() for r in abbreviations.orderBy("key").limit(most + 1).collect()}
+        if len(short) > most:
+            raise ValueError("too many abbreviations for the in-row form; use expand_terms_join")
         return cls(abbreviations=short, **domains)
 
     # --- words --------------------------------------------------------------------------

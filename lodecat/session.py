@@ -31,13 +31,17 @@ def build_session(app: str = "lodecat", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only where no folder is configured (tests, a laptop) is a temporary one set.
+    Only where no folder is configured and all runs in one process (tests, a laptop) is a
+    temporary one set; a cluster without the setting is refused.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         configured = known.get() if known.isDefined() else None
     if not configured:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all of {master} can reach")
         configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured

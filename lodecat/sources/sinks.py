@@ -131,8 +131,8 @@ def result_json(ranked: DataFrame, query: str, top_n: int, searched_at: str,
 
 def export(datasets: DataFrame, path: str, kind: str = "tsv",
            fields: Sequence[str] | None = None, edges: DataFrame | None = None,
-           topic_id: str | None = None, limit: int = 10000, **filters) -> DataFrame:
-    """Filter, cut and write in one go; returns what was written (K8)."""
+           topic_id: str | None = None, limit: int | None = None, **filters) -> DataFrame:
+    """Filter, cut if a limit is given, and write in one go; returns what was written (K8)."""
     from lodecat.operators.filters import list_datasets
     rows = list_datasets(datasets, edges, topic_id, limit=limit, **filters)
     fields = list(fields or terms.EXPORT_FIELDS)

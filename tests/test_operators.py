@@ -282,3 +282,19 @@ def test_core_plans(spark):
     assert "hashpartitioning" not in view and "HashJoin" not in view and "MergeJoin" not in view
     plan = workload.QUERIES["d3_availability_counts"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint>" in plan
+
+
+def test_one_row_per_key_after_changes(spark):
+    from lodecat.operators import store
+    stored = spark.createDataFrame([("a", "x"), ("b", "y")], "k string, v string")
+    twice = spark.createDataFrame([("a", "1"), ("a", "2"), ("c", "3"), ("c", "3")], "k string, v string")
+    assert rows(store.insert_or_replace(stored, twice, "k")) == [("a", "2"), ("b", "y"), ("c", "3")]
+    assert rows(store.update_fields(stored, twice, "k", ["v"])) == [("a", "2"), ("b", "y")]
+    assert rows(joins.override(stored, twice, ["k"], "v")) == [("a", "2"), ("b", "y")]
+
+
+def test_long_chain_and_two_parents(spark):
+    links = [(f"n{i}", f"n{i + 1}") for i in range(100)] + [("n0", "n2"), ("n100", "n0")]
+    edges = spark.createDataFrame(links, "child string, parent string")
+    up = joins.ancestors(spark.createDataFrame([("n0",)], "node string"), edges)
+    assert up.count() == 100 and up.filter("relative = 'n2'").first()["depth"] == 1

@@ -304,7 +304,7 @@ def k4(spark, sf):
 
 
 @query("k5_search_csv", "SELECT row_number() OVER (ORDER BY sample_count DESC, gse_id) AS rank, gse_id, title, printf('%.4f', sample_count / "
-       "1000.0) AS relevance_score, printf('%.4f', sample_count / 1000.0) AS total_score, sra_id AS sra_ids, '' AS answer_summary FROM datasets",
+       "1000.0) AS relevance_score, printf('%.4f', sample_count / 1000.0) AS total_score, sra_id AS sra_ids, '' AS llm_one_sentence_summary FROM datasets",
        "datasets")
 def k5(spark, sf):
     """All rows ranked over one order, written and read back."""
@@ -315,7 +315,7 @@ def k5(spark, sf):
                                            "total_score": c("sample_count") / 1000.0}), path)
     back = spark.read.csv(path, header=True, escape='"').fillna("")
     return back.select(c("rank").cast("long").alias("rank"), "gse_id", "title", "relevance_score", "total_score", "sra_ids",
-                       "answer_summary")
+                       "llm_one_sentence_summary")
 
 
 @query("k6_json_payload", "SELECT gse_id, '{\"gse_id\":\"' || gse_id || '\",\"title\":\"' || title || '\",\"sample_count\":' || sample_count || "
@@ -326,7 +326,7 @@ def k6(spark, sf):
 
 
 @query("k8_export", "SELECT gse_id, title FROM datasets WHERE sample_count >= 300 AND access_type = 'public' AND organism = 'Homo sapiens' "
-       "ORDER BY last_updated DESC, gse_id LIMIT 10000", "datasets")
+       "ORDER BY last_updated DESC, gse_id", "datasets")
 def k8(spark, sf):
     path = run_folder(spark, "export")
     sinks.export(records(spark, sf), path, "csv", ["gse_id", "title"], access_type="public", organism="sapiens",
