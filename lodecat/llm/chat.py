@@ -9,7 +9,6 @@ ends inside the span.  A template that changes what it wrote for earlier turns i
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -68,7 +67,15 @@ def read_back(formatted: str) -> list[Turn]:
 
 
 def _common(a: str, b: str) -> int:
-    return len(os.path.commonprefix([a, b]))
+    """Characters that both begin with, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
 
 
 @dataclass(frozen=True)
@@ -80,18 +87,62 @@ class Rendering:
     rewrites: int
 
 
-def render(turns: Sequence[Turn], template: Callable[[Sequence[Turn]], str] = inst_template) -> Rendering:
+def _text_place(template, earlier: Sequence[Turn], role: str, now: str) -> tuple[int, int]:
+    """Where the last turn's text starts and ends in ``now``.
+
+    "0" and "1" occur in no control string, so the probes part exactly where the text begins."""
+    zero, one = (template([*earlier, (role, p)]) for p in "01")
+    first = _common(zero, one)
+    if first == len(zero):
+        return len(now), len(now)
+    return first, len(now) - _common(zero[:first:-1], one[:first:-1])
+
+
+def _windowed(turns: Sequence[Turn], template, window: int) -> Rendering | None:
+    """What each turn adds, rendered behind the last ``window`` to twice as many turns.
+
+    Valid if the parts make up the whole rendering, and its prefixes of doubling length; else None.
+    """
+    parts, spans, check = [template([])], [], window
+    at = len(parts[0])
+    for begin in range(0, len(turns), window):
+        low = max(0, begin - window)
+        before = template(turns[low:begin])
+        for k in range(begin, min(begin + window, len(turns))):
+            now = template(turns[low:k + 1])
+            if not now.startswith(before):
+                return None
+            first, last = _text_place(template, turns[low:k], turns[k][0], now)
+            shift = at - len(before)
+            if first < len(before):
+                return None
+            spans.append((at, len(now) + shift, first + shift, last + shift))
+            parts.append(now[len(before):])
+            at, before = len(now) + shift, now
+        done = min(begin + window, len(turns))
+        if done >= check or done == len(turns):
+            check *= 2
+            if template(turns[:done]) != "".join(parts):
+                return None
+    return Rendering("".join(parts), spans, -1)
+
+
+def render(turns: Sequence[Turn], template: Callable[[Sequence[Turn]], str] = inst_template, window: int = 16) -> Rendering:
+    """Renders successive prefixes and compares them.
+
+    Whole prefixes cost the square of the turns.  So a long conversation is first rendered over
+    windows, and the result stands if it makes up the whole rendering; a template that looks
+    farther back, or rewrites, is rendered prefix by prefix.
+    """
+    if len(turns) > 2 * window and (found := _windowed(turns, template, window)):
+        return found
     before, spans, rewrites = template([]), [], -1
     for k, (role, text) in enumerate(turns):
         now = template(turns[:k + 1])
         same = len(before) if now.startswith(before) else _common(before, now)
         if same < len(before) and rewrites < 0:
             rewrites = k
-        # "0" and "1" occur in no control string, so the outputs part exactly where the text begins.
-        zero, one = (template([*turns[:k], (role, p)]) for p in "01")
-        first = _common(zero, one)
-        tail = _common(zero[:first:-1], one[:first:-1])
-        spans.append((same, len(now), first, len(now) - tail) if first < len(zero) else (same, len(now), len(now), len(now)))
+        spans.append((same, len(now), *_text_place(template, turns[:k], role, now)))
         before = now
     return Rendering(before, spans, rewrites)
 

@@ -84,6 +84,16 @@ def test_chat_finds_rewritten_history():
     assert chat.render(turns).rewrites == -1
 
 
+def test_chat_long_conversations_equal_whole_prefixes():
+    r = random.Random(4)
+    turns = [(r.choice(["user", "assistant", "system"]), r.choice(["", "a", "[INST] b", "0", "1\\"])) for _ in range(90)]
+    assert chat.render(turns) == chat.render(turns, window=1000)
+    far = lambda t: chat.inst_template(t) if len(t) < 60 else chat.inst_template([("user", "new"), *t[1:]])
+    assert chat.render(turns, far) == chat.render(turns, far, window=1000) and chat.render(turns, far).rewrites == 59
+    many = [("user", "x" * 50)] * 3000
+    assert chat.read_back(chat.render(many).formatted) == many
+
+
 def test_chat_nulls_ties_and_extra_columns(spark):
     rows = spark.createDataFrame([(1, 0, "user", None, 9), (1, 0, "user", None, 9), (None, None, None, "x", 9), (2, 1, "assistant", "b", 9), (2, 0, "user", "a", 9)],
                                  "conv_id long, turn long, role string, text string, n_turns long")
