@@ -25,7 +25,7 @@ from lodecat.llm.vocabulary import PLAIN, WHITE, Recent, byte_letters, file_of
 # White space as the Unicode property has it; str.split would also cut at U+001C to U+001F.
 SPACES = regex.compile(f"[{WHITE}]+")
 ODD = regex.compile("[\x1c-\x1f]")
-_KEPT = 200_000
+_KEPT = 60_000
 _SHORT = 96
 
 
@@ -53,7 +53,7 @@ class ForcedBoundaryBPE:
         self.normal, self.split = library.normalizer, library.pre_tokenizer
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.letter = {b: c for c, b in byte_letters().items()}
-        self.inner, self.final, self.chunks = Recent(_KEPT // 4), Recent(_KEPT // 4), Recent(_KEPT)
+        self.inner, self.final, self.chunks = Recent(_KEPT // 2), Recent(_KEPT // 2), Recent(_KEPT)
 
     def merge(self, symbols: list[str]) -> list[str]:
         """The merges of least rank first, the leftmost of equals; long ones over a linked list."""

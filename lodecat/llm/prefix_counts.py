@@ -26,7 +26,7 @@ from lodecat.llm.vocabulary import PLAIN, WHITE, Recent, bytes_of, file_of
 UNITS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 LEAD = re.compile(f"[{WHITE}]*")
 CONTRACTIONS = {"'re", "'ve", "'ll"}
-_KEPT = 200_000
+_KEPT = 100_000
 
 
 class PrefixCounter:
