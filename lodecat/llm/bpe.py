@@ -25,7 +25,7 @@ from lodecat.llm.vocabulary import PLAIN, WHITE, Recent, byte_letters, file_of
 # White space as the Unicode property has it; str.split would also cut at U+001C to U+001F.
 SPACES = regex.compile(f"[{WHITE}]+")
 ODD = regex.compile("[\x1c-\x1f]")
-_KEPT = 60_000
+_KEPT = 120_000
 _SHORT = 96
 
 
@@ -45,6 +45,7 @@ class ForcedBoundaryBPE:
         self.rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): r for r, m in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
+        self.named = {str(i): t for i, t in self.names.items()}
         self.joined = set()
         for token in self.ids:
             body = token.removesuffix(self.suffix) if self.suffix else token
@@ -109,8 +110,8 @@ class ForcedBoundaryBPE:
                 start = i
         return out + self.fragment(word[start:], True)
 
-    def chunk(self, text: str) -> tuple[str, str, int]:
-        """Of a text without white space: the ids in decimal, the tokens, and how many."""
+    def chunk(self, text: str) -> str:
+        """Of a text without white space: the ids in decimal, with one space between."""
         found = self.chunks.get(text)
         if found is None:
             if m := PLAIN.fullmatch(text):
@@ -120,27 +121,32 @@ class ForcedBoundaryBPE:
                 plain = self.normal.normalize_str(text) if self.normal else text
                 words = [w for w, _ in self.split.pre_tokenize_str(plain)]
             ids = [i for w in words if w for i in self.word(w)]
-            found = (" ".join(map(str, ids)), " ".join([self.names[i] for i in ids]), len(ids))
+            found = " ".join(map(str, ids))
             self.chunks.put(text, found)
         return found
 
-    def parts(self, text: str) -> list[tuple[str, str, int]]:
-        """The chunks of a whole text in order; special strings are special tokens."""
+    def line(self, text: str) -> str:
+        """The ids of a whole text in decimal; special strings are special tokens."""
         out, chunk = [], self.chunk
         pieces = [text]
         if self.cut is not None and any(s in text for s in self.special):
             pieces = self.cut.split(text)
         for piece in pieces:
             if piece in self.special:
-                out.append((str(self.special[piece]), piece, 1))
+                out.append(str(self.special[piece]))
                 continue
             words = SPACES.split(piece) if ODD.search(piece) else piece.split()
             recent = self.chunks.young
             out += [recent.get(w) or chunk(w) for w in words if w]
-        return [p for p in out if p[2]]
+        return " ".join([p for p in out if p])
+
+    def forget(self) -> None:
+        """Lets the kept words go."""
+        for kept in (self.inner, self.final, self.chunks):
+            kept.clear()
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for p in self.parts(text) for i in p[0].split(" ")]
+        return [int(i) for i in self.line(text).split()]
 
     def decode(self, ids: list[int]) -> str:
         """The tokens with one space between, as a file without a decoder is read."""
@@ -179,11 +185,11 @@ def encode(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_col: str =
         own = codec(path)
         n, coded, decoded, lists = [], [], [], []
         for text in batch.column("text").to_pylist():
-            parts = own.parts(text)
-            line = " ".join([p[0] for p in parts])
-            n.append(sum(p[2] for p in parts))
+            line = own.line(text)
+            told = line.split()
+            n.append(len(told))
             coded.append(hashlib.sha256(line.encode()).hexdigest())
-            decoded.append(hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())
+            decoded.append(hashlib.sha256(" ".join(map(own.named.__getitem__, told)).encode()).hexdigest())
             if ids:
                 lists.append(np.fromstring(line, np.int32, sep=" ") if line else np.zeros(0, np.int32))
         out = {"doc_id": longs(batch, "doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(coded, pa.string()),
@@ -192,5 +198,5 @@ def encode(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_col: str =
             out["ids"] = pa.array(lists, pa.list_(pa.int32()))
         return out
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
-    out = map_rows(texts(docs, id_col, text_col), rows, schema)
+    out = map_rows(texts(docs, id_col, text_col), rows, schema, lambda: codec(path).forget())
     return out.select(public_id(), *out.columns[1:])

@@ -30,9 +30,11 @@ def public_id(column: str = "doc_id") -> Column:
 _PIECE = 4 << 20
 
 
-def map_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str,
+             done: Callable[[], None] | None = None) -> DataFrame:
     """Some rows in, some out, in pieces of some MB, so long texts don't add up; ``rows`` gives the
-    columns by name."""
+    columns by name.  ``done`` runs at the end of a partition: workers live on, what it frees is
+    there for the next stage."""
     names = [p.split()[0] for p in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,6 +44,8 @@ def map_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str)
                 out = rows(batch.slice(at, step))
                 yield pa.RecordBatch.from_arrays([pa.array(out[n]) if not isinstance(
                     out[n], pa.Array) else out[n] for n in names], names)
+        if done:
+            done()
     return df.mapInArrow(run, schema)
 
 

@@ -36,6 +36,9 @@ class Recent:
             self.old, self.young = self.young, {}
         self.young[key] = value
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
 
 def file_of(name: str) -> str:
     """A path as given, or the place of a public vocabulary file by its name."""
