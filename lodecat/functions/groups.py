@@ -49,14 +49,19 @@ def group_name(token: Column, names: Mapping[str, str] | None = None) -> Column:
 
 
 def groups_from_text(title: Column, design: Column, samples: Column) -> Column:
-    """Groups named in a text with size 0, else a split of the sample count."""
+    """Groups named in a text with size 0, else a split of the sample count.
+
+    Of each pattern's matches the first that names a group counts.
+    """
     text = F.lower(F.concat_ws(" ", blank(title), blank(design)))
-    parts = []
+    names = []
     for pattern, groups in GROUP_TEXT_PATTERNS:
-        parts += [F.regexp_extract(text, pattern, g + 1) for g in range(groups)]
-    names = F.filter(
-        F.array(*parts),
-        lambda p: (p != "") & ~p.rlike("^[0-9]+$") & ~p.isin(*STOP_PARTS))
+        matches = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(g + 1)) for g in range(groups)])
+        parts = F.transform(matches, lambda m: F.filter(
+            F.array(*[m[str(g)] for g in range(groups)]),  # noqa: B023
+            lambda p: (p != "") & ~p.rlike("^[0-9]+$") & ~p.isin(*STOP_PARTS)))
+        names.append(F.get(F.filter(parts, lambda p: F.size(p) > 0), F.lit(0)))
+    names = F.flatten(F.filter(F.array(*names), lambda p: p.isNotNull()))
     names = F.array_distinct(F.filter(F.transform(names, lambda n: group_name(n)), lambda n: n != ""))
     group = lambda n, k: F.struct(n.alias("name"), k.cast("long").alias("n"))
     half = F.floor(samples / 2)
@@ -64,8 +69,8 @@ def groups_from_text(title: Column, design: Column, samples: Column) -> Column:
                                           group(F.lit("control"), samples - half)))
              .when(samples >= 2, F.array(group(F.lit("unknown"), samples)))
              .otherwise(F.array().cast("array<struct<name:string,n:bigint>>")))
-    found = F.transform(names, lambda n: group(n, F.lit(0)))
-    return F.when(F.size(names) > 0, found).otherwise(split)
+    found = lambda ns: F.transform(ns, lambda n: group(n, F.lit(0)))
+    return let(names, lambda ns: F.when(F.size(ns) > 0, found(ns)).otherwise(split))
 
 
 def contrast_ready(groups: Column) -> Column:

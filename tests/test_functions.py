@@ -138,3 +138,14 @@ def test_bulk_patterns_in_upper_case_never_hit(spark):
     files = F.array(F.struct(F.col("n").alias("name"), F.lit("TXT").alias("type"), F.lit(1).cast("long").alias("size")))
     names = classify.file_names(files, "name", "type")
     assert df.select(classify.file_format(files, names, F.lit(""), F.lit(""))["is_bulk_by_files"]).first()[0] is False
+
+
+def test_groups_come_from_the_first_match_that_names_one(spark):
+    def found(design, samples=10):
+        df = spark.createDataFrame([(design, samples)], "d string, n int")
+        return [(g["name"], g["n"]) for g in df.select(groups.groups_from_text(F.lit(""), F.col("d"), F.col("n"))).first()[0]]
+    assert found("of vs the; case vs control") == found("case vs control") and all(n == 0 for _, n in found("case vs control"))
+    assert found("treated vs untreated; case vs control") == found("treated vs untreated")
+    assert found("3 replicates of control, case and treated") == found("3 replicates of control") + found("case and treated")
+    assert found("of vs the") == [("case", 5), ("control", 5)]
+    assert found("") == [("case", 5), ("control", 5)]
