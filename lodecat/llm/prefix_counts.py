@@ -184,6 +184,16 @@ class PrefixCounter:
 
     def longest(self, text: str, budget: int) -> int:
         """Characters of the longest prefix with at most ``budget`` tokens."""
+        if self.cut is None or not any(s in text for s in self.special):
+            # Every unit adds a token at least: beyond the first that goes over, no prefix fits.
+            base = at = 0
+            for m in UNITS.finditer(text):
+                u = m.group()
+                k = self.plain(u)
+                if base + k > budget:
+                    return at + max((i for i, c in enumerate(self.unit(u), 1) if base + c <= budget), default=0)
+                base, at = base + k, m.end()
+            return at
         fits = np.flatnonzero(self.counts(text) <= budget)
         return int(fits[-1]) + 1 if len(fits) else 0
 
