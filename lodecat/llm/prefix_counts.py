@@ -26,7 +26,7 @@ from lodecat.llm.vocabulary import PLAIN, WHITE, Recent, bytes_of, file_of
 UNITS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 LEAD = re.compile(f"[{WHITE}]*")
 CONTRACTIONS = {"'re", "'ve", "'ll"}
-_KEPT = 100_000
+_KEPT = 200_000
 
 
 class PrefixCounter:
@@ -49,20 +49,25 @@ class PrefixCounter:
         self.split = Tokenizer.from_file(path).pre_tokenizer
         self.ends = ahocorasick.Automaton()
         for b in self.token:
-            self.ends.add_word(b.decode("latin-1"), b)
+            self.ends.add_word(b.decode("latin-1"), (b, len(b)))
         self.ends.make_automaton()
         self.fits = lru_cache(1 << 18)(self._fits)
         self.alive: dict[bytes, bool] = {}
-        self.pieces, self.units, self.totals = Recent(_KEPT // 4), Recent(_KEPT // 8), Recent(_KEPT)
+        self.marks, self.units, self.totals = Recent(_KEPT // 16), Recent(_KEPT // 64), Recent(_KEPT)
 
     def _fits(self, a: bytes, b: bytes) -> bool:
-        """Whether the tokens a and b stay apart when their bytes are encoded together.
+        """Whether token b stands alone and stays apart from the token a before it, if there is one,
+        when their bytes are encoded together.
 
         Their merges are undone, the latest first.  At each step the two pieces at the border
         must have no merge that comes before the one just undone; of equal merges the left one
         comes first.
         """
         rank, formed, halves = self.rank, self.formed, self.halves
+        if not self.own(b):
+            return False
+        if not a:
+            return True
         if (a, b) in rank:
             return False
         while True:
@@ -90,29 +95,48 @@ class PrefixCounter:
             found = self.alive[token] = len(parts) == 1
         return found
 
+    def by_byte(self, text: str) -> list[int]:
+        """Counts at the end of each byte of one piece, after a zero; inside a character they hold no sense."""
+        raw = text if text.isascii() else text.encode().decode("latin-1")
+        size = len(raw) + 1
+        count, last, at, fits = [0] * size, [b""] * size, -1, self.fits
+        for end, (t, n) in self.ends.iter(raw):  # at each end the longest comes first
+            if end != at:
+                before = end + 1 - n
+                if fits(last[before], t):
+                    at = end
+                    end += 1
+                    last[end] = t
+                    count[end] = count[before] + 1
+        return count
+
     def piece(self, text: str) -> list[int]:
         """Counts at the end of each character of one piece."""
-        found = self.pieces.get(text)
-        if found is not None:
-            return found
-        raw = text.encode()
-        n = len(raw)
-        count, last, at, fits, own = [0] * (n + 1), [b""] * (n + 1), -1, self.fits, self.own
-        for end, t in self.ends.iter(raw.decode("latin-1")):  # at each end the longest comes first
-            if end != at:
-                before = end + 1 - len(t)
-                if own(t) and (not before or fits(last[before], t)):
-                    last[end + 1], count[end + 1], at = t, count[before] + 1, end
-        if n == len(text):
-            found = count[1:]
-        else:
-            found, at = [], 0
-            for c in text:
-                at += len(c.encode())
-                found.append(count[at])
-        self.pieces.put(text, found)
+        count = self.by_byte(text)
+        if len(count) == len(text) + 1:
+            return count[1:]
+        found, at = [], 0
+        for c in text:
+            at += len(c.encode())
+            found.append(count[at])
         return found
 
+    def last(self, text: str) -> int:
+        """The count of one unit, its pieces' last counts together."""
+        if m := PLAIN.fullmatch(text):
+            word, marks = m.groups()
+            n = self.by_byte(word)[-1]
+            if marks:
+                k = self.marks.get(marks)
+                if k is None:
+                    k = self.by_byte(marks)[-1]
+                    self.marks.put(marks, k)
+                n += k
+        else:
+            n = sum([self.by_byte(text[start:end])[-1] for _, (start, end) in self.split.pre_tokenize_str(text)])
+        self.totals.put(text, n)
+        return n
+
     def unit(self, text: str) -> list[int]:
         """Counts at the end of each character of one unit, each prefix cut into its own pieces."""
         found = self.units.get(text)
@@ -141,16 +165,15 @@ class PrefixCounter:
         self.units.put(text, found)
         return found
 
+    def by_unit(self, units: list[str]) -> list[int]:
+        """The count of each unit."""
+        totals = self.totals
+        old = totals.get
+        return [totals.young.get(u) or old(u) or self.last(u) for u in units]
+
     def plain(self, text: str) -> int:
         """The count of a text without special strings."""
-        totals, n = self.totals, 0
-        for u in UNITS.findall(text):
-            k = totals.young.get(u)
-            if k is None and (k := totals.get(u)) is None:
-                k = self.unit(u)[-1]
-                totals.put(u, k)
-            n += k
-        return n
+        return sum(self.by_unit(UNITS.findall(text)))
 
     def total(self, text: str) -> int:
         if self.cut is None or not any(s in text for s in self.special):
@@ -182,20 +205,29 @@ class PrefixCounter:
             base += own[-1]
         return np.concatenate(out) if out else np.zeros(0, np.int32)
 
-    def longest(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix with at most ``budget`` tokens."""
+    def measure(self, text: str, budget: int) -> tuple[int, int]:
+        """The count of a text, and the characters of its longest prefix with at most ``budget`` tokens."""
         if self.cut is None or not any(s in text for s in self.special):
+            units = UNITS.findall(text)
+            counts = self.by_unit(units)
+            n = sum(counts)
+            if n <= budget:
+                return n, len(text)
             # Every unit adds a token at least: beyond the first that goes over, no prefix fits.
-            base = at = 0
-            for m in UNITS.finditer(text):
-                u = m.group()
-                k = self.plain(u)
-                if base + k > budget:
-                    return at + max((i for i, c in enumerate(self.unit(u), 1) if base + c <= budget), default=0)
-                base, at = base + k, m.end()
-            return at
+            over, base = 0, 0
+            while base + counts[over] <= budget:
+                base += counts[over]
+                over += 1
+            inside = max((i for i, c in enumerate(self.unit(units[over]), 1) if base + c <= budget), default=0)
+            return n, sum(map(len, units[:over])) + inside
+        n = self.total(text)
+        if n <= budget:
+            return n, len(text)
         fits = np.flatnonzero(self.counts(text) <= budget)
-        return int(fits[-1]) + 1 if len(fits) else 0
+        return n, int(fits[-1]) + 1 if len(fits) else 0
+
+    def longest(self, text: str, budget: int) -> int:
+        return self.measure(text, budget)[1]
 
 
 @lru_cache(4)
@@ -217,10 +249,10 @@ def token_counts(docs: DataFrame, budget: int = 1024, vocabulary: str = "byte_bp
     def rows(batch: pa.RecordBatch) -> dict:
         own = counter(path)
         held = batch.column("text").to_pylist()
-        n = [own.total(t) for t in held]
+        n, cut = zip(*[own.measure(t, budget) for t in held]) if held else ((), ())
         out = {"doc_id": longs(batch, "doc_id"), "n_bytes": pa.array([len(t.encode()) for t in held], pa.int64()),
                "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([k > budget for k in n], pa.bool_()),
-               "cut_chars": pa.array([len(t) if k <= budget else own.longest(t, budget) for t, k in zip(held, n)], pa.int64())}
+               "cut_chars": pa.array(cut, pa.int64())}
         if prefixes:
             out["counts"] = pa.array([own.counts(t) for t in held], pa.list_(pa.int32()))
         return out
