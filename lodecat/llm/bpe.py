@@ -12,6 +12,7 @@ import hashlib
 import heapq
 import json
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +61,7 @@ class ForcedBoundaryBPE:
         """The merges of least rank first, the leftmost of equals; long ones over a linked list."""
         n, rank, none = len(symbols), self.rank, 1 << 60
         if n <= _SHORT:
-            ranks = [rank.get(p, none) for p in zip(symbols, symbols[1:])]
+            ranks = list(map(rank.get, zip(symbols, symbols[1:]), repeat(none)))
             while ranks and (best := min(ranks)) < none:
                 i = ranks.index(best)
                 symbols[i] += symbols.pop(i + 1)
@@ -104,6 +105,8 @@ class ForcedBoundaryBPE:
     def word(self, word: str) -> list[int]:
         """Ids of one word in byte letters, fragment by fragment."""
         out, start, joined = [], 0, self.joined
+        if joined.issuperset(zip(word, word[1:])):  # no cut
+            return self.fragment(word, True)
         for i in range(1, len(word)):
             if (word[i - 1], word[i]) not in joined:
                 out += self.fragment(word[start:i], False)
@@ -120,8 +123,7 @@ class ForcedBoundaryBPE:
             else:
                 plain = self.normal.normalize_str(text) if self.normal else text
                 words = [w for w, _ in self.split.pre_tokenize_str(plain)]
-            ids = [i for w in words if w for i in self.word(w)]
-            found = " ".join(map(str, ids))
+            found = " ".join([str(i) for w in words if w for i in self.word(w)])
             self.chunks.put(text, found)
         return found
 
