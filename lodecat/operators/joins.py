@@ -94,10 +94,10 @@ def fill_missing(rows: DataFrame, source: DataFrame, key: str, text: Sequence[st
     """Empty fields from a second source.
 
     ``counts`` fill when 0, ``always`` replace when the source has any, ``larger`` take the
-    greater number.
+    greater number.  Of several source rows of a key the greatest, by the used columns, counts.
     """
     used = [*text, *lists, *counts, *always, *larger]
-    side = source.select(key, *[F.col(c).alias(f"_s_{c}") for c in used])
+    side = one_per_key(source.select(key, *used), [key]).select(key, *[F.col(c).alias(f"_s_{c}") for c in used])
     out = rows.join(side, key, "left")
     s = lambda c: F.col(f"_s_{c}")
     new = {c: F.coalesce(F.nullif(F.col(c), F.lit("")), s(c), F.lit("")) for c in text}

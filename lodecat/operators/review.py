@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,14 +57,31 @@ def batch_actions(edges: DataFrame, topic_id: str, status: str,
         F.lit(status).alias("new_status"), F.lit("").alias("note"))
 
 
-def update_status(edges: DataFrame, results: DataFrame) -> DataFrame:
-    """New status on every edge of each pair with a successful action (U16)."""
-    side = first_per_key(results.filter("success").select(
-        *PAIR, "action_id", F.col("new_status").alias("_new"), F.col("note").alias("_note")),
-        PAIR, [F.col("action_id")], last=True).drop("action_id")
-    return (edges.join(side, PAIR, "left")
-            .withColumn("review_status", F.coalesce("_new", "review_status"))
-            .drop("_new", "_note"))
+def update_status(edges: DataFrame, results: DataFrame, as_of: datetime | None = None,
+                  order: Sequence[Column] | None = None) -> DataFrame:
+    """New status, note and time on every edge of each pair with a successful action (U16).
+
+    Of several actions of a pair the last by ``order`` counts; without it, that of the greatest
+    id, read as a number where it is one.  An empty note keeps the stored one.  Note and time
+    change where the edges have ``review_note`` and ``reviewed_at``; the time needs ``as_of``.
+    """
+    by = order or [F.col("action_id").try_cast("decimal(38,0)"), F.col("action_id")]
+    side = first_per_key(results.filter("success"), PAIR, by, last=True).select(
+        *PAIR, F.col("new_status").alias("_new"), F.nullif("note", F.lit("")).alias("_note"))
+    new = {"review_status": F.coalesce("_new", "review_status")}
+    if "review_note" in edges.columns:
+        new["review_note"] = F.coalesce("_note", "review_note")
+    if "reviewed_at" in edges.columns and as_of is not None:
+        time = F.lit(as_of).cast(edges.schema["reviewed_at"].dataType)
+        new["reviewed_at"] = F.when(F.col("_new").isNotNull(), time).otherwise(F.col("reviewed_at"))
+    return edges.join(side, PAIR, "left").withColumns(new).drop("_new", "_note")
+
+
+def log_rows(results: DataFrame, as_of: datetime) -> DataFrame:
+    """One log row per successful action, to be appended to the review log (U16)."""
+    return results.filter("success").select(
+        F.col("action_id").alias("log_id"), *PAIR, "action", "old_status", "new_status", "note",
+        F.lit(as_of).cast("timestamp").alias("acted_at"))
 
 
 def latest_entry(log: DataFrame) -> DataFrame:

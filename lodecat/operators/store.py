@@ -161,7 +161,9 @@ def query_hash(query: Column) -> Column:
 def save_reports(reports: DataFrame, items: DataFrame, new_reports: DataFrame,
                  new_items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A report for a known (query, mode, sources) keeps its id and changes its items; any
-    other is added (U12)."""
+    other is added (U12).  Of several new reports of one key that of the greatest id stays, with
+    its items."""
+    new_reports = first_per_key(new_reports, REPORT_KEY, [F.col("report_id")], last=True)
     known = reports.select(*REPORT_KEY, F.col("report_id").alias("_known"))
     placed = new_reports.join(known, REPORT_KEY, "left").withColumn(
         "_id", F.coalesce("_known", "report_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,10 +81,15 @@ def read_status(spark: SparkSession, folder: str) -> DataFrame:
         F.max_by("status", "batch").alias("status"))
 
 
-def expire_stream(stream: DataFrame, time: str, ttl_hours: float, as_of: datetime) -> DataFrame:
-    """Rows not older than the time to live."""
-    oldest = F.lit(as_of - timedelta(hours=ttl_hours)).cast("timestamp")
-    return stream.filter(F.col(time) >= oldest)
+def expire_stream(stream: DataFrame, time: str, ttl_hours: float,
+                  as_of: datetime | None = None) -> DataFrame:
+    """Rows not older than the time to live; rows without a time stay.
+
+    Without ``as_of`` the clock of each micro-batch counts, so a running stream goes on expiring.
+    """
+    now = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
+    ttl = F.make_dt_interval(secs=F.lit(ttl_hours * 3600).cast("decimal(18,6)"))
+    return stream.filter(F.col(time).isNull() | (F.col(time) >= now - ttl))
 
 
 def history_counts(history: DataFrame) -> DataFrame:

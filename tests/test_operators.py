@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodecat.operators import joins, order, store
 from lodecat.operators.matching import match_all, match_best, resolve_alias
-from lodecat.operators.review import review_state
+from lodecat.operators.review import log_rows, review_state, update_status
 from lodecat.plans import inference, knowledge as kn, sample_groups as sg, search
 from lodecat.plans.topics import from_dimensions
 from lodecat.session import run_folder
@@ -298,3 +298,42 @@ def test_long_chain_and_two_parents(spark):
     edges = spark.createDataFrame(links, "child string, parent string")
     up = joins.ancestors(spark.createDataFrame([("n0",)], "node string"), edges)
     assert up.count() == 100 and up.filter("relative = 'n2'").first()["depth"] == 1
+
+
+def test_review_write_sets_note_time_and_log(spark):
+    edges = spark.createDataFrame(
+        [(1, "T1", "g1", "pending", "old", None), (2, "T1", "g2", "pending", "old", None)],
+        "edge_id long, topic_id string, gse_id string, review_status string, review_note string, reviewed_at timestamp")
+    done = spark.createDataFrame(
+        [("9", "T1", "g1", "mark", "pending", "approved", "first", True),
+         ("10", "T1", "g1", "mark", "pending", "deleted", "", True),
+         ("11", "T1", "g2", "mark", "", "wrong", "x", False)],
+        "action_id string, topic_id string, gse_id string, action string, old_status string, new_status string, note string, success boolean")
+    now = datetime(2025, 1, 2)
+    out = {r.edge_id: r for r in update_status(edges, done, now).collect()}
+    assert (out[1].review_status, out[1].review_note, out[1].reviewed_at) == ("deleted", "old", now)
+    assert (out[2].review_status, out[2].review_note, out[2].reviewed_at) == ("pending", "old", None)
+    assert sorted((r.log_id, r.new_status) for r in log_rows(done, now).collect()) == [("10", "deleted"), ("9", "approved")]
+
+
+def test_one_head_per_report_key(spark):
+    kind = "report_id string, query_hash string, mode string, sources string"
+    stored = spark.createDataFrame([("r0", "q", "m", "s")], kind)
+    new = spark.createDataFrame([("r1", "q", "m", "s"), ("r2", "q", "m", "s"), ("r3", "p", "m", "s"), ("r4", "p", "m", "s")], kind)
+    items = lambda *ids: spark.createDataFrame([(i, "of " + i) for i in ids], "report_id string, item string")
+    heads, kept = store.save_reports(stored, items("r0"), new, items("r1", "r2", "r3", "r4"))
+    assert sorted(r.report_id for r in heads.collect()) == ["r0", "r4"]
+    assert sorted(tuple(r) for r in kept.collect()) == [("r0", "of r2"), ("r4", "of r4")]
+
+
+def test_fill_missing_keeps_one_row_per_key(spark):
+    have = spark.createDataFrame([("a", ""), ("b", "x")], "gse_id string, organism string")
+    source = spark.createDataFrame([("a", "u"), ("a", "v"), ("b", "w")], "gse_id string, organism string")
+    assert sorted(tuple(r) for r in joins.fill_missing(have, source, "gse_id", text=["organism"]).collect()) == [("a", "v"), ("b", "x")]
+
+
+def test_expiry_by_time(spark):
+    at = spark.sql("SELECT 1 AS k, current_timestamp() AS t UNION ALL SELECT 2, current_timestamp() - INTERVAL 3 HOURS UNION ALL SELECT 3, NULL")
+    assert sorted(r.k for r in jobs.expire_stream(at, "t", 1.5).collect()) == [1, 3]
+    fixed = spark.sql("SELECT 1 AS k, timestamp'2025-01-01 00:00:00' AS t UNION ALL SELECT 2, timestamp'2024-12-31 21:00:00'")
+    assert [r.k for r in jobs.expire_stream(fixed, "t", 2.0, datetime(2025, 1, 1, 1)).collect()] == [1]
