@@ -31,12 +31,30 @@ def learn_rotation(x: np.ndarray, seed: int = 0, rounds: int = 40) -> np.ndarray
     return r
 
 
-def tables_for(rows: int, bits: int | None, cosine: float, miss: float) -> tuple[int, int]:
+#: Tables at most, if the bits are not given: shorter substrings take the place of more tables.
+TABLES = 64
+
+
+def tables_for(rows: int, bits: int | None, cosine: float, miss: float, radius: float = 1.0) -> tuple[int, int]:
     """(bits of a substring, number of tables): cells of some hundred vectors, and so many tables
-    that a pair at the threshold shares a substring but for ``miss``."""
-    bits = bits or int(min(24, max(8, round(math.log2(max(rows, 1) / 200)))))
-    same = (1 - math.acos(cosine) / math.pi) ** bits
-    return bits, math.ceil(math.log(miss) / math.log(1 - same))
+    that a pair at the threshold shares a substring but for ``miss``.
+
+    Codes come from centred vectors.  Unit vectors at the threshold are a chord apart, which a
+    point at ``radius`` from both sees under a larger angle the nearer it is.  No bits, one table:
+    every pair is compared.
+    """
+    chord = math.sqrt(max(0.0, 2 - 2 * cosine))
+    agree = 1 - 2 * math.asin(min(1.0, chord / (2 * radius) if radius > 0 else 1.0)) / math.pi
+    most = bits or int(min(24, max(8, round(math.log2(max(rows, 1) / 200)))))
+    for own in range(most, 0, -1):
+        same = agree ** own
+        if same >= 1:
+            return own, 1
+        if same > 1e-9:
+            tables = math.ceil(math.log(miss) / math.log1p(-same))
+            if bits or tables <= TABLES:
+                return own, tables
+    return 0, 1
 
 
 def _tasks(cosine: float):
@@ -90,6 +108,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                     sample_rows: int = 20_000, bits: int | None = None, miss: float = 0.01, seed: int = 0) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id``, ``kept`` for every row.
 
+    Tables are chosen by the distances from the sample's mean, of which one in a hundred is nearer.
     The rotation is learned on at most ``sample_rows`` vectors, taken by a hash of the id; every
     vector is indexed.  Equal vectors collapse first and are counted, not paired.  A cell with
     very many vectors is dealt in blocks over tasks; tasks send counts and a spanning forest.
@@ -111,12 +130,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     centre = x.mean(0)
     classes = cut_lineage(live.filter(F.size("v") == dim).groupBy("k1", "k2").agg(
         F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("v").alias("v")))
-    width, tables = tables_for(classes.count(), bits, cosine, miss)
-    per = max(1, dim // width)
+    radius = float(np.quantile(np.linalg.norm(x - centre, axis=1), 0.01))
+    width, tables = tables_for(classes.count(), bits, cosine, miss, radius)
+    per = max(1, dim // max(1, width))
     turns = np.stack([learn_rotation(x - centre, seed + k) for k in range(math.ceil(tables / per))])
 
     def index(batch: pa.RecordBatch) -> dict:
-        v = np.asarray(batch.column("v").values).reshape(batch.num_rows, dim)
+        v = np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, dim)
         unit = v / np.linalg.norm(v, axis=1, keepdims=True)
         signs = np.concatenate([(unit - centre) @ r >= 0 for r in turns], 1)
         step = (np.arange(tables) // per) * dim + np.arange(tables) % per * width
