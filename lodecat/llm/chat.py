@@ -127,14 +127,16 @@ def _windowed(turns: Sequence[Turn], template, window: int) -> Rendering | None:
     return Rendering("".join(parts), spans, -1)
 
 
-def render(turns: Sequence[Turn], template: Callable[[Sequence[Turn]], str] = inst_template, window: int = 16) -> Rendering:
-    """Renders successive prefixes and compares them.
+def render(turns: Sequence[Turn], template: Callable[[Sequence[Turn]], str] = inst_template, window: int = 16,
+           stable: bool | None = None) -> Rendering:
+    """Renders successive prefixes and compares them, which costs the square of the turns.
 
-    Whole prefixes cost the square of the turns.  So a long conversation is first rendered over
-    windows, and the result stands if it makes up the whole rendering; a template that looks
-    farther back, or rewrites, is rendered prefix by prefix.
+    ``stable`` declares that the template only appends, and that what a turn adds depends on no
+    turn before it; by default this holds for ``inst_template`` alone.  Only then a long conversation
+    is rendered over windows; the result stands if it makes up the whole rendering.
     """
-    if len(turns) > 2 * window and (found := _windowed(turns, template, window)):
+    stable = template is inst_template if stable is None else stable
+    if stable and len(turns) > 2 * window and (found := _windowed(turns, template, window)):
         return found
     before, spans, rewrites = template([]), [], -1
     for k, (role, text) in enumerate(turns):
@@ -165,7 +167,8 @@ def _by_conversation(batches: Iterator[pa.RecordBatch]):
 
 
 def format_conversations(conversations: DataFrame, template: Callable[[Sequence[Turn]], str] = inst_template,
-                         conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+                         conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
+                         stable: bool | None = None) -> DataFrame:
     """``conv_id, n_turns, formatted, spans, rewrites_at`` per conversation.
 
     Each span has the turn's role, start and end, and the text's own start and end
@@ -173,7 +176,7 @@ def format_conversations(conversations: DataFrame, template: Callable[[Sequence[
     turn at which the template changed earlier output, -1 if none did; then spans hold for the
     prefix that ends with their turn.  Rows are ordered by turn, equal turns by role and text,
     null turns first; null roles and texts are empty; rows with a null id form one conversation;
-    repeated rows are turns of their own.  A conversation is one record: rows reach its task
+    repeated rows are turns of their own.  ``stable`` is as in ``render``.  A conversation is one record: rows reach its task
     sorted and in small batches.
     """
     rows = conversations.select(
@@ -196,7 +199,7 @@ def format_conversations(conversations: DataFrame, template: Callable[[Sequence[
                 ["conv_id", "n_turns", "formatted", "spans", "rewrites_at"])
         size = 0
         for own, turns in _by_conversation(batches):
-            held.append((own, turns, render(turns, template)))
+            held.append((own, turns, render(turns, template, stable=stable)))
             size += len(held[-1][2].formatted)
             if len(held) >= 2000 or size > 1 << 24:
                 yield out()

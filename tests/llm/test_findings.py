@@ -6,7 +6,13 @@ from pathlib import Path
 import numpy as np
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
-from lodecat.llm import itq  # noqa: E402
+from lodecat.llm import chat, itq  # noqa: E402
+
+
+def test_chat_finds_rewrites_that_are_undone():
+    turns = [("user", f"t{k}") for k in range(90)]
+    brief = lambda t: chat.inst_template([("user", "new"), *t[1:]] if 40 <= len(t) < 50 else t)
+    assert chat.render(turns, brief) == chat.render(turns, brief, window=1000) and chat.render(turns, brief).rewrites == 39
 
 
 def _links(spark, u):
