@@ -33,9 +33,17 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"[A-Za-z0-9@](?:[^\s<>\"'`{}|\\^\[\]]*[A-Za-z0-9/_=-])?")
 _GLUE = re.compile(r"(?:[ _-]?(?:id|no|number|nr))?[ \t]*(?:[:=#]|\bis\b)?[ \t]*[\"']?", re.I)
 _SECRET_GLUE = re.compile(r"[ \t]*[:=][ \t]*[\"']?")
-_ACCOUNT = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9]|[ -](?=[0-9])){3,40}")
+_ACCOUNT = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9]|[ -](?=[0-9])){3,}")
 _SECRET = re.compile(r"[A-Za-z0-9_./+-]{8,}")
 _DIGITS = "0123456789"
+_UPPER = re.compile("[A-Z]+")
+#: Characters of an IBAN by country.
+IBAN_SIZES = {k: int(n) for n, ks in {
+    "15": "NO", "16": "BE", "18": "DK FI FO GL NL SD FK", "19": "MK SI", "20": "AT BA EE KZ LT LU MN XK", "21": "CH HR LI LV",
+    "22": "BG BH CR DE GB GE IE ME RS VA", "23": "AE GI IL IQ OM SO TL", "24": "AD CZ ES MD PK RO SA SE SK TN VG", "25": "LY PT ST",
+    "26": "IS TR", "27": "BI DJ FR GR IT MC MR SM", "28": "AL AZ BY CY DO GT HN HU LB NI PL SV", "29": "BR EG PS QA UA",
+    "30": "JO KW MU YE", "31": "MT SC", "32": "LC", "33": "RU"}.items() for k in ks.split()}
+_IBAN = {n: re.compile(rf"[A-Za-z]{{2}}[ -]?[0-9][ -]?[0-9](?:[ -]?[A-Za-z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in set(IBAN_SIZES.values())}
 
 
 def luhn(digits: str) -> bool:
@@ -49,12 +57,24 @@ def luhn(digits: str) -> bool:
 
 
 def iban(code: str) -> bool:
-    code = code.replace(" ", "").upper()
+    code = code.replace(" ", "").replace("-", "").upper()
     if not re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{8,30}", code):
         return False
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def iban_at(text: str, at: int) -> re.Match | None:
+    """The IBAN that begins here, plain or in groups, as long as its country has it."""
+    size = IBAN_SIZES.get(text[at:at + 2].upper())
+    m = size and _IBAN[size].match(text, at)
+    return m if m and iban(m.group()) else None
+
+
+def lowered(text: str) -> str:
+    """A-Z lowered, nothing else, so that offsets stay."""
+    return text.lower() if text.isascii() else _UPPER.sub(lambda m: m.group().lower(), text)
+
+
 @lru_cache(1)
 def anchors() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
@@ -64,8 +84,7 @@ def anchors() -> ahocorasick.Automaton:
     found.add_word("+", ("plus", 1))
     for kind, cues in (("scheme", SCHEMES), ("account", ACCOUNT_CUES), ("secret", SECRET_CUES)):
         for cue in cues:
-            for form in {cue, cue.upper(), cue.capitalize()}:
-                found.add_word(form, (kind, len(cue)))
+            found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
@@ -78,7 +97,7 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of one whole text, by kind as listed, then start; ends are exclusive."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     email_end = quad_end = card_end = 0
-    for last, (kind, size) in anchors().iter(text):
+    for last, (kind, size) in anchors().iter(lowered(text)):
         start = last + 1 - size
         if kind == "digit":
             # A digit is the anchor of a run only where the run begins.
@@ -114,7 +133,7 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
                 out["url"].append((start, m.end()))
         elif _word_start(text, start):
             glue = (_GLUE if kind == "account" else _SECRET_GLUE).match(text, last + 1)
-            m = glue and (_ACCOUNT if kind == "account" else _SECRET).match(text, glue.end())
+            m = glue and (kind == "account" and iban_at(text, glue.end()) or (_ACCOUNT if kind == "account" else _SECRET).match(text, glue.end()))
             if m and (glue.end() > last + 1):
                 value = m.group()
                 n = sum(c in _DIGITS for c in value)

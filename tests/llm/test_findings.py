@@ -6,7 +6,7 @@ from pathlib import Path
 import numpy as np
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
-from lodecat.llm import chat, itq  # noqa: E402
+from lodecat.llm import chat, itq, pii  # noqa: E402
 
 
 def test_chat_finds_rewrites_that_are_undone():
@@ -52,6 +52,19 @@ def test_tables_follow_the_centred_angle():
     assert itq.tables_for(10**6, None, 0.95, 0.01, 0.1) == (0, 1) == itq.tables_for(10**6, None, 0.95, 0.01, 0.0)
 
 
+def test_accounts_in_groups_long_runs_and_mixed_case():
+    def account(text):
+        return [text[a:b] for k, a, b in pii.spans_of(text) if k == "account"]
+    for code in ("GB29 NWBK 6016 1331 9268 19", "NL91 ABNA 0417 1643 00", "IE29 AIBK 9311 5212 3456 78", "BG80 BNBG 9661 1020 3456 78",
+                 "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "GB29NWBK60161331926819", "DE89 3704 0044 0532 0130 00"):
+        assert account(f"é IBAN: {code} and more") == [code]
+        assert account(f"iBan {code}, 12") == [code]
+    assert account("IBAN: GB29 NWBK 6016 1331 9268 18 no") == []
+    assert account("User ID: 48210394.") == ["48210394"] == account("É Customer ID: 48210394")
+    long = "1234567890" * 7
+    assert account(f"account: {long} x") == [long] and pii.redact(f"account: {long} x", pii.spans_of(f"account: {long} x")) == "account: [ACCOUNT] x"
+
+
 def test_embeddings_in_batches_of_several_pieces(spark):
     u = np.random.default_rng(3).standard_normal((10_000, 64))
     u[5000:] = u[:5000] * 2
