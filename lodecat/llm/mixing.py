@@ -98,22 +98,24 @@ def _hash60(*parts: Column) -> Column:
 
 
 def realise(docs: DataFrame, sources: DataFrame, mix: Mix, id_col: str, source: Column, tokens: Column, seed: int = 42,
-            block_tokens: int = 1_000_000) -> DataFrame:
+            block_tokens: int = 1_000_000, whole: bool = False) -> DataFrame:
     """The rows of the mix: ``row`` (the document's columns as a struct), ``source``, ``tokens``,
     ``pass`` from 0, ``block`` and ``slot`` (the place in the block's permutation).
 
     The tokens before a document in its pass are added up in three steps, over the upper ten bits
     of its hash, the next ten, and the rest, so no window holds a whole source.  A pass ends at
     the document that reaches the source's budget; a source ends above its budget by less than
-    one document.
+    one document.  ``whole``: the first pass holds every document, those without tokens too, and
+    sources without tokens have one pass, in block 0.
     """
-    own = weight(F.col("tokens"), mix)
-    plan = sources.filter("tokens > 0").select(
-        F.col("source").alias("_s"), F.col("tokens").alias("_t"), own.alias("_w"),
+    count = F.coalesce("tokens", F.lit(0))
+    own = F.when(count > 0, weight(count, mix)).otherwise(F.lit(0.0))
+    plan = (sources if whole else sources.filter("tokens > 0")).select(
+        F.col("source").alias("_s"), count.alias("_t"), own.alias("_w"),
         F.greatest(F.lit(1), F.round(own * F.lit(float(mix.budget)))).cast("long").alias("_b"))
     rows = docs.select(F.struct("*").alias("row"), source.alias("source"), tokens.alias("tokens"), F.col(id_col).cast("string").alias("_id"))
     rows = (rows.join(lookup(plan, sources.count()), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-            .withColumn("pass", F.explode(F.sequence(F.lit(0), F.expr("cast((_b - 1) div _t as int)"))))
+            .withColumn("pass", F.explode(F.sequence(F.lit(0), F.expr("if(_t > 0, cast((_b - 1) div _t as int), 0)"))))
             .withColumn("_h", _hash60(F.lit(seed), F.col("pass"), F.coalesce("_id", F.lit(""))))
             .withColumn("_hi", F.shiftright("_h", 50)).withColumn("_mid", F.shiftright("_h", 40).bitwiseAND(F.lit(1023))))
     # Reading the sums leaves the rows' texts aside: the planner takes only the columns named.
@@ -128,8 +130,10 @@ def realise(docs: DataFrame, sources: DataFrame, mix: Mix, id_col: str, source:
     placed = rows.alias("r").join(cells.alias("c"), same("r", "c", ["pass", "_hi", "_mid"])).select("r.*", "c._b1", "c._b2")
     inside = F.sum("tokens").over(before(over("_hi", "_mid").orderBy("_h", "_id", "tokens")))
     placed = placed.withColumn("_at", F.expr("pass * _t") + F.col("_b1") + F.col("_b2") + F.coalesce(inside, F.lit(0)))
-    return placed.filter("_at < _b").select(
-        "row", "source", "tokens", "pass", F.floor(F.col("_at") / (F.col("_w") * F.lit(float(block_tokens)))).cast("long").alias("block"),
+    kept = placed.filter("_at < _b or pass = 0" if whole else "_at < _b")
+    block = F.when(F.col("_w") > 0, F.floor(F.least("_at", F.col("_b") - 1) / (F.col("_w") * F.lit(float(block_tokens))))).otherwise(F.lit(0))
+    return kept.select(
+        "row", "source", "tokens", "pass", block.cast("long").alias("block"),
         _hash60(F.lit(seed), F.lit("slot"), F.col("pass"), F.coalesce("_id", F.lit(""))).alias("slot"))
 
 
@@ -138,9 +142,9 @@ def mix_sources(docs: DataFrame, source_col: str = "source", id_col: str = "doc_
                 tokens: Column | None = None) -> tuple[DataFrame, Mix | None]:
     """The mix of ``docs`` and its figures.  Tokens are words, or what ``tokens`` says.
 
-    A null source is a source of its own.  Documents without words have no tokens: with their
-    source alive they stay where the permutation puts them, at no cost; a source of only such
-    documents is left out.  Rows that repeat are documents each, in an order that their equality
+    A null source is a source of its own.  Without a budget every document comes at least once,
+    those without words too, at no cost.  With one, documents without words stay where the
+    permutation puts them, and a source of only such documents is left out.  Rows that repeat are documents each, in an order that their equality
     leaves open.  An empty table gives no rows, and no figures.
     """
     source, tokens = F.col(source_col), words(F.col(text_col)) if tokens is None else tokens
@@ -148,5 +152,7 @@ def mix_sources(docs: DataFrame, source_col: str = "source", id_col: str = "doc_
     mix = find_mix(sources, entropy_share, repetition, budget)
     if mix is None:
         mix_none = Mix(1.0, 1.0, 1, 1)
+        if budget is None:
+            return realise(docs, sources, mix_none, id_col, source, tokens, seed, block_tokens, True), None
         return realise(docs.limit(0), sources.limit(0), mix_none, id_col, source, tokens, seed, block_tokens), None
-    return realise(docs, sources, mix, id_col, source, tokens, seed, block_tokens), mix
+    return realise(docs, sources, mix, id_col, source, tokens, seed, block_tokens, budget is None), mix

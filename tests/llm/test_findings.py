@@ -6,7 +6,7 @@ from pathlib import Path
 import numpy as np
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
-from lodecat.llm import chat, itq, pii  # noqa: E402
+from lodecat.llm import chat, itq, mixing, pii  # noqa: E402
 
 
 def test_chat_finds_rewrites_that_are_undone():
@@ -71,3 +71,14 @@ def test_embeddings_in_batches_of_several_pieces(spark):
     rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(u)], "vec_id long, embedding array<double>")
     got = itq.near_duplicates(rows.coalesce(1), sample_rows=500).select("vec_id", "component_id", "n_links").collect()
     assert len(got) == 10_000 and all(r["n_links"] == 1 and r["component_id"] == r["vec_id"] % 5000 for r in got)
+
+
+def test_mix_without_budget_holds_documents_without_words(spark):
+    rows = [(i, " " if i % 3 else "a b c", "large") for i in range(60)] + [(100, "a", "small"), (101, None, "none"), (102, "", "none"), (103, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for entropy in (0.0, 0.95):
+        got = mixing.mix_sources(docs, entropy_share=entropy)[0].select("row.doc_id", "pass", "block").collect()
+        first = [r["doc_id"] for r in got if r["pass"] == 0]
+        assert sorted(first) == sorted(r[0] for r in rows) and all(r["block"] is not None for r in got)
+    assert mixing.mix_sources(docs.filter("doc_id > 100"))[0].count() == 3
+    assert mixing.mix_sources(docs.filter("doc_id > 100"), budget=5)[0].count() == 0
