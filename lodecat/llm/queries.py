@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodecat.llm import bpe, chat, itq, mixing, pii, prefix_counts, quality, repeats, simhash, sketch
+from lodecat.llm import bpe, chat, clusters, itq, merkle, mixing, pii, prefix_counts, quality, repeats, simhash, sketch, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,80 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+_FINE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+@query("op11_block_pruned_top_k", f"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE {_FINE}),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM e q JOIN e d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def _part(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen(CAST({column} AS VARCHAR)) || ':' || {column} END"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(_part(c) for c in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+MERKLE_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_leaf('n_chars')} AS leaf, {_leaf('(n_chars + 1)')} AS bumped, xor(4294967295, list_reduce(list_prepend(
+    CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, e: xor(xor(a, e) >> 1, (xor(a, e) & 1) * 3988292384))) AS crc FROM documents),
+p AS (SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+  count(*) OVER (PARTITION BY lang) AS n FROM d),
+t(lang, lvl, idx, n, h) AS (SELECT lang, 0, pos, n, leaf FROM p
+  UNION ALL SELECT lang, lvl + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM t WHERE n > 1 GROUP BY lang, lvl, n, idx // 2),
+s AS (SELECT lang, lvl AS height, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u(lvl, idx, n, h) AS (SELECT 0, pos, n, subroot FROM s
+  UNION ALL SELECT lvl + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM u WHERE n > 1 GROUP BY lvl, n, idx // 2),
+way AS (
+  SELECT p.rid, l.lvl AS k, (p.pos >> l.lvl) & 1 AS odd, o.h FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang
+    JOIN (SELECT unnest(range(0, 64)) AS lvl) l ON l.lvl < s.height
+    LEFT JOIN t o ON o.lang IS NOT DISTINCT FROM p.lang AND o.lvl = l.lvl AND o.idx = xor(p.pos >> l.lvl, 1)
+  UNION ALL SELECT p.rid, s.height + l.lvl, (s.pos >> l.lvl) & 1, o.h FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang
+    JOIN (SELECT DISTINCT lvl FROM u WHERE n > 1) l ON true LEFT JOIN u o ON o.lvl = l.lvl AND o.idx = xor(s.pos >> l.lvl, 1)),
+f(rid, k, h) AS (SELECT rid, 0, CASE WHEN crc % 7 = 0 AND bumped IS NOT NULL THEN bumped ELSE leaf END FROM p
+  UNION ALL SELECT f.rid, f.k + 1, sha256(CASE WHEN w.h IS NULL THEN f.h WHEN w.odd = 1 THEN w.h || f.h ELSE f.h || w.h END)
+  FROM f JOIN way w ON w.rid = f.rid AND w.k = f.k),
+folded AS (SELECT rid, arg_max(h, k) AS folded_root FROM f GROUP BY rid),
+proved AS (SELECT p.rid, sha256(coalesce(string_agg(w.h, '' ORDER BY w.k), '')) AS proof_sha256 FROM p LEFT JOIN way w USING (rid) GROUP BY p.rid)
+SELECT doc_id, leaf, subroot, (SELECT h FROM u WHERE n = 1) AS root, proof_sha256, folded_root, folded_root = (SELECT h FROM u WHERE n = 1) AS verified
+FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang JOIN folded USING (rid) JOIN proved USING (rid)"""
+
+
+@query("op12_merkle_manifest", MERKLE_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.verify(table(spark, sf, "documents"))
+
+
+def _cluster_sql(rounds: int = 3, k: int = 16) -> str:
+    """The rounds one after the other: a<i> assigns to c<i>, c<i + 1> replaces c<i>."""
+    out = f"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE {_FINE} AND len(embedding) = 64),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS INTEGER) AS c, v FROM e QUALIFY c < {k})"""
+    for i in range(rounds + 1):
+        out += f""",
+d{i} AS (SELECT vec_id, e.v, c, CAST(list_sum(list_transform(list_zip(e.v, m.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM e, c{i} m),
+a{i} AS (SELECT vec_id, v, c, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)"""
+        if i < rounds:
+            out += f""",
+s{i} AS (SELECT c, j, CAST(sum(v[j]) AS BIGINT) AS s, count(*) AS n FROM a{i}, (SELECT unnest(range(1, 65)) AS j) GROUP BY c, j),
+m{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM s{i} GROUP BY c),
+c{i + 1} AS (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{i} o LEFT JOIN m{i} m ON m.c = o.c)"""
+    return out + f"""
+SELECT vec_id, a.c AS "cluster", d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} m ON m.c = a.c"""
+
+
+@query("op13_bit_plane_clusters", _cluster_sql())
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf, "embeddings"))
