@@ -55,6 +55,16 @@ def simhash(text, words=4):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def shingles(text, words=5):
+    """The set of runs of words, A-Z lowered; a shorter text is one run."""
+    own = text.lower().split()
+    return {tuple(own[i:i + words]) for i in range(max(1, len(own) - words + 1))} if own else set()
+
+
+def alike(a, b, likeness=0.8):
+    return a == b or len(a & b) >= likeness * len(a | b)
+
+
 def groups(ids, linked):
     """Smallest id reachable, of each id."""
     parent = {i: i for i in ids}
