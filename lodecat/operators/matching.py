@@ -2,17 +2,18 @@
 
 ``vocab`` has domain, term (lower case), canonical, kind, weight, granularity, pos.  A
 vocabulary of checked, small size is read once and matched inside the row; a larger one is
-joined with the word sequences of the text.  Both give the same rows.
+joined with the places of the text that may hold one of its terms.  Both give the same rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodecat.functions.text import best_phrase, blank, squash
+from lodecat.operators.anchored import word_hits
 from lodecat.session import spread
 
 INLINE_TERMS = 5000
@@ -63,24 +64,22 @@ def match_best(df: DataFrame, key: str, text: Column, vocab: DataFrame, out: str
 
 
 def match_all(df: DataFrame, key: str, text: Column, vocab: DataFrame) -> DataFrame:
-    """(key, term, canonical, weight, granularity, rank) of every whole-word term: an
-    equi-join of word sequences with terms, linear in text and free of the vocabulary size."""
-    runs = r"(?U)(?<=\w)(?=\W)|(?<=\W)(?=\w)"
+    """(key, term, canonical, weight, granularity, rank) of every whole-word term, by
+    :func:`lodecat.operators.anchored.word_hits`: only places that may hold a term are joined."""
     terms = ranked(vocab).groupBy("term").agg(
         F.min_by(F.struct(*FIELDS, "rank"), "rank").alias("_best")).select("term", "_best.*")
-    widths = sorted(r[0] for r in terms.select(
-        F.size(F.split("term", runs)).alias("n")).distinct().collect())  # a few numbers
-    pieces = spread(df.select(key, text.alias("_text"))).select(key, F.split(squash(F.col("_text")), runs).alias("_runs"))
-    def of_width(n: int) -> Column:
-        places = F.sequence(F.lit(1), F.size("_runs") - n + 1)
-        return F.when(F.size("_runs") >= n, F.transform(
-            places, lambda i: F.array_join(F.slice("_runs", i, n), ""))).otherwise(
-                F.array().cast("array<string>"))
-
-    sequences = F.flatten(F.array(*[of_width(n) for n in widths])) if widths \
-        else F.array().cast("array<string>")
-    grams = pieces.select(key, F.explode(F.array_distinct(sequences)).alias("term"))
-    return grams.join(terms, "term").select(key, "term", *FIELDS, "rank")
+    hits = word_hits(df, key, text, terms).select(key, "term").distinct()
+    return hits.join(terms, "term").select(key, "term", *FIELDS, "rank")
+
+
+def best_per_domain(df: DataFrame, key: str, text: Column, vocab: DataFrame, out: Mapping[str, str]) -> DataFrame:
+    """Adds a struct(canonical, weight, granularity) for each domain of ``out`` (domain to column): its best
+    whole-word term in the text, or null.  One scan serves all domains; ``key`` is unique."""
+    terms = ranked(vocab.filter(F.col("domain").isin(*out) & (F.col("term") == F.lower("term"))), "domain")
+    hits = word_hits(df, key, text, terms).select(key, "term").distinct().join(terms, "term")
+    mine = lambda d, value: F.when(F.col("domain") == d, value)
+    best = hits.groupBy(key).agg(*[F.min_by(mine(d, F.struct(*FIELDS)), mine(d, F.col("rank"))).alias(c) for d, c in out.items()])
+    return df.join(best, key, "left")
 
 
 def first_alias(vocab: DataFrame) -> DataFrame:

@@ -76,9 +76,14 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
             .select(*keys, "_row.*").select(*df.columns))
 
 
+def sortable(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """The columns as an order; one that holds a map goes by its JSON, as maps have no order."""
+    return [F.to_json(F.struct(c)) if "map<" in df.schema[c].dataType.simpleString() else F.col(c) for c in columns]
+
+
 def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column] | None = None) -> DataFrame:
     """One row per key, the last by ``order``; without one, the greatest by all other columns."""
-    rest = [F.col(c) for c in df.columns if c not in keys]
+    rest = sortable(df, [c for c in df.columns if c not in keys])
     if not rest:
         return df.distinct()
     return first_per_key(df, keys, [*(order or []), *rest], last=True)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodecat.operators.order import first_per_key, one_per_key
+from lodecat.operators.order import first_per_key, one_per_key, sortable
 
 LONGER_WINS = ("abstract", "overall_design")
 ALWAYS_NEW = ("last_updated", "version", "change_log", "availability_status",
@@ -69,12 +69,14 @@ def metadata_hash(fields: Sequence[str], lists: Sequence[str] = ()) -> Column:
     return F.left(F.sha2(F.to_json(F.struct(*parts)), 256), F.lit(16))
 
 
-def detect_changes(stored: DataFrame, incoming: DataFrame, key: str = "gse_id") -> DataFrame:
-    """Incoming rows with version and change flag against the stored hash."""
+def detect_changes(stored: DataFrame, incoming: DataFrame, key: str = "gse_id",
+                   order: Sequence[Column] | None = None) -> DataFrame:
+    """Incoming rows with version and change flag against the stored hash (U15); of several of one
+    key the last by ``order``, so that one version follows another."""
     before = stored.select(key, F.col("metadata_hash").alias("_old"),
                            F.col("version").alias("_version"))
     changed = F.coalesce(F.col("_old") != F.col("metadata_hash"), F.lit(False))
-    return (incoming.drop("version").join(before, key, "left")
+    return (one_per_key(incoming, [key], order).drop("version").join(before, key, "left")
             .withColumn("version", F.coalesce("_version", F.lit(0)) + F.when(
                 F.col("_old").isNull() | changed, 1).otherwise(0))
             .withColumn("change", F.when(F.col("_old").isNull(), "new")
@@ -94,7 +96,7 @@ def union_sources(sources: Mapping[str, DataFrame | None]) -> DataFrame:
 
 def insert_new(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """Insert or ignore."""
-    once = first_per_key(incoming, [key], [F.col(c) for c in incoming.columns if c != key])
+    once = first_per_key(incoming, [key], sortable(incoming, [c for c in incoming.columns if c != key]))
     return stored.unionByName(once.join(stored.select(key), key, "left_anti"))
 
 
@@ -115,7 +117,8 @@ def update_fields(stored: DataFrame, changes: DataFrame, key: str, fields: Seque
     """Chosen fields by key (U9, U14); empty text and null keep the stored value.
 
     Of several changes of a key the last by ``order`` counts."""
-    side = one_per_key(changes, [key], order).select(key, F.lit(True).alias("_hit"),
+    given = changes if order else changes.select(key, *fields)
+    side = one_per_key(given, [key], order).select(key, F.lit(True).alias("_hit"),
                           *[F.col(f).alias(f"_c_{f}") for f in fields])
     out = stored.join(side, key, "left")
     new = {}
@@ -133,7 +136,7 @@ def update_fields(stored: DataFrame, changes: DataFrame, key: str, fields: Seque
 
 def refresh(stored: DataFrame, fetched: DataFrame) -> DataFrame:
     """Title if given, samples if any, availability open again for fetched rows."""
-    side = one_per_key(fetched, ["gse_id"]).select("gse_id", F.col("title").alias("_t"), F.col("n_samples").alias("_n"),
+    side = one_per_key(fetched.select("gse_id", "title", "n_samples"), ["gse_id"]).select("gse_id", F.col("title").alias("_t"), F.col("n_samples").alias("_n"),
                           F.lit(True).alias("_hit"))
     return (stored.join(side, "gse_id", "left")
             .withColumn("title", F.coalesce(F.nullif("_t", F.lit("")), "title"))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from lodecat.fixed import terms
 from lodecat.functions import classify, groups as g, render
 from lodecat.functions.text import best_of, blank, has_any, join_text, phrase_hits, squash
-from lodecat.operators.matching import FIELDS, small_vocabularies
-from lodecat.session import spread
+from lodecat.operators.matching import FIELDS, INLINE_TERMS, best_per_domain, small_vocabularies
+from lodecat.session import cut_lineage, spread
 
 
 @dataclass(frozen=True)
@@ -22,20 +22,23 @@ class Vocabularies:
     assay: tuple
 
     @classmethod
-    def of(cls, vocab: DataFrame, keyword_terms: DataFrame | None = None) -> Vocabularies:
-        """Reads the term tables once; every list has a checked size.
-
-        Vocabularies beyond the limit are matched with the joining form in
-        ``operators.matching`` instead.
-        """
+    def of(cls, vocab: DataFrame, keyword_terms: DataFrame | None = None, limit: int = INLINE_TERMS) -> Vocabularies | VocabularyTable:
+        """Reads the term tables once, if they have at most ``limit`` terms; a larger vocabulary
+        stays a table, stored once.  Both serve wherever a vocabulary is asked for, and give the same rows."""
         if keyword_terms is not None:
             vocab = keyword_terms.unionByName(vocab)
-        found = small_vocabularies(vocab)
+        found = small_vocabularies(vocab, limit)
         if found is None:
-            raise ValueError("too many terms for the in-row form; use match_best")
+            return VocabularyTable(cut_lineage(vocab))
         return cls(*(tuple(found.get(d, ())) for d in ("disease", "organ", "assay")))
 
 
+@dataclass(frozen=True)
+class VocabularyTable:
+    """Matching terms of any number, joined with the texts by their rarest words."""
+    terms: DataFrame
+
+
 def single_cell_terms() -> list[tuple[str, float]]:
     """Method words and the weighted extras, longest first."""
     listed = [(t.lower(), 1.0) for t in terms.SINGLE_CELL_TERMS]
@@ -57,19 +60,24 @@ def text_granularity(text: Column, hits: Column | None = None) -> Column:
             .otherwise(value("unknown", F.lit(0.0))))
 
 
-def infer_fields(rows: DataFrame, text: Column, vocab: Vocabularies) -> DataFrame:
+def infer_fields(rows: DataFrame, text: Column, vocab: Vocabularies | VocabularyTable, key: str = "gse_id") -> DataFrame:
     """Adds i_disease, i_organ, i_assay, i_granularity and their weights.
 
-    The text is scanned once for the terms of all vocabularies together.
+    The text is scanned once for the terms of all vocabularies together.  With a table of terms the
+    found ones come back by ``key``, which is unique.
     """
-    none = F.lit(None).cast("struct<canonical:string,weight:double,granularity:string>")
-    every = [t for part in (vocab.disease, vocab.organ, vocab.assay, single_cell_terms())
-             for t, *_ in part if t == t.lower()]
-    hits = F.col("_hits")
-    pick = lambda found: best_of(hits, found, FIELDS) if found else none
-    out = rows.withColumn("_hits", phrase_hits(text, every)).withColumns({
-        "_d": pick(vocab.disease), "_o": pick(vocab.organ), "_a": pick(vocab.assay),
-        "_g": text_granularity(text, hits)})
+    if isinstance(vocab, VocabularyTable):
+        out = best_per_domain(rows, key, text, vocab.terms, {"disease": "_d", "organ": "_o", "assay": "_a"}).withColumn(
+            "_g", text_granularity(text))
+    else:
+        none = F.lit(None).cast("struct<canonical:string,weight:double,granularity:string>")
+        every = [t for part in (vocab.disease, vocab.organ, vocab.assay, single_cell_terms())
+                 for t, *_ in part if t == t.lower()]
+        hits = F.col("_hits")
+        pick = lambda found: best_of(hits, found, FIELDS) if found else none
+        out = rows.withColumn("_hits", phrase_hits(text, every)).withColumns({
+            "_d": pick(vocab.disease), "_o": pick(vocab.organ), "_a": pick(vocab.assay),
+            "_g": text_granularity(text, hits)}).drop("_hits")
     from_assay = F.col("_a.canonical").isNotNull() & (F.col("_a.granularity") != "unknown")
     return out.withColumns({
         "i_disease": F.col("_d.canonical"), "i_disease_weight": F.coalesce("_d.weight", F.lit(0.0)),
@@ -79,10 +87,10 @@ def infer_fields(rows: DataFrame, text: Column, vocab: Vocabularies) -> DataFram
                           .otherwise(F.col("_g.granularity")),
         "i_granularity_weight": F.when(from_assay, F.col("_a.weight"))
                                  .otherwise(F.col("_g.weight")),
-    }).drop("_d", "_o", "_a", "_g", "_hits")
+    }).drop("_d", "_o", "_a", "_g")
 
 
-def infer(records: DataFrame, vocab: Vocabularies, groups: DataFrame | None = None,
+def infer(records: DataFrame, vocab: Vocabularies | VocabularyTable, groups: DataFrame | None = None,
           platforms: DataFrame | None = None) -> DataFrame:
     """Inferred fields, platform, sample design and a sentence per record.
 

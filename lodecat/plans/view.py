@@ -11,20 +11,21 @@ from pyspark.sql import functions as F
 from lodecat.fixed import terms
 from lodecat.functions import classify, score
 from lodecat.functions.text import all_classes, blank, join_text, squash
-from lodecat.plans.inference import Vocabularies, infer_fields
+from lodecat.plans.inference import Vocabularies, VocabularyTable, infer_fields
 from lodecat.sources.landed import with_defaults
 from lodecat.schemas import DATASET
 from lodecat.session import spread
 
 
-def to_view(records: DataFrame, query: str, as_of: date, vocab: Vocabularies | None = None,
+def to_view(records: DataFrame, query: str, as_of: date, vocab: Vocabularies | VocabularyTable | None = None,
             disease_terms: Sequence[str] = terms.DISEASE_TERMS,
             cell_terms: Sequence[str] = terms.SINGLE_CELL_TERMS,
             compat: bool = False) -> DataFrame:
     """Every record as a view with its three scores.
 
     A stored field wins over an inferred one, and that over plain text evidence.  One pass
-    over the records: no join, no shuffle, one read of each text per derived form.
+    over the records: no join, no shuffle, one read of each text per derived form.  Only a
+    vocabulary that is a table is joined, by gse_id.
     """
     c = F.col
     rows = spread(with_defaults(records, DATASET))

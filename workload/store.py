@@ -171,6 +171,39 @@ def u15(spark, sf):
     return s.detect_changes(hashed.filter("doc_id % 3 <> 0"), incoming).select("gse_id", "change", "version")
 
 
+_TWICE = """, inc AS (SELECT gse_id, title, MAP {'lang': organism} AS attributes, 0 AS nth FROM datasets WHERE doc_id % 3 = 0 UNION ALL SELECT gse_id, title || '!',
+ MAP {'lang': ''}, 1 FROM datasets WHERE doc_id % 6 = 0), last AS (SELECT gse_id, arg_max(title, nth) AS title, arg_max(attributes, nth) AS attributes FROM inc GROUP BY gse_id) """
+
+
+def _twice(spark, sf):
+    """Fetched rows with an attribute map, half of the keys twice; and their order."""
+    d = table(spark, sf, "datasets")
+    one = d.filter("doc_id % 3 = 0").select("gse_id", "title", F.create_map(lit("lang"), c("organism")).alias("attributes"), lit(0).alias("nth"))
+    two = d.filter("doc_id % 6 = 0").select("gse_id", F.concat("title", lit("!")).alias("title"), F.create_map(lit("lang"), lit("")).alias("attributes"), lit(1).alias("nth"))
+    return one.union(two)
+
+
+@query("u7_replace_rows_with_maps", _TWICE + "SELECT d.gse_id, coalesce(l.title, d.title) AS title, coalesce(l.attributes['lang'], d.organism) AS lang FROM datasets d LEFT JOIN last l USING (gse_id)", "datasets")
+def u7_maps(spark, sf):
+    stored = table(spark, sf, "datasets").select("gse_id", "title", F.create_map(lit("lang"), c("organism")).alias("attributes"), lit(-1).alias("nth"))
+    return s.insert_or_replace(stored, _twice(spark, sf), "gse_id", [c("nth")]).select("gse_id", "title", c("attributes")["lang"].alias("lang"))
+
+
+@query("u9_update_rows_with_maps", _TWICE + "SELECT d.gse_id, coalesce(nullif(l.title, ''), d.title) AS title, coalesce(l.attributes['lang'], d.organism) AS lang FROM datasets d LEFT JOIN last l USING (gse_id)", "datasets")
+def u9_maps(spark, sf):
+    stored = table(spark, sf, "datasets").select("gse_id", "title", F.create_map(lit("lang"), c("organism")).alias("attributes"))
+    out = s.update_fields(stored, _twice(spark, sf), "gse_id", ["title", "attributes"], order=[c("nth")])
+    return out.select("gse_id", "title", c("attributes")["lang"].alias("lang"))
+
+
+@query("u15_detect_changes_repeated", _TWICE + "SELECT gse_id, CASE WHEN d.doc_id % 9 = 0 THEN 'new' WHEN l.title <> d.title THEN 'changed' ELSE 'same' END AS change, "
+       "(CASE WHEN d.doc_id % 9 = 0 THEN 1 WHEN l.title <> d.title THEN 6 ELSE 5 END)::INT AS version FROM last l JOIN datasets d USING (gse_id)", "datasets")
+def u15_repeated(spark, sf):
+    hashed = lambda df: df.withColumns({"metadata_hash": s.metadata_hash(["gse_id", "title"]), "version": lit(5)})
+    stored = hashed(table(spark, sf, "datasets").filter("doc_id % 9 <> 0").select("gse_id", "title"))
+    return s.detect_changes(stored, hashed(_twice(spark, sf)), order=[c("nth")]).select("gse_id", "change", "version")
+
+
 def actions(spark, sf):
     """One action per edge of known and unknown pairs, with some impossible states."""
     e = table(spark, sf, "topic_datasets")
