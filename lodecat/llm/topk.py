@@ -51,7 +51,7 @@ class Blocks:
     """One range of documents: blocks with maxima and forward index."""
 
     def __init__(self, rows: np.ndarray, ids: np.ndarray, places: np.ndarray, size: int):
-        self.rows, self.places, self.size = rows, places, size
+        self.rows, self.ids, self.places, self.size = rows, ids, places, size
         order = np.lexsort((places, ids))
         self.tie = np.empty(len(ids), np.int64)
         self.tie[order] = np.arange(len(ids))
@@ -134,8 +134,9 @@ def _visit(dim: int, size: int, k: int, dtype, batch_rows: int = 2048):
                             continue
                         blocks, docs = Blocks(*(np.concatenate(c) for c in zip(*docs)), size), []
                     q, row, score = blocks.search(rows, longs(part, "place"), longs(part, "floor"), k)
-                    yield pa.RecordBatch.from_arrays([part.column("place").take(pa.array(q)), pa.array(blocks.places[row]), pa.array(score)],
-                                                     ["query", "place", "score"])
+                    asked = part.take(pa.array(q))
+                    yield pa.RecordBatch.from_arrays([asked.column("place"), asked.column("id"), pa.array(blocks.places[row]), pa.array(blocks.ids[row]), pa.array(score)],
+                                                     ["query", "query_id", "place", "vec_id", "score"])
     return run
 
 
@@ -202,7 +203,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, id_
                              "place", "id", "v", F.lit(NONE).alias("floor"))
         come = asks.select("area", part, F.lit(1).alias("asks"), "place", "id", "v", "floor")
         dealt = held.union(come).repartition(areas * slices, "area", "slice").sortWithinPartitions("area", "slice", "asks", "place")
-        return cut_lineage(dealt.mapInArrow(_visit(dim, block_rows, k, dtype), "query long, place long, score long"))
+        return cut_lineage(dealt.mapInArrow(_visit(dim, block_rows, k, dtype), "query long, query_id long, place long, vec_id long, score long"))
 
     questions = placed.filter("asks")
     home = visit(questions.withColumn("floor", F.lit(NONE)))
@@ -226,7 +227,6 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, id_
             at = pa.array(q)
             return {"area": area.astype(np.int64), **{c: batch.column(c).take(at) for c in ("place", "id", "v", "floor")}}
         found = home.union(visit(map_rows(wanting, spread_out, "area long, place long, id long, v binary, floor long")))
-    named = found.join(placed.select("place", F.col("id").alias("vec_id")), "place")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_first("vec_id"), "place")
-    ranked = named.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.join(questions.select(F.col("place").alias("query"), F.col("id").alias("query_id")), "query").select("query_id", "rank", "vec_id", "score")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "place")
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", F.nullif("vec_id", F.lit(NONE)).alias("vec_id"), "score")
