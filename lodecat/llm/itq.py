@@ -113,7 +113,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     vector is indexed.  Equal vectors collapse first and are counted, not paired.  A cell with
     very many vectors is dealt in blocks over tasks; tasks send counts and a spanning forest.
     Null, zero and non-finite vectors link with nothing, nor do vectors whose length is not the
-    sample's commonest.  A null id stays null; repeated rows each get a row and link.
+    sample's commonest.  Vectors are told apart by their components, not by their ids: rows that share an
+    id, or have none, count as vectors of their own, and repeated rows each get a row and link.  A null id
+    stays null and counts as the smallest.
     """
     ok = (F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
           & F.exists("v", lambda x: x != 0))
@@ -129,7 +131,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     centre = x.mean(0)
     classes = cut_lineage(live.filter(F.size("v") == dim).groupBy("k1", "k2").agg(
-        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("v").alias("v")))
+        F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("mult"), F.first("v").alias("v")).withColumn("rep", F.monotonically_increasing_id()))
     radius = float(np.quantile(np.linalg.norm(x - centre, axis=1), 0.01))
     width, tables = tables_for(classes.count(), bits, cosine, miss, radius)
     per = max(1, dim // max(1, width))
@@ -152,8 +154,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         _tasks(cosine), "a long, links long, b long"))
     direct = found.filter("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     roots = components(found.filter("b is not null"))
-    told = (classes.select("k1", "k2", "rep", "mult").join(direct, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-            .select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("root", "rep").alias("root")))
+    told = cut_lineage(classes.select("k1", "k2", "rep", "low", "mult").join(direct, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
+                       .select("k1", "k2", "low", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("root", "rep").alias("group")))
+    least = told.groupBy("group").agg(F.min("low").alias("root"))
+    told = told.join(least, "group").select("k1", "k2", "links", "root")
     return fine.select("vec_id", "k1", "k2").join(told, ["k1", "k2"], "left").select(
         public_id("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         F.nullif(F.coalesce("root", "vec_id"), F.lit(NULL_ID)).alias("component_id"), (F.col("vec_id") == F.coalesce("root", "vec_id")).alias("kept"))
