@@ -30,6 +30,14 @@ def public_id(column: str = "doc_id") -> Column:
 _PIECE = 4 << 20
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of some MB."""
+    for batch in batches:
+        step = max(1, int(batch.num_rows * _PIECE / max(batch.nbytes, _PIECE)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def map_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str,
              done: Callable[[], None] | None = None) -> DataFrame:
     """Some rows in, some out, in pieces of some MB, so long texts don't add up; ``rows`` gives the
@@ -38,17 +46,21 @@ def map_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str,
     names = [p.split()[0] for p in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            step = max(1, int(batch.num_rows * _PIECE / max(batch.nbytes, _PIECE)))
-            for at in range(0, batch.num_rows, step):
-                out = rows(batch.slice(at, step))
-                yield pa.RecordBatch.from_arrays([pa.array(out[n]) if not isinstance(
-                    out[n], pa.Array) else out[n] for n in names], names)
+        for piece in pieces(batches):
+            out = rows(piece)
+            yield pa.RecordBatch.from_arrays([pa.array(out[n]) if not isinstance(
+                out[n], pa.Array) else out[n] for n in names], names)
         if done:
             done()
+        release()
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Gives what Arrow holds unused back to the machine: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+
+
 def longs(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
 
@@ -76,9 +88,9 @@ def block_pairs(df: DataFrame, member: str, block_rows: int = 2048) -> DataFrame
     spread over many tasks.  Adds ``block``, ``left`` and ``right``: pairs count when both rows
     are of the same block where left = right, and of different blocks otherwise.
     """
-    large = (df.groupBy("cell").count().filter(F.col("count") > block_rows)
-             .select("cell", F.ceil(F.col("count") / block_rows).cast("int").alias("blocks")))
-    dealt = (df.join(large, "cell", "left")
+    large = cut_lineage(df.groupBy("cell").count().filter(F.col("count") > block_rows)
+                        .select("cell", F.ceil(F.col("count") / block_rows).cast("int").alias("blocks")))
+    dealt = (df.join(lookup(large, large.count()), "cell", "left")
              .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
              .withColumn("block", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))

@@ -33,11 +33,14 @@ def shingle_hashes(text: str, words: int = 4, seed: int = 42) -> np.ndarray:
     line = b" ".join(parts)
     if len(parts) <= words:
         return np.array([xxhash.xxh64_intdigest(line, seed)], np.uint64)
-    ends = np.cumsum([len(p) + 1 for p in parts])
-    first = np.concatenate([[0], ends[:-1]])[:len(parts) - words + 1].tolist()
-    last = (ends[words - 1:] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(line[a:b], seed) for a, b in zip(first, last)), np.uint64, len(first))
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+    del parts
+    first, last = np.concatenate([[0], ends[:-1]])[:len(ends) - words + 1], ends[words - 1:] - 1
+    digest, out = xxhash.xxh64_intdigest, np.empty(len(first), np.uint64)
+    for at in range(0, len(first), _CHUNK):  # of a long text no lists of all its places
+        to = slice(at, at + _CHUNK)
+        out[to] = [digest(line[a:b], seed) for a, b in zip(first[to].tolist(), last[to].tolist())]
+    return out
 
 
 def fingerprint(hashes: np.ndarray) -> int:
