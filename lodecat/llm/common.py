@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -57,8 +58,12 @@ def map_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str,
 
 
 def release() -> None:
-    """Gives what Arrow holds unused back to the machine: workers live on from stage to stage."""
+    """Gives unused memory back to the machine, Arrow's and, where the C library can, its own:
+    workers live on from stage to stage."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def longs(batch: pa.RecordBatch, name: str) -> np.ndarray:
