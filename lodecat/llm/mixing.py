@@ -34,9 +34,10 @@ class Mix:
     budget: int
 
 
-def shares(docs: DataFrame, source: Column, tokens: Column) -> DataFrame:
-    """``source``, ``tokens``, ``documents``; added up before the shuffle."""
-    return docs.groupBy(source.alias("source")).agg(F.sum(tokens).alias("tokens"), F.count(F.lit(1)).alias("documents"))
+def shares(docs: DataFrame, source: Column, tokens: Column, rows: Column | None = None) -> DataFrame:
+    """``source``, ``tokens``, ``documents``; added up before the shuffle.  ``rows``: how many documents a row stands for."""
+    rows = F.lit(1).cast("long") if rows is None else rows
+    return docs.groupBy(source.alias("source")).agg(F.sum(tokens * rows).alias("tokens"), F.sum(rows).alias("documents"))
 
 
 def find_mix(sources: DataFrame, entropy_share: float = 0.95, repetition: float = 4.0, budget: int | None = None, rounds: int = 6) -> Mix | None:
@@ -97,28 +98,46 @@ def _hash60(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
 
 
-def realise(docs: DataFrame, sources: DataFrame, mix: Mix, id_col: str, source: Column, tokens: Column, seed: int = 42,
-            block_tokens: int = 1_000_000, whole: bool = False) -> DataFrame:
-    """The rows of the mix: ``row`` (the document's columns as a struct), ``source``, ``tokens``,
-    ``pass`` from 0, ``block`` and ``slot`` (the place in the block's permutation).
+def _marked(docs: DataFrame, *more: Column) -> DataFrame:
+    """``row`` (the columns as a struct) and its name: two hashes, 128 bits, of the row as JSON."""
+    row = F.struct("*")
+    told = F.to_json(row)
+    return docs.select(row.alias("row"), F.xxhash64(told).alias("_m"), F.xxhash64(F.lit(1), told).alias("_k"), *more)
 
-    The tokens before a document in its pass are added up in three steps, over the upper ten bits
-    of its hash, the next ten, and the rest, so no window holds a whole source.  A pass ends at
-    the document that reaches the source's budget; a source ends above its budget by less than
-    one document.  ``whole``: the first pass holds every document, those without tokens too, and
-    sources without tokens have one pass, in block 0.
+
+def entries(docs: DataFrame, source: Column, tokens: Column) -> DataFrame:
+    """What the mix needs to know of ``docs``, without their texts: one narrow row for each row that differs
+    from all others, and for rows that are equal throughout one per input partition that holds some.
+
+    ``n`` rows of the name ``_m``, ``_k`` are meant, numbered from ``nth``.  Texts are read once for this.
+    """
+    narrow = _marked(docs, source.alias("source"), F.coalesce(tokens, F.lit(0)).cast("long").alias("tokens")).drop("row")
+    counted = narrow.withColumn("_part", F.spark_partition_id()).groupBy("_m", "_k", "source", "tokens", "_part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("_m", "_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return cut_lineage(counted.withColumn("nth", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("_part"))
+
+
+def places(rows: DataFrame, sources: DataFrame, mix: Mix, seed: int = 42, block_tokens: int = 1_000_000, whole: bool = False) -> DataFrame:
+    """``_m``, ``_k``, ``source``, ``tokens``, ``pass`` from 0, ``block`` and ``slot`` (the place in the
+    block's permutation) of every row of the mix; ``rows`` as ``entries`` gives them.
+
+    A row's place follows from its name and its number among its equals, so neither null ids nor
+    shared ones meet in one place.  The tokens before a document in its pass are added up in three
+    steps, over the upper ten bits of its hash, the next ten, and the rest, so no window holds a
+    whole source.  A pass ends at the document that reaches the source's budget; a source ends above
+    its budget by less than one document.  ``whole``: the first pass holds every document, those
+    without tokens too, and sources without tokens have one pass, in block 0.
     """
     count = F.coalesce("tokens", F.lit(0))
     own = F.when(count > 0, weight(count, mix)).otherwise(F.lit(0.0))
     plan = (sources if whole else sources.filter("tokens > 0")).select(
         F.col("source").alias("_s"), count.alias("_t"), own.alias("_w"),
         F.greatest(F.lit(1), F.round(own * F.lit(float(mix.budget)))).cast("long").alias("_b"))
-    rows = docs.select(F.struct("*").alias("row"), source.alias("source"), tokens.alias("tokens"), F.col(id_col).cast("string").alias("_id"))
     rows = (rows.join(lookup(plan, sources.count()), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+            .withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("nth", F.expr("nth + _c"))
             .withColumn("pass", F.explode(F.sequence(F.lit(0), F.expr("if(_t > 0, cast((_b - 1) div _t as int), 0)"))))
-            .withColumn("_h", _hash60(F.lit(seed), F.col("pass"), F.coalesce("_id", F.lit(""))))
+            .withColumn("_h", _hash60(F.lit(seed), "pass", "_m", "_k", "nth"))
             .withColumn("_hi", F.shiftright("_h", 50)).withColumn("_mid", F.shiftright("_h", 40).bitwiseAND(F.lit(1023))))
-    # Reading the sums leaves the rows' texts aside: the planner takes only the columns named.
     cells = rows.groupBy("source", "pass", "_hi", "_mid").agg(F.sum("tokens").alias("_n"))
     upper = cells.groupBy("source", "pass", "_hi").agg(F.sum("_n").alias("_u"))
     over = lambda *by: Window.partitionBy("source", "pass", *by)
@@ -128,31 +147,45 @@ def realise(docs: DataFrame, sources: DataFrame, mix: Mix, id_col: str, source:
     same = lambda a, b, keys: [F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")), *[F.col(f"{a}.{k}") == F.col(f"{b}.{k}") for k in keys]]
     cells = cells.alias("c").join(upper.alias("u"), same("c", "u", ["pass", "_hi"])).select("c.*", "u._b1")
     placed = rows.alias("r").join(cells.alias("c"), same("r", "c", ["pass", "_hi", "_mid"])).select("r.*", "c._b1", "c._b2")
-    inside = F.sum("tokens").over(before(over("_hi", "_mid").orderBy("_h", "_id", "tokens")))
+    inside = F.sum("tokens").over(before(over("_hi", "_mid").orderBy("_h", "_m", "_k", "nth")))
     placed = placed.withColumn("_at", F.expr("pass * _t") + F.col("_b1") + F.col("_b2") + F.coalesce(inside, F.lit(0)))
     kept = placed.filter("_at < _b or pass = 0" if whole else "_at < _b")
     block = F.when(F.col("_w") > 0, F.floor(F.least("_at", F.col("_b") - 1) / (F.col("_w") * F.lit(float(block_tokens))))).otherwise(F.lit(0))
-    return kept.select(
-        "row", "source", "tokens", "pass", block.cast("long").alias("block"),
-        _hash60(F.lit(seed), F.lit("slot"), F.col("pass"), F.coalesce("_id", F.lit(""))).alias("slot"))
+    return kept.select("_m", "_k", "source", "tokens", "pass", block.cast("long").alias("block"),
+                       _hash60(F.lit(seed), F.lit("slot"), "pass", "_m", "_k", "nth").alias("slot"))
 
 
-def mix_sources(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", entropy_share: float = 0.95,
+def realise(docs: DataFrame, rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """The placed rows with their documents: ``row`` (its columns as a struct) before the rest.
+
+    Documents move once, to their places by name.  Of rows that are equal throughout one is taken
+    and stands at the places of all.
+    """
+    key = ["_m", "_k"]
+    again = cut_lineage(rows.filter("n > 1 or nth > 0").select(*key).distinct())
+    again = lookup(again, again.count())
+    named = _marked(docs)
+    one = named.join(again, key, "left_semi").groupBy(*key).agg(F.first("row").alias("row")).select("row", *key)
+    return named.join(again, key, "left_anti").select("row", *key).union(one).join(placed, key).select(
+        "row", "source", "tokens", "pass", "block", "slot")
+
+
+def mix_sources(docs: DataFrame, source_col: str = "source", text_col: str = "text", entropy_share: float = 0.95,
                 repetition: float = 4.0, budget: int | None = None, seed: int = 42, block_tokens: int = 1_000_000,
                 tokens: Column | None = None) -> tuple[DataFrame, Mix | None]:
-    """The mix of ``docs`` and its figures.  Tokens are words, or what ``tokens`` says.
-
-    A null source is a source of its own.  Without a budget every document comes at least once,
-    those without words too, at no cost.  With one, documents without words stay where the
-    permutation puts them, and a source of only such documents is left out.  Rows that repeat are documents each, in an order that their equality
-    leaves open.  An empty table gives no rows, and no figures.
+    """The mix of ``docs`` and its figures: ``row`` (the document's columns as a struct), ``source``,
+    ``tokens``, ``pass``, ``block`` and ``slot``.  Tokens are words, or what ``tokens`` says.
+
+    A null source is a source of its own.  Ids play no part: rows are told apart by all their
+    columns, and rows that are equal throughout are documents each, at places of their own.  Without
+    a budget every document comes at least once, those without words too, at no cost.  With one,
+    documents without words stay where the permutation puts them, and a source of only such
+    documents is left out.  An empty table gives no rows, and no figures.
     """
-    source, tokens = F.col(source_col), words(F.col(text_col)) if tokens is None else tokens
-    sources = cut_lineage(shares(docs, source, tokens))
+    rows = entries(docs, F.col(source_col), words(F.col(text_col)) if tokens is None else tokens)
+    sources = cut_lineage(shares(rows, F.col("source"), F.col("tokens"), F.col("n")))
     mix = find_mix(sources, entropy_share, repetition, budget)
-    if mix is None:
-        mix_none = Mix(1.0, 1.0, 1, 1)
-        if budget is None:
-            return realise(docs, sources, mix_none, id_col, source, tokens, seed, block_tokens, True), None
-        return realise(docs.limit(0), sources.limit(0), mix_none, id_col, source, tokens, seed, block_tokens), None
-    return realise(docs, sources, mix, id_col, source, tokens, seed, block_tokens, budget is None), mix
+    if mix is None and budget is not None:
+        rows = rows.limit(0)
+    placed = places(rows, sources, mix or Mix(1.0, 1.0, 1, 1), seed, block_tokens, budget is None)
+    return realise(docs, rows, placed), mix
