@@ -148,24 +148,28 @@ def with_evidence(df: DataFrame, model: Model | None, text: Column, name: str =
     return df.withColumn(name, told(F.coalesce(text, F.lit(""))))
 
 
-def _strength(groups: DataFrame, mean: float) -> float:
-    """Pseudo-count toward the parent, by moments: how little groups differ beyond chance.
-
-    ``groups`` has n, s, ss: rows, sum and sum of squares.  Many rows and a wide spread between
-    groups give a small count, groups that differ no more than chance a large one.
+def _strength(groups: DataFrame) -> float:
+    """Pseudo-count toward the parent, by moments: the spread of rows inside groups over the spread
+    of groups inside their parent.
+
+    ``groups`` has n, s, ss (rows, sum and sum of squares) and pn, ps of its parent.  The squared
+    distances of groups from their own parent's mean are what chance gives, the pooled variance of
+    rows, and what groups differ by.  Many rows and a wide spread give a small count; groups that
+    differ no more than chance, and parents of one group each, a large one.
     """
-    m = F.col("s") / F.col("n")
-    within = F.greatest(F.col("ss") / F.col("n") - m * m, F.lit(0.0))
-    got = groups.agg(F.count(F.lit(1)), F.sum(F.col("n") * (m - F.lit(mean)) ** 2), F.sum("n"), F.sum(within)).first()
-    if not got[0] or got[0] < 2:
+    m, part = F.col("s") / F.col("n"), 1 - F.col("n") / F.col("pn")
+    got = groups.agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.greatest(F.col("ss") - F.col("s") * m, F.lit(0.0))),
+                     F.sum(F.col("n") * (m - F.col("ps") / F.col("pn")) ** 2), F.sum(part), F.sum(F.col("n") * part)).first()
+    if not got[0] or got[5] <= 1e-9 or got[1] <= got[0]:
         return 1e6
-    between = (got[1] - got[3]) / got[2]
-    noise = got[3] / got[0]
-    return float(min(1e6, max(1.0, noise / between))) if between > 0 else 1e6
+    noise = got[2] / (got[1] - got[0])
+    between = (got[3] - noise * got[4]) / got[5]
+    return float(min(1e6, max(1.0, noise / between))) if between > 1e-12 else 1e6
 
 
 def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """(``host``, ``path``, ``host_mean``, ``path_mean`` per path; the mean of all).
+    """Per path ``host``, ``path``, ``host_mean``, ``path_mean``, the rows and sums behind them (``n``, ``s``,
+    ``host_n``, ``host_s``) and the counts toward the parents (``by_path``, ``by_host``); the mean of all.
 
     ``scored`` has host, path, evidence.  Rows are added up per path before anything moves, hosts
     are sums of paths, so one host with a third of all rows costs no more than another.
@@ -173,13 +177,22 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     from lodecat.session import cut_lineage
     paths = cut_lineage(scored.groupBy("host", "path").agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum("evidence").alias("s"), F.sum(F.col("evidence") ** 2).alias("ss")))
-    hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss")])
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
     total = hosts.agg(F.sum("s"), F.sum("n")).first()
     mean = total[0] / total[1] if total[1] else 0.5
-    by_host, by_path = _strength(hosts, mean), _strength(paths, mean)
-    host_mean = hosts.select("host", ((F.col("s") + by_host * mean) / (F.col("n") + by_host)).alias("host_mean"))
-    return cut_lineage(paths.join(host_mean, "host").select(
-        "host", "path", "host_mean", ((F.col("s") + by_path * F.col("host_mean")) / (F.col("n") + by_path)).alias("path_mean"))), mean
+    inside = paths.join(hosts.select("host", F.col("n").alias("pn"), F.col("s").alias("ps")), "host")
+    by_host = _strength(hosts.select("*", F.lit(float(total[1] or 1)).alias("pn"), F.lit(float(total[0] or 0)).alias("ps")))
+    by_path = _strength(inside)
+    known = inside.select("host", "path", "n", "s", F.col("pn").alias("host_n"), F.col("ps").alias("host_s"),
+                          F.lit(by_path).alias("by_path"), F.lit(by_host).alias("by_host"))
+    return cut_lineage(known.withColumn("host_mean", _shrunk("host_s", "host_n", "by_host", F.lit(mean)))
+                       .withColumn("path_mean", _shrunk("s", "n", "by_path", F.col("host_mean")))), mean
+
+
+def _shrunk(total: str, rows: str, count: str, parent: Column, own: Column | None = None) -> Column:
+    """The mean of a site drawn toward its parent's, without the row's ``own`` evidence if given."""
+    s, n = (F.col(total), F.col(rows)) if own is None else (F.col(total) - own, F.col(rows) - 1)
+    return (s + F.col(count) * parent) / (n + F.col(count))
 
 
 def _odds(p: Column) -> Column:
@@ -194,12 +207,16 @@ def judge(docs: DataFrame, model: Model | None, host: Column, path: Column, text
 
     Null hosts and paths are sites of their own, named by the empty string; null and empty texts
     are judged by their form; rows that repeat are judged each; a table without rows gives none.
+    ``host_mean`` and ``path_mean`` are of all rows of a site; a row's posterior takes them without its own
+    evidence, which it adds itself.
     Without a model (no usable label) the evidence is one half and everything is kept.
     """
     base = docs.select(F.struct(*carry).alias("row"), F.col(text_col).alias("_text"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
     scored = with_evidence(base, model, F.col("_text")).drop("_text")
-    sites, _ = site_posteriors(scored.select("host", "path", "evidence"))
+    sites, mean = site_posteriors(scored.select("host", "path", "evidence"))
     prior = model.rate if model else 0.5
-    odds = _odds(F.col("evidence")) + _odds(F.col("path_mean")) - _odds(F.lit(prior))
+    others = _shrunk("s", "n", "by_path", _shrunk("host_s", "host_n", "by_host", F.lit(mean), F.col("evidence")), F.col("evidence"))
+    odds = _odds(F.col("evidence")) + _odds(others) - _odds(F.lit(prior))
     return (scored.join(lookup(sites, sites.count()), ["host", "path"]).withColumn("posterior", 1 / (1 + F.exp(-odds)))
-            .withColumn("keep", F.col("posterior") >= threshold if model else F.lit(True)))
+            .withColumn("keep", F.col("posterior") >= threshold if model else F.lit(True))
+            .drop("n", "s", "host_n", "host_s", "by_path", "by_host"))
