@@ -15,12 +15,13 @@ from lodecat.operators.order import global_positions
 
 
 def sketch(text: Column, words: int = 5, fraction: float = 0.25) -> Column:
-    """Sorted distinct shingle hashes below ``fraction`` of the range.
+    """``kept``: the sorted distinct shingle hashes below ``fraction`` of the range; ``least``: the
+    smallest hash of all.
 
     Words are runs without ASCII white space.  Each word is hashed once; a shingle's hash is of its
-    words' hashes.  A text of fewer words is one shingle, a text without words has none.  Where no
-    hash is below the threshold the least one stands in, so that a text with words is never
-    without a fingerprint.
+    words' hashes.  A text of fewer words is one shingle; a text without words has none, and its
+    ``least`` is null.  Estimates are made from ``kept`` alone; where it is empty ``least`` names the
+    text in its printed fingerprint, so that a text with words is never without one.
     """
     own = F.filter(F.split(text, r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
     hashed = F.transform(own, lambda w: F.xxhash64(w))
@@ -31,34 +32,50 @@ def sketch(text: Column, words: int = 5, fraction: float = 0.25) -> Column:
                            lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(words)]))
         return F.when(n >= words, runs).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<long>"))
 
-    limit = -(1 << 63) + int(fraction * (1 << 64))
+    last = -(1 << 63) + int(fraction * (1 << 64)) - 1
     # let: each step is computed once, by passing it through a one-element array
     step = F.get(F.transform(F.array(hashed), shingles), 0)
-    return F.get(F.transform(F.array(step), lambda s: F.get(F.transform(
-        F.array(F.array_distinct(F.filter(s, lambda x: x < limit))),
-        lambda low: F.when((F.size(low) > 0) | (F.size(s) == 0), F.array_sort(low)).otherwise(F.array(F.array_min(s)))), 0)), 0)
+    return F.get(F.transform(F.array(step), lambda s: F.struct(
+        F.array_sort(F.array_distinct(F.filter(s, lambda x: x <= last))).alias("kept"), F.array_min(s).alias("least"))), 0)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard likeness of two sketches; of two empty ones 1."""
-    common = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - common
-    return F.when(union == 0, F.lit(1.0)).otherwise(common / union)
+    """Jaccard likeness by two sketches; of two texts without words 1.  Null, no estimate, where
+    there are words but neither sketch keeps a hash."""
+    a_kept, b_kept = a.getField("kept"), b.getField("kept")
+    common = F.size(F.array_intersect(a_kept, b_kept))
+    union = F.size(a_kept) + F.size(b_kept) - common
+    empty = a.getField("least").isNull() & b.getField("least").isNull()
+    return F.when(empty, F.lit(1.0)).when(union > 0, common / union)
 
 
 def containment(a: Column, b: Column) -> Column:
-    """The share of a's sketch that b's holds, for texts of very unequal length; 1 if a is empty."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    """The share of a's shingles that b holds, for texts of very unequal length; 1 if a has none.
+    Null, no estimate, if a has shingles but its sketch keeps none."""
+    kept = a.getField("kept")
+    return F.when(a.getField("least").isNull(), F.lit(1.0)).when(F.size(kept) > 0, F.size(F.array_intersect(kept, b.getField("kept"))) / F.size(kept))
 
 
 def merged(sketches: Column) -> Column:
     """An aggregate: the sketch of all texts of a group together (their shingles' union)."""
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(sketches))))
+    return F.struct(F.array_sort(F.array_distinct(F.flatten(F.collect_set(sketches.getField("kept"))))).alias("kept"),
+                    F.min(sketches.getField("least")).alias("least"))
+
+
+def fingerprint(s: Column) -> Column:
+    """The hashes that stand for a text: those kept, else the least of all, if there is one."""
+    kept, least = s.getField("kept"), s.getField("least")
+    return F.when((F.size(kept) > 0) | least.isNull(), kept).otherwise(F.array(least))
+
+
+def fingerprint_likeness(a: Column, b: Column) -> Column:
+    """Likeness of two fingerprints: the estimate, or where there is none whether they are equal."""
+    return F.coalesce(likeness(a, b), a.getField("least").eqNullSafe(b.getField("least")).cast("double"))
 
 
 def printed(s: Column) -> Column:
     """The fingerprint as text: 16 hex digits a hash, in order."""
-    return F.concat_ws("", F.transform(s, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))))
+    return F.concat_ws("", F.transform(fingerprint(s), lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))))
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -95,5 +112,5 @@ def compare_edits(docs: DataFrame, words: int = 5, fraction: float = 0.25, id_co
                          sketch(F.col("edited"), words, fraction).alias("changed"))
     return done.select(public_id(), "n_chars", "edited_sha256", printed(F.col("own")).alias("fingerprint"),
                        printed(F.col("changed")).alias("edited_fingerprint"),
-                       likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-                       likeness(F.col("own"), F.col("next_sketch")).alias("near_next"))
+                       fingerprint_likeness(F.col("own"), F.col("changed")).alias("near_edited"),
+                       fingerprint_likeness(F.col("own"), F.col("next_sketch")).alias("near_next"))
