@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lodecat.fixed import terms
 from lodecat.functions.parse import accession_type
 from lodecat.functions.text import distinct_ignoring_case
+from lodecat.operators.matching import resolve_alias
 from lodecat.operators.order import one_per_key, top_per_key
 from lodecat.session import cut_lineage
 
@@ -109,11 +110,20 @@ def fill_missing(rows: DataFrame, source: DataFrame, key: str, text: Sequence[st
     return out.withColumns(new).drop(*[f"_s_{c}" for c in used])
 
 
+def resolved_edges(edges: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(parent, child) edges with both names canonical, so that a parent given by an alias goes on.
+
+    ``vocab`` holds the terms that count as names; unknown names stay as they are.
+    """
+    both = resolve_alias(edges.select("parent", "child"), F.col("parent"), vocab, "parent")
+    return resolve_alias(both, F.col("child"), vocab, "child").distinct()
+
+
 def ancestors(nodes: DataFrame, edges: DataFrame, deepest: int | None = None) -> DataFrame:
     """(node, relative, depth) up the parent chain, each relative once, at its least depth.
 
-    One equi-join and one checkpoint per level; the walk ends when a level finds nothing new, so
-    chains of any length and cycles both end.  ``deepest`` stops earlier on request.
+    The chain is followed by path doubling: a chain of depth d takes log2(d) joins, and cycles end.
+    ``deepest`` stops earlier on request.
     """
     return _walk(nodes, edges.select(F.col("child").alias("at"), F.col("parent").alias("next")), deepest)
 
@@ -124,19 +134,22 @@ def descendants(nodes: DataFrame, edges: DataFrame, deepest: int | None = None)
 
 
 def _walk(nodes: DataFrame, step: DataFrame, deepest: int | None) -> DataFrame:
-    step = cut_lineage(step.distinct())
-    front = nodes.select("node", F.col("node").alias("at")).distinct()
-    seen, depth = front.withColumn("depth", F.lit(0)), 0
-    while deepest is None or depth < deepest:
-        depth += 1
-        front = cut_lineage(front.join(step, "at").select("node", F.col("next").alias("at")).distinct()
-                            .join(seen, ["node", "at"], "left_anti"))
-        if front.isEmpty():
+    """All relatives up to depth n are known exactly, then up to 2n: whoever is farther than n passes
+    through a relative at n, so only those at n are joined on.  One job and one checkpoint a doubling;
+    rows grow to the relatives of all names, not of ``nodes`` alone."""
+    reach = cut_lineage(step.filter("at <> next").distinct().withColumn("depth", F.lit(1)))
+    reached = 1
+    while deepest is None or reached < deepest:
+        far = reach.filter(F.col("depth") == reached)
+        if far.isEmpty():
             break
-        seen = seen.unionByName(front.withColumn("depth", F.lit(depth)))
-        if depth % 10 == 0:
-            seen = cut_lineage(seen)
-    return seen.filter("depth > 0").select("node", F.col("at").alias("relative"), "depth")
+        further = (far.select("at", F.col("next").alias("via")).join(reach.select(F.col("at").alias("via"), "next", "depth"), "via")
+                   .select("at", "next", (F.col("depth") + reached).alias("depth")).filter("at <> next"))
+        reach = cut_lineage(reach.unionByName(further).groupBy("at", "next").agg(F.min("depth").alias("depth")))
+        reached *= 2
+    found = reach if deepest is None else reach.filter(F.col("depth") <= deepest)
+    return nodes.select(F.col("node").alias("at")).distinct().join(found, "at").select(
+        F.col("at").alias("node"), F.col("next").alias("relative"), "depth")
 
 
 def topic_by_name(topics: DataFrame, names: DataFrame) -> DataFrame:

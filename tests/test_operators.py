@@ -300,6 +300,43 @@ def test_long_chain_and_two_parents(spark):
     assert up.count() == 100 and up.filter("relative = 'n2'").first()["depth"] == 1
 
 
+def test_chain_of_a_hundred_levels_takes_few_rounds(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(joins, "cut_lineage", lambda df, own=joins.cut_lineage: cuts.append(1) or own(df))
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(100)] + [(None, "n3"), ("n5", None)], "child string, parent string")
+    nodes = spark.createDataFrame([("n0",), ("n90",), ("n90",), (None,), ("unknown",)], "node string")
+    got = {(r["node"], r["relative"]): r["depth"] for r in joins.ancestors(nodes, edges).collect()}
+    assert got == {(f"n{a}", f"n{i}"): i - a for a in (0, 90) for i in range(a + 1, 101)} and len(cuts) <= 8
+    assert rows(joins.ancestors(nodes.filter("node = 'n0'"), edges, 3)) == [("n0", f"n{i}", i) for i in (1, 2, 3)]
+    assert joins.descendants(nodes, edges).count() == 90
+    assert joins.ancestors(nodes, edges.limit(0)).count() == 0
+
+
+def test_relatives_equal_plain_search(spark):
+    r = random.Random(13)
+    links = {(f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range(55)}
+    plain = {}
+    for start in {a for a, _ in links}:
+        front, depth, seen = {start}, 0, {start: 0}
+        while front:
+            depth += 1
+            front = {b for a, b in links if a in front} - set(seen)
+            seen |= dict.fromkeys(front, depth)
+        plain |= {(start, n): d for n, d in seen.items() if d}
+    edges = spark.createDataFrame(sorted(links), "child string, parent string")
+    nodes = edges.select(F.col("child").alias("node"))
+    for deepest in (None, 1, 3):
+        got = {(x["node"], x["relative"]): x["depth"] for x in joins.ancestors(nodes, edges, deepest).collect()}
+        assert got == {k: d for k, d in plain.items() if deepest is None or d <= deepest}
+
+
+def test_alias_parents_go_on(spark):
+    names = spark.createDataFrame([("renal", "Kidney", 1), ("kidney", "Kidney", 2), ("renal", "Other", 3)], "term string, canonical string, pos int")
+    edges = spark.createDataFrame([(" RENAL", "Nephron"), ("Body", "kidney"), ("Nephron", "Tubule")], "parent string, child string")
+    up = joins.ancestors(spark.createDataFrame([("Tubule",)], "node string"), joins.resolved_edges(edges, names))
+    assert rows(up) == [("Tubule", "Body", 3), ("Tubule", "Kidney", 2), ("Tubule", "Nephron", 1)]
+
+
 def test_review_write_sets_note_time_and_log(spark):
     edges = spark.createDataFrame(
         [(1, "T1", "g1", "pending", "old", None), (2, "T1", "g2", "pending", "old", None)],

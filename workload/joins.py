@@ -165,6 +165,18 @@ def j13(spark, sf):
     return j.ancestors(nodes, edges).withColumn("way", lit("up")).unionByName(j.descendants(nodes, edges).withColumn("way", lit("down")))
 
 
+@query("j13_alias_parents", "WITH RECURSIVE parts AS (SELECT concat('part ', CAST(p_partkey AS VARCHAR)) AS name, CASE WHEN p_partkey < 7 THEN '' ELSE concat('part ', "
+       "CAST(p_partkey // 7 AS VARCHAR)) END AS parent FROM part), w AS (SELECT name AS node, parent AS relative, 1 AS depth FROM parts WHERE parent <> '' UNION ALL SELECT "
+       "node, parent, depth + 1 FROM w JOIN parts ON relative = name WHERE parent <> '') SELECT node, relative, depth FROM w")
+def j13_alias(spark, sf):
+    """The same tree with every parent given by its synonym, in capitals."""
+    parts, edges = table(spark, sf, "parts"), v.vocab_edges(part_entries(spark, sf))
+    spoken = parts.select(c("name").alias("parent"), F.upper(F.concat_ws(" ", "brand", "name")).alias("spoken"))
+    edges = edges.join(spoken, "parent").select(c("spoken").alias("parent"), "child")
+    names = part_vocab(spark, sf).filter("kind in ('canonical', 'synonym', 'adjective')")
+    return j.ancestors(parts.select(c("name").alias("node")), j.resolved_edges(edges, names))
+
+
 def topics(spark, sf):
     """One topic per user."""
     return table(spark, sf, "topic_datasets").groupBy("topic_id").agg(
