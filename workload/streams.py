@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodecat.operators.review import review_state
 from lodecat.operators.store import expire
 from lodecat.session import run_folder
-from lodecat.streaming import jobs
+from lodecat.streaming import jobs, state
 from workload.derived import TABLES, table
 from workload.registry import query
 
@@ -56,6 +56,30 @@ def x3(spark, sf):
     return expire(table(spark, sf, "cache_index"), "cached_at", 168, datetime(1999, 1, 1)).select("key")
 
 
+@query("x2_review_keyed", STACK, "review_log")
+def x2c(spark, sf):
+    """Five batches; the actions of a pair come in any order, so most of them late."""
+    folder = run_folder(spark, "review")
+    log = table(spark, sf, "review_log")
+    log.withColumn("part", c("log_id") * 7919 % 5).repartition("part").write.partitionBy("part").parquet(folder + "/in")
+    parts = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder + "/in")
+    state.keep_review(parts, folder + "/out", folder + "/state", "30 days", None).awaitTermination()
+    return state.read_review(spark, folder + "/out")
+
+
+@query("x3_expire_stream", "SELECT key, cached_at < (SELECT max(cached_at) FROM cache_index) - INTERVAL 336 HOURS AS expired FROM cache_index", "cache_index")
+def x3b(spark, sf):
+    """Five batches in the order of time: every key comes, and all but the newest leave again."""
+    folder = run_folder(spark, "expiry")
+    index = table(spark, sf, "cache_index").select("key", c("cached_at").cast("timestamp").alias("cached_at"))
+    year = F.year("cached_at")
+    for i, (low, high) in enumerate([(0, 1994), (1994, 1995), (1995, 1996), (1996, 1997), (1997, 9999)]):
+        index.filter((year >= low) & (year < high)).coalesce(1).write.parquet(f"{folder}/in/n={i}")
+    parts = spark.readStream.schema(index.schema).option("maxFilesPerTrigger", 1).parquet(folder + "/in/n=*")
+    state.keep_unexpired(parts, "key", "cached_at", 336, folder + "/out", folder + "/state", None).awaitTermination()
+    return state.read_keys(spark, folder + "/out").select("key", "expired")
+
+
 @query("x4_history_counts", "SELECT topic_id, count(*) AS searches, sum(edge_id % 10)::BIGINT AS results FROM topic_datasets GROUP BY topic_id", "topic_datasets")
 def x4(spark, sf):
     folder = run_folder(spark, "history")
