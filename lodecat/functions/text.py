@@ -84,6 +84,11 @@ def count_terms(text: Column, terms: Sequence[str]) -> Column:
     return reduce(lambda a, b: a + b, hits, F.lit(0))
 
 
+def term_hits(text: Column, terms: Sequence[str]) -> Column:
+    """The terms that are substrings, in their declared order (U4)."""
+    return let(text, lambda x: F.filter(lit_array(terms), lambda w: F.contains(x, w)))
+
+
 def first_class(text: Column, classes: Classes, default: Column | str | None = None) -> Column:
     """Substring rule, first declared class wins (M2)."""
     out = None

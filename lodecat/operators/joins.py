@@ -162,6 +162,29 @@ def related(entries: DataFrame, field: str = "related_organs") -> DataFrame:
         "relative_key", F.lower("relative"))
 
 
+def get_datasets(asked: DataFrame, stored: DataFrame, key: str = "accession") -> DataFrame:
+    """Stored rows by any id: the exact series id first, else the series of a study id.
+
+    Each asked id gives one row at most, with the id in ``key``; of several series of one study
+    the smallest series id counts.  Ids that nothing is stored under give no row.  Two
+    equi-joins; the study ids are exploded narrow, and whole rows are fetched for winners.
+    """
+    ids = asked.select(key).filter(F.col(key).isNotNull()).distinct()
+    exact = ids.join(stored.select("gse_id").distinct(), F.col(key) == F.col("gse_id"), "left")
+    rest = exact.filter(F.col("gse_id").isNull()).select(key)
+    by_study = stored.select("gse_id", F.explode("sra_ids").alias(key))
+    found = exact.filter(F.col("gse_id").isNotNull()).unionByName(
+        rest.join(by_study, key).groupBy(key).agg(F.min("gse_id").alias("gse_id")))
+    return found.join(stored.drop(key), "gse_id")
+
+
+def get_dataset(stored: DataFrame, accession: str) -> DataFrame:
+    """The one stored row of an id, or none: the form of :func:`get_datasets` for one id."""
+    by_id = stored.filter(F.col("gse_id") == accession).withColumn("_near", F.lit(0))
+    by_study = stored.filter(F.array_contains("sra_ids", accession)).withColumn("_near", F.lit(1))
+    return by_id.unionByName(by_study).orderBy("_near", "gse_id").limit(1).drop("_near")
+
+
 def report_items(reports: DataFrame, items: DataFrame) -> DataFrame:
     """Reports with their ranked items."""
     return reports.join(items, "report_id")

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from datetime import date
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodecat.fixed import terms
 from lodecat.functions import classify, score
 from lodecat.functions.parse import parse_score
+from lodecat.functions.render import score_prompt
 from lodecat.functions.text import join_text
 from lodecat.operators.joins import with_answers
-from lodecat.session import spread
+from lodecat.session import cut_lineage, spread
 
 
 def best_first(df: DataFrame, value: str, n: int | None, tie: str = "gse_id") -> DataFrame:
@@ -96,17 +99,62 @@ def to_score(candidates: DataFrame, top_k: int = 20, min_relevance: float = 0.0,
     return candidates.withColumn("to_score", fit if score_all else fit & (place <= top_k))
 
 
-def rerank(view: DataFrame, scores: DataFrame, query: str, top_n: int = 50, top_k: int = 20,
+Scorer = Callable[[list[str]], list[str | None]]
+
+
+def no_scores(prompts: list[str]) -> list[str | None]:
+    """The scorer for use without a model: no answer, so every relevance stays."""
+    return [None] * len(prompts)
+
+
+def _answers(score_fn: Scorer, prompts: list[str]) -> list[tuple[str | None, str | None]]:
+    try:
+        got = list(score_fn(prompts))
+        if len(got) != len(prompts):
+            raise ValueError(f"{len(got)} answers to {len(prompts)} prompts")
+        return [(None if g is None else str(g), None) for g in got]
+    except Exception as e:  # a model may fail in any way; the row says how
+        if len(prompts) == 1:
+            return [(None, f"{type(e).__name__}: {e}")]
+        return [a for p in prompts for a in _answers(score_fn, [p])]
+
+
+def score_with(rows: DataFrame, score_fn: Scorer, prompt: Column,
+               batch_rows: int = 64) -> DataFrame:
+    """(gse_id, text, error): the answer of a scorer to every row's prompt.
+
+    The scorer runs in the tasks, on at most ``batch_rows`` prompts at a time.  A batch that
+    fails is asked row by row; a row that fails alone has no text, but its error.
+    """
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(0, len(f), batch_rows):
+                part = f.iloc[at:at + batch_rows]
+                text, error = zip(*_answers(score_fn, part["prompt"].tolist()), strict=True)
+                yield pd.DataFrame({"gse_id": part["gse_id"].tolist(), "text": text, "error": error})
+
+    return rows.select("gse_id", prompt.alias("prompt")).mapInPandas(
+        run, "gse_id string, text string, error string")
+
+
+def rerank(view: DataFrame, scores: DataFrame | Scorer, query: str, top_n: int = 50, top_k: int = 20,
            min_relevance: float = 0.0, score_all: bool = False,
-           answers: DataFrame | None = None, floor: float = 0.05) -> DataFrame:
+           answers: DataFrame | None = None, floor: float = 0.05,
+           prompt: Column | None = None) -> DataFrame:
     """Second look at a page three times as long as wanted.
 
     Cheap tests come first; ``scores`` (gse_id, text) replaces the relevance of the rows
-    chosen for scoring, an unreadable score keeps it; then the total is weighted anew.
+    chosen for scoring, an unreadable score keeps it; then the total is weighted anew.  A
+    function instead of a table is asked for the chosen rows alone (:func:`score_with`), with
+    their ``prompt``, the facts of the record unless told otherwise.
     """
     page = rank(view, top_n * 3).drop("rank")
     fit = skip_reasons(page, floor).filter("skip_reason = ''")
     marked = to_score(fit, top_k, min_relevance, score_all)
+    if callable(scores):
+        marked = cut_lineage(marked)  # a page; the scorer must not run for it twice
+        scores = cut_lineage(score_with(marked.filter("to_score"), scores, score_prompt(query)
+                                        if prompt is None else prompt))
     joined = marked.join(scores.select("gse_id", F.col("text").alias("_score_text")), "gse_id",
                          "left")
     scored = F.when(F.col("to_score"), parse_score(F.col("_score_text")))

@@ -1,13 +1,16 @@
-"""Reports on topics and results, as tables; text only from a bounded head."""
+"""Reports on topics and results, as tables and as text of any length."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodecat.functions.text import blank
 from lodecat.operators import aggregates as agg
 from lodecat.operators.joins import topic_view
+from lodecat.operators.order import global_positions
 
 
 def topic_report(edges: DataFrame, datasets: DataFrame,
@@ -54,11 +57,28 @@ def summary_report(datasets: DataFrame, topics: DataFrame) -> DataFrame:
             .unionByName(long(agg.top_organisms(datasets), "organisms", "organism")))
 
 
-def markdown(table: DataFrame, title: str, most: int = 1000) -> str:
-    """The first rows of a report table as text for people."""
-    rows = table.limit(most).collect()
-    head = f"# {title}\n\n| {' | '.join(table.columns)} |\n|{'---|' * len(table.columns)}\n"
-    return head + "\n".join(f"| {' | '.join(str(v) for v in r)} |" for r in rows)
+def report_lines(table: DataFrame, title: str, order: Sequence[str | Column]) -> DataFrame:
+    """(line_no, line): a whole report table as text for people, every row of it.
+
+    Rows are numbered by one total order cut into ranges, so no task holds the report.  Line
+    breaks in a cell become blanks and bars are escaped; a null cell is empty.
+    """
+    cell = lambda name: F.regexp_replace(F.regexp_replace(blank(
+        F.col(name).cast("string")), r"[\r\n]+", " "), r"\|", r"\\|")
+    body = F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, table.columns)), F.lit(" |"))
+    keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    head = [f"# {title}", "", f"| {' | '.join(table.columns)} |", "|" + "---|" * len(table.columns)]
+    top = table.sparkSession.range(1).select(
+        F.posexplode(F.array(*map(F.lit, head))).alias("n", "line")).select(
+        (F.col("n") + 1).cast("long").alias("line_no"), "line")
+    return top.unionByName(global_positions(table, keys, "_n").select(
+        (F.col("_n") + len(head)).cast("long").alias("line_no"), body.alias("line")))
+
+
+def write_report(lines: DataFrame, folder: str) -> None:
+    """Text files that give the report when read one after the other by name."""
+    (lines.repartitionByRange("line_no").sortWithinPartitions("line_no").select("line")
+     .write.mode("overwrite").text(folder))
 
 
 def evaluate(results: DataFrame) -> DataFrame:

@@ -23,8 +23,18 @@ from lodecat.operators.order import first_per_key
 from lodecat.session import spread
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per landed file."""
+def documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per landed file, or with ``lines`` one per line of the landed files.
+
+    A file of one document cannot be split; land large extracts with one document per line,
+    which Spark reads in ranges on all cores.  ``seq`` orders the documents: by file, and in
+    a file by line.
+    """
+    if lines:
+        at = [F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+        return spark.read.text(path).select(
+            F.col("value").alias("body"), F.concat_ws("#", F.input_file_name(), *[
+                F.lpad(x.cast("string"), 20, "0") for x in at]).alias("seq")).filter("body <> ''")
     return spark.read.text(path, wholetext=True).select(
         F.col("value").alias("body"), F.input_file_name().alias("seq"))
 
@@ -62,8 +72,8 @@ def parse_geo_summaries(df: DataFrame) -> DataFrame:
     return first_per_key(flat, ["gse_id"], [F.col("seq"), F.col("place")]).drop("seq", "place")
 
 
-def read_geo_summaries(spark: SparkSession, path: str) -> DataFrame:
-    return parse_geo_summaries(documents(spark, path))
+def read_geo_summaries(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return parse_geo_summaries(documents(spark, path, lines))
 
 
 PUBMED_ITEM = ("struct<title:string,abstract:string,fulljournalname:string,pubdate:string,"
@@ -88,8 +98,8 @@ def parse_pubmed_summaries(df: DataFrame) -> DataFrame:
         .alias("gse_ids"))
 
 
-def read_pubmed_summaries(spark: SparkSession, path: str) -> DataFrame:
-    return parse_pubmed_summaries(documents(spark, path))
+def read_pubmed_summaries(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return parse_pubmed_summaries(documents(spark, path, lines))
 
 
 PACKAGE = (
@@ -147,9 +157,14 @@ def parse_sra_packages(df: DataFrame) -> DataFrame:
     return _flatten_packages(spread(with_study).withColumn("_p", F.from_xml("body", PACKAGE)), F.col("_p"))
 
 
-def read_sra_packages(spark: SparkSession, path: str) -> DataFrame:
-    """Experiment packages from XML files of any size: Spark splits them by row tag."""
+def read_sra_packages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Experiment packages from XML files.
+
+    With ``lines`` every line is one package, and Spark splits large files; without, a file
+    is one XML document with a root, read as a stream by one task.
+    """
     df = (spark.read.format("xml").option("rowTag", "EXPERIMENT_PACKAGE")
+          .option("multiLine", not lines)
           .schema(T.DataType.fromDDL(PACKAGE)).load(path))
     rows = df.filter(blank(F.col("STUDY._accession")) != "")
     return _flatten_packages(rows, F.struct(*df.columns))
@@ -177,6 +192,10 @@ def parse_samples(df: DataFrame) -> DataFrame:
         (-number.cast("long")).alias("place"))
 
 
+def read_samples(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return parse_samples(documents(spark, path, lines))
+
+
 # --- pages --------------------------------------------------------------------------------
 
 def _plain(html: Column, joint: str = "") -> Column:
@@ -347,6 +366,11 @@ def parse_views(df: DataFrame, ddl: str) -> DataFrame:
     return with_defaults(read, ddl)
 
 
+def read_views(spark: SparkSession, path: str, ddl: str, lines: bool = True) -> DataFrame:
+    """Stored rows, as they are written: one JSON document per line."""
+    return parse_views(documents(spark, path, lines), ddl)
+
+
 def json_list(col: Column) -> Column:
     """JSON list text to an array; bad text is the empty list."""
     return F.coalesce(F.from_json(col, "array<string>"), F.array().cast("array<string>"))

@@ -46,8 +46,8 @@ def parse_entries(df: DataFrame, domain: str, roots: Sequence[str] | str) -> Dat
 
 
 def read_ontology(spark: SparkSession, path: str, domain: str,
-                  root: str | Sequence[str] | None = None) -> DataFrame:
-    return parse_entries(documents(spark, path), domain,
+                  root: str | Sequence[str] | None = None, lines: bool = False) -> DataFrame:
+    return parse_entries(documents(spark, path, lines), domain,
                          root or ([ROOTS[domain], "synonym_groups"] if domain == "mesh"
                                   else ROOTS[domain]))
 
@@ -143,6 +143,10 @@ def parse_keyword_lists(df: DataFrame, root: str) -> DataFrame:
     return df.select("seq", F.posexplode(F.coalesce(nested, plain)).alias("place", "word"))
 
 
+def read_keyword_lists(spark: SparkSession, path: str, root: str, lines: bool = False) -> DataFrame:
+    return parse_keyword_lists(documents(spark, path, lines), root)
+
+
 def keywords(default: DataFrame, override: DataFrame | None = None) -> DataFrame:
     """A list given at run time replaces the landed one."""
     return default if override is None else override
@@ -153,3 +157,7 @@ def parse_abbreviations(df: DataFrame) -> DataFrame:
     return parse_entries(df, "abbreviation", "abbreviations").select(
         F.upper("key").alias("key"), "full_name", "search_terms", "related_diseases",
         "related_organs")
+
+
+def read_abbreviations(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return parse_abbreviations(documents(spark, path, lines))

@@ -8,5 +8,5 @@ __all__ = ["ORACLES", "QUERIES", "load_all"]
 
 def load_all() -> None:
     from workload import (  # noqa: F401
-        aggregates, composites, filters, joins, large, scalars, sources, store, streams, text, windows,
+        aggregates, composites, filters, joins, large, readers, scalars, sources, store, streams, text, windows,
     )

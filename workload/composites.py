@@ -9,6 +9,7 @@ from lodecat.operators.matching import match_all
 from lodecat.plans import (
     availability, inference, knowledge as kn, queries as qs, ranking, reports, sample_groups as sg, search, topics as tp,
 )
+from lodecat.session import run_folder
 from lodecat.sources import sinks
 from workload.aggregates import TOKENS
 from workload.derived import AS_OF, QUERY, given, records, table
@@ -251,18 +252,73 @@ def c14(spark, sf):
     return out.select("gse_id", F.round("relevance_score", 6).alias("relevance"), "rank")
 
 
+@query("c14_rerank_scorer", RERANK, "datasets answers")
+def c14_scorer(spark, sf):
+    """The same answers from a function that is asked for the chosen rows; it fails on whole batches now and then."""
+    def answer(ids):
+        n = [int(i[3:]) - 100000 for i in ids]
+        if len(n) > 1 and n[0] % 3 == 0:
+            raise RuntimeError("too many at once")
+        return [["0.85", f"Score: {k % 100} of 100", "", "none", "1.0"][k % 5] for k in n]
+
+    out = ranking.rerank(view(spark, sf), answer, QUERY, prompt=c("gse_id"))
+    return out.select("gse_id", F.round("relevance_score", 6).alias("relevance"), "rank")
+
+
+@query("c12_rank_totals", VIEW_CTE + f"SELECT row_number() OVER (ORDER BY ({TOTAL})::DOUBLE DESC) AS rank, round(({TOTAL})::DOUBLE, 5) AS total FROM viewed QUALIFY rank <= 200", "datasets")
+def c12_totals(spark, sf):
+    """``rank`` itself; totals by rank, which equal scores cannot swap."""
+    rounded = view(spark, sf).withColumn("relevance_score", F.round("relevance_score", 6))
+    return ranking.rank(rounded, 200).select("rank", F.round("total_score", 5).alias("total"))
+
+
+_BIO_TOP = "SELECT '{0}' AS profile, row_number() OVER (ORDER BY t DESC) AS rank, round(t, 5) AS total FROM (SELECT least({1} + s7, 1)::DOUBLE AS t FROM z) QUALIFY rank <= 100"
+
+
+@query("c13_bio_rank_totals", BIO + " UNION ALL ".join(_BIO_TOP.format(n, w) for n, w in (
+    ("default", "0.30 * s1 + 0.15 * s2 + 0.15 * s3 + 0.15 * s4 + 0.15 * s5 + 0.10 * s6"), ("recent", "0.20 * s1 + 0.40 * s2 + 0.15 * s3 + 0.10 * s4 + 0.10 * s5 + 0.05 * s6"))), "datasets")
+def c13_totals(spark, sf):
+    """``bio_rank`` itself, for two profiles."""
+    df = bio_records(spark, sf)
+    best = [ranking.numbered(ranking.bio_rank(df, QUERY, AS_OF, p, 100), "total_score").select(
+        lit(p).alias("profile"), "rank", F.round("total_score", 5).alias("total")) for p in ("default", "recent")]
+    return best[0].unionByName(best[1])
+
+
 # --- reports and the rest ------------------------------------------------------------------
 
 _J = "topic_datasets JOIN datasets USING (gse_id)"
 
 
-@query("c15_topic_report", f"SELECT topic_id, 'total' AS section, 'datasets' AS item, count(*) AS n FROM {_J} GROUP BY 1 UNION ALL SELECT topic_id, 'review', s, count(*) FILTER (review_status = s) FROM topic_datasets, (VALUES ('pending'), ('approved'), "
-       f"('irrelevant'), ('deleted')) v(s) GROUP BY topic_id, s UNION ALL SELECT topic_id, 'availability', s, count(*) FILTER (CASE s WHEN 'controlled' THEN access_type = s ELSE availability_status = s END) FROM {_J}, (VALUES ('available'), "
-       "('unavailable'), ('restricted'), ('controlled'), ('unverified')) v(s) GROUP BY topic_id, s", "topic_datasets datasets")
+TOPIC_REPORT = (
+    f"SELECT topic_id, 'total' AS section, 'datasets' AS item, count(*) AS n FROM {_J} GROUP BY 1 UNION ALL SELECT topic_id, 'review', s, count(*) FILTER (review_status = s) FROM topic_datasets, (VALUES ('pending'), ('approved'), "
+    f"('irrelevant'), ('deleted')) v(s) GROUP BY topic_id, s UNION ALL SELECT topic_id, 'availability', s, count(*) FILTER (CASE s WHEN 'controlled' THEN access_type = s ELSE availability_status = s END) FROM {_J}, (VALUES ('available'), "
+    "('unavailable'), ('restricted'), ('controlled'), ('unverified')) v(s) GROUP BY topic_id, s")
+
+
+@query("c15_topic_report", TOPIC_REPORT, "topic_datasets datasets")
 def c15(spark, sf):
     return reports.topic_report(table(spark, sf, "topic_datasets"), table(spark, sf, "datasets"))
 
 
+@query("c15_report_text", "SELECT 4 + row_number() OVER (ORDER BY topic_id, section, item) AS line_no, '| ' || topic_id || ' | ' || section || ' | ' || item || ' | ' || n || ' |' AS line FROM (" + TOPIC_REPORT + ") UNION ALL "
+       "VALUES (1, '# Topics'), (2, ''), (3, '| topic_id | section | item | n |'), (4, '|---|---|---|---|')", "topic_datasets datasets")
+def c15_text(spark, sf):
+    """The whole report as text files, read back."""
+    folder = run_folder(spark, "report")
+    lines = reports.report_lines(c15(spark, sf), "Topics", ["topic_id", "section", "item"])
+    reports.write_report(lines, folder)
+    return spark.read.text(folder).select(c("value").alias("line")).join(lines, "line").select("line_no", "line")
+
+
+@query("c15_topic_lines", f"SELECT topic_id, gse_id, left(title, 50) AS title, CASE WHEN sample_count > 0 THEN CAST(sample_count AS VARCHAR) ELSE '' END AS samples, left(platform, 20) AS platform, CASE availability_status WHEN 'available' THEN '[OK]' WHEN "
+       f"'unavailable' THEN '[X]' WHEN 'restricted' THEN '[!!]' ELSE '[?]' END AS availability, CASE review_status WHEN 'approved' THEN '[OK]' WHEN 'irrelevant' THEN '[--]' WHEN 'deleted' THEN '[DEL]' WHEN 'pending' THEN '[...]' ELSE '[?]' END AS review "
+       f"FROM {_J} WHERE topic_id = 'T3'", "topic_datasets datasets")
+def c15_lines(spark, sf):
+    out = reports.topic_lines(table(spark, sf, "topic_datasets"), table(spark, sf, "datasets"), "T3")
+    return out.select(lit("T3").alias("topic_id"), "gse_id", "title", "samples", "platform", "availability", "review")
+
+
 @query("c15_summary_report", "SELECT 'overview' AS section, 'datasets' AS item, count(*) AS n FROM datasets UNION ALL SELECT 'overview', 'topics', count(DISTINCT topic_id) FROM topic_datasets UNION ALL SELECT 'availability', availability_status, "
        "count(*) FROM datasets GROUP BY 2 UNION ALL SELECT 'organisms', organism, count(*) FROM datasets WHERE organism <> '' GROUP BY 2", "datasets topic_datasets")
 def c15b(spark, sf):

@@ -4,6 +4,7 @@ read back, so the checking SQL states what must come out."""
 from pyspark.sql import functions as F
 
 from lodecat.fixed import terms
+from lodecat.operators.joins import get_datasets
 from lodecat.schemas import DATASET_VIEW
 from lodecat.session import run_folder
 from lodecat.sources import landed, sinks, vocabulary as v
@@ -41,7 +42,11 @@ def geo_documents(spark, sf):
        "pubmed_id, publication_date, doc_id % 3 = 0 AS series_matrix_available FROM datasets WHERE doc_id % 9 "
        "<> 4", "datasets")
 def s1(spark, sf):
-    return landed.parse_geo_summaries(geo_documents(spark, sf)).select(
+    return geo_fields(landed.parse_geo_summaries(geo_documents(spark, sf)))
+
+
+def geo_fields(df):
+    return df.select(
         "gse_id", "title", F.length("abstract").alias("n_abstract"), "organism", "sample_count", "pubmed_id",
         "publication_date", "series_matrix_available")
 
@@ -71,7 +76,10 @@ def xml_packages(spark, sf):
        "library_source, platform, bioproject_id AS bioproject_ids, run_count, greatest(1, run_count) AS sample_count "
        "FROM sra_packages", "sra_packages")
 def s2(spark, sf):
-    df = landed.parse_sra_packages(xml_packages(spark, sf))
+    return package_fields(landed.parse_sra_packages(xml_packages(spark, sf)))
+
+
+def package_fields(df):
     return df.select(
         F.array_join("srx_ids", "|").alias("srx_ids"), "srp_id", F.array_join("gse_ids", "|").alias("gse_ids"),
         "title", "organism", "library_strategy", "library_source", "platform",
@@ -95,13 +103,20 @@ def p10(spark, sf):
        "'Ann|Bo' AS authors, CASE WHEN pos % 3 = 0 THEN concat('GSE', 100000 + pos) ELSE '' END AS gse_ids FROM papers",
        "papers")
 def s3(spark, sf):
+    return paper_fields(landed.parse_pubmed_summaries(paper_documents(spark, sf)))
+
+
+def paper_documents(spark, sf):
     df = table(spark, sf, "papers")
     item = F.to_json(F.struct(
         "title", F.when(c("pos") % 2 == 1, c("abstract")).alias("abstract"), c("journal").alias("fulljournalname"),
         lit("2021").alias("pubdate"),
         F.array(F.struct(lit("Ann").alias("name")), F.struct(lit("Bo").alias("name"))).alias("authors")))
     body = F.concat(lit('{"result": {"uids": [], "'), c("pmid"), lit('": '), item, lit("}}"))
-    out = landed.parse_pubmed_summaries(doc(df, body, c("pmid")))
+    return doc(df, body, c("pmid"))
+
+
+def paper_fields(out):
     return out.select("pmid", "title", "journal", "abstract", F.array_join("authors", "|").alias("authors"),
                       F.array_join("gse_ids", "|").alias("gse_ids"))
 
@@ -162,13 +177,21 @@ def s6(spark, sf):
 @query("s7_samples", "SELECT gse_id, gsm_id, title, kind AS sample_type, -CAST(substr(gsm_id, 4) AS BIGINT) AS place, "
        "tissue FROM samples", "samples")
 def s7(spark, sf):
+    return sample_fields(landed.parse_samples(sample_documents(spark, sf)))
+
+
+def sample_documents(spark, sf):
     s = table(spark, sf, "samples")
     item = F.struct(c("gsm_id").alias("accession"), "title", F.array("kind").alias("sample_type"),
                     F.concat(lit("Tissue: "), c("tissue")).alias("attributes"))
     bad = F.struct(lit("GPL1").alias("accession"), lit("no").alias("title"),
                    F.array(lit("x")).alias("sample_type"), lit("").alias("attributes"))
     body = F.to_json(F.struct("gse_id", F.array(item, bad).alias("samples")))
-    return landed.parse_samples(doc(s, body, c("pos"))).select(
+    return doc(s, body, c("pos"))
+
+
+def sample_fields(df):
+    return df.select(
         "gse_id", "gsm_id", "title", F.array_join("sample_type", "|").alias("sample_type"), "place",
         F.element_at("attributes", "tissue").alias("tissue"))
 
@@ -198,12 +221,19 @@ def s8(spark, sf):
 @query("s9_keyword_lists", "SELECT doc_id, coalesce(CASE doc_id % 2 WHEN 0 THEN 'a|' || lang || '|b' ELSE lang || '|c' END) AS words "
        "FROM documents")
 def s9(spark, sf):
+    words = v.keywords(v.parse_keyword_lists(keyword_documents(spark, sf), "disease_terms"))
+    return word_lists(words).select(c("seq").cast("long").alias("doc_id"), "words")
+
+
+def keyword_documents(spark, sf):
     df = given(spark, sf, "documents")
     plain = F.to_json(F.struct(F.array(c("lang"), lit("c")).alias("disease_terms")))
     nested = F.to_json(F.struct(F.struct(F.array(lit("a"), c("lang"), lit("b")).alias("terms")).alias("disease_terms")))
-    rows = doc(df, F.when(c("doc_id") % 2 == 0, nested).otherwise(plain), c("doc_id"))
-    words = v.keywords(v.parse_keyword_lists(rows, "disease_terms"))
-    return words.groupBy(c("seq").cast("long").alias("doc_id")).agg(F.array_join(F.transform(
+    return doc(df, F.when(c("doc_id") % 2 == 0, nested).otherwise(plain), c("doc_id"))
+
+
+def word_lists(words):
+    return words.groupBy("seq").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("place", "word"))), lambda s: s["word"]), "|").alias("words"))
 
 
@@ -218,7 +248,11 @@ def abbreviation_documents(spark, sf):
 @query("s10_abbreviations", "SELECT 'P' || p_partkey AS key, name AS full_name, kind || '|' || lower(kind) AS search_terms, brand AS "
        "related_diseases FROM parts", "parts")
 def s10(spark, sf):
-    return v.parse_abbreviations(abbreviation_documents(spark, sf)).select(
+    return abbreviation_fields(v.parse_abbreviations(abbreviation_documents(spark, sf)))
+
+
+def abbreviation_fields(df):
+    return df.select(
         "key", "full_name", F.array_join("search_terms", "|").alias("search_terms"),
         F.array_join("related_diseases", "|").alias("related_diseases"))
 
@@ -226,15 +260,8 @@ def s10(spark, sf):
 @query("s11_get_dataset", "SELECT a.accession, d.gse_id, d.title FROM (SELECT DISTINCT accession FROM accessions) a JOIN datasets d ON "
        "d.gse_id = a.accession OR d.sra_id = a.accession", "accessions datasets")
 def s11(spark, sf):
-    """Batch form: exact key first, the rest by study id; two equi-joins."""
-    asked = table(spark, sf, "accessions").select("accession").distinct()
-    stored = records(spark, sf).select("gse_id", "title", "sra_ids")
-    exact = asked.join(stored, c("accession") == c("gse_id")).select("accession", "gse_id", "title")
-    rest = asked.join(exact, "accession", "left_anti")
-    by_study = stored.select("gse_id", "title", F.explode("sra_ids").alias("accession"))
-    found = rest.join(by_study, "accession").groupBy("accession").agg(
-        F.min_by(F.struct("gse_id", "title"), "gse_id").alias("r")).select("accession", "r.*")
-    return exact.unionByName(found)
+    """Batch form: exact key first, the rest by study id."""
+    return get_datasets(table(spark, sf, "accessions"), records(spark, sf)).select("accession", "gse_id", "title")
 
 
 @query("s12_study_pages", "SELECT doc_id, 'Study' || source || 'inner' || CAST(doc_id AS VARCHAR) AS text FROM documents")
@@ -255,9 +282,17 @@ def s12b(spark, sf):
 @query("s13_stored_rows", "SELECT gse_id, title, 'other' AS data_type, CASE WHEN doc_id % 2 = 0 THEN sample_count ELSE 0 END AS "
        "sample_count, false AS single_cell, 0 AS n_keywords, 'unknown' AS granularity FROM datasets", "datasets")
 def s13(spark, sf):
+    return stored_fields(landed.parse_views(stored_documents(spark, sf), DATASET_VIEW))
+
+
+def stored_documents(spark, sf):
     df = table(spark, sf, "datasets")
     body = F.to_json(F.struct("gse_id", "title", F.when(c("doc_id") % 2 == 0, c("sample_count")).alias("sample_count")))
-    return landed.parse_views(doc(df, body, c("doc_id")), DATASET_VIEW).select(
+    return doc(df, body, c("doc_id"))
+
+
+def stored_fields(df):
+    return df.select(
         "gse_id", "title", "data_type", "sample_count", "single_cell", F.size("keywords").alias("n_keywords"), "granularity")
 
 

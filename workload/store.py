@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from lodecat.fixed import terms
-from lodecat.functions.text import distinct_ignoring_case, ordered_union
+from lodecat.functions.text import distinct_ignoring_case, ordered_union, term_hits
 from lodecat.operators import review as r, store as s
 from lodecat.operators.joins import without_answers
 from workload.derived import records, table
@@ -68,10 +68,8 @@ def u3(spark, sf):
 @query("u4_term_hits", "SELECT gse_id, concat_ws('|', " + ", ".join(f"CASE WHEN contains(lower(title), '{w}') THEN '{w}' END" for w in terms.VERDICT_DISEASE_TERMS + terms.VERDICT_SINGLE_CELL_TERMS)
        + ") AS hits FROM datasets", "datasets")
 def u4(spark, sf):
-    from lodecat.functions.text import lit_array
-    df = table(spark, sf, "datasets").withColumn("_t", F.lower("title"))
-    words = lit_array(terms.VERDICT_DISEASE_TERMS + terms.VERDICT_SINGLE_CELL_TERMS)
-    return df.select("gse_id", F.array_join(F.filter(words, lambda w: F.contains("_t", w)), "|").alias("hits"))
+    words = terms.VERDICT_DISEASE_TERMS + terms.VERDICT_SINGLE_CELL_TERMS
+    return table(spark, sf, "datasets").select("gse_id", F.array_join(term_hits(F.lower("title"), words), "|").alias("hits"))
 
 
 @query("u5_distinct_ignoring_case", "SELECT gse_id, organism || '|' || source || CASE WHEN keyword <> '' THEN '|' || keyword ELSE '' END AS names FROM datasets", "datasets")
@@ -232,6 +230,22 @@ def u16(spark, sf):
     return r.update_status(edges, r.apply_actions(edges, actions(spark, sf))).select("edge_id", "review_status")
 
 
+@query("u16_review_notes", ACTIONS + ", b AS (SELECT a.*, old, CASE WHEN new_status = 'approved' THEN 'seen ' || action_id ELSE '' END AS note FROM a JOIN cur USING (topic_id, gse_id) WHERE new_status <> 'wrong'), l AS (SELECT topic_id, gse_id, "
+       "arg_max(new_status, action_id) AS ns, arg_max(note, action_id) AS nn FROM b GROUP BY ALL) SELECT CAST(edge_id AS VARCHAR) AS id, 'edge' AS kind, topic_id, gse_id, coalesce(ns, review_status) AS status, coalesce(nullif(nn, ''), 'old') AS note, ns IS NOT NULL AS stamped FROM "
+       "topic_datasets LEFT JOIN l USING (topic_id, gse_id) UNION ALL SELECT action_id, 'log', topic_id, gse_id, new_status, note, true FROM b", "topic_datasets")
+def u16_notes(spark, sf):
+    """Status, note and time of every edge, and the log rows the actions leave."""
+    as_of = datetime(2025, 6, 30, 12)
+    edges = table(spark, sf, "topic_datasets").withColumns({"review_note": lit("old"), "reviewed_at": lit(None).cast("timestamp")})
+    asked = actions(spark, sf).withColumn("note", F.when(c("new_status") == "approved", F.concat(lit("seen "), c("action_id"))).otherwise(""))
+    done = r.apply_actions(edges, asked)
+    stamp = F.coalesce(c("at") == lit(as_of).cast("timestamp"), lit(False)).alias("stamped")
+    changed = r.update_status(edges, done, as_of).select(c("edge_id").cast("string").alias("id"), lit("edge").alias("kind"), "topic_id", "gse_id",
+                                                         c("review_status").alias("status"), c("review_note").alias("note"), c("reviewed_at").alias("at"))
+    logged = r.log_rows(done, as_of).select(c("log_id").alias("id"), lit("log").alias("kind"), "topic_id", "gse_id", c("new_status").alias("status"), "note", c("acted_at").alias("at"))
+    return changed.unionByName(logged).select("id", "kind", "topic_id", "gse_id", "status", "note", stamp)
+
+
 @query("c16_batch_actions", "SELECT DISTINCT topic_id, gse_id FROM topic_datasets WHERE topic_id = 'T2' AND review_status = 'pending'", "topic_datasets")
 def c16b(spark, sf):
     return r.batch_actions(table(spark, sf, "topic_datasets"), "T2", "approved", "pending").select("topic_id", "gse_id")
