@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodecat.operators.review import review_state
 from lodecat.operators.store import expire
 from lodecat.session import run_folder
-from lodecat.streaming import jobs, state
+from lodecat.streaming import jobs, merge, state
 from workload.derived import TABLES, table
 from workload.registry import query
 
@@ -22,18 +22,39 @@ def stream(spark, sf, name):
     return raw.selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
 
 
-@query("x1_stream_upsert", """, v AS (SELECT concat('K', CAST(doc_id % 300 AS VARCHAR)) AS gse_id, doc_id AS arrival, CASE WHEN doc_id % 7 = 0 THEN '' ELSE title END AS title, abstract, sample_count, availability_status
+UPSERTED = """, v AS (SELECT concat('K', CAST(doc_id % 300 AS VARCHAR)) AS gse_id, doc_id AS arrival, CASE WHEN doc_id % 7 = 0 THEN '' ELSE title END AS title, abstract, sample_count, availability_status
  FROM datasets WHERE doc_id % 50 <> 49) SELECT gse_id, coalesce(arg_max(title, arrival) FILTER (title <> ''), '') AS title, max(length(abstract)) AS n_abstract, coalesce(arg_max(sample_count, arrival) FILTER (sample_count > 0), 0) AS
- sample_count, arg_max(availability_status, arrival) AS availability_status FROM v GROUP BY gse_id""", "datasets")
+ sample_count, arg_max(availability_status, arrival) AS availability_status FROM v GROUP BY gse_id"""
+
+
+@query("x1_stream_upsert", UPSERTED, "datasets")
 def x1(spark, sf):
     folder = run_folder(spark, "upsert")
-    rows = stream(spark, sf, "datasets").select(
-        F.when(c("doc_id") % 50 == 49, "").otherwise(F.concat(lit("K"), (c("doc_id") % 300).cast("string"))).alias("gse_id"), c("doc_id").alias("arrival"),
-        F.when(c("doc_id") % 7 == 0, "").otherwise(c("title")).alias("title"), "abstract", "sample_count", "availability_status")
+    rows = arrivals(stream(spark, sf, "datasets"))
     jobs.stream_upsert(rows, folder + "/table", folder + "/state", every=None).awaitTermination()
     return jobs.read_table(spark, folder + "/table").select("gse_id", "title", F.length("abstract").alias("n_abstract"), "sample_count", "availability_status")
 
 
+def arrivals(datasets):
+    """Three hundred keys, and every fiftieth row without one."""
+    return datasets.select(
+        F.when(c("doc_id") % 50 == 49, "").otherwise(F.concat(lit("K"), (c("doc_id") % 300).cast("string"))).alias("gse_id"), c("doc_id").alias("arrival"),
+        F.when(c("doc_id") % 7 == 0, "").otherwise(c("title")).alias("title"), "abstract", "sample_count", "availability_status")
+
+
+@query("x1_stream_merge", UPSERTED, "datasets")
+def x1b(spark, sf):
+    """Four batches; each rewrites the buckets it touches, and readers fold nothing."""
+    folder = run_folder(spark, "merge")
+    rows = arrivals(table(spark, sf, "datasets"))
+    last = rows.agg(F.max("arrival")).first()[0]
+    for i in range(4):
+        rows.filter((c("arrival") * 4 > lit(last) * i) & (c("arrival") * 4 <= lit(last) * (i + 1)) if i else c("arrival") * 4 <= lit(last)).coalesce(1).write.parquet(f"{folder}/in/n={i}")
+    parts = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder + "/in/n=*")
+    merge.stream_merge(parts, folder + "/table", folder + "/state", buckets=16, every=None).awaitTermination()
+    return merge.read_merged(spark, folder + "/table").select("gse_id", "title", F.length("abstract").alias("n_abstract"), "sample_count", "availability_status")
+
+
 STACK = """, e AS (SELECT topic_id, gse_id, acted_at, log_id, new_status, action, sum(CASE WHEN action = 'undo' THEN 1 ELSE -1 END) OVER (PARTITION BY topic_id, gse_id ORDER BY acted_at DESC, log_id DESC ROWS UNBOUNDED PRECEDING) AS
  suffix FROM review_log), top AS (SELECT topic_id, gse_id, arg_max(new_status, (acted_at, log_id)) AS status FROM e WHERE suffix = -1 AND action <> 'undo' GROUP BY ALL) SELECT topic_id, gse_id, coalesce(status, 'pending') AS status FROM
  (SELECT DISTINCT topic_id, gse_id FROM review_log) LEFT JOIN top USING (topic_id, gse_id)"""
