@@ -7,7 +7,7 @@ from lodecat.operators.anchored import phrase_tokens, with_classes
 from lodecat.plans import inference, sample_groups as sg
 from lodecat.plans.view import to_view
 from workload.derived import AS_OF, QUERY, given, records, table
-from workload.composites import DESIGN, GROUPS, METHOD
+from workload.composites import GROUPS, SAMPLED
 from workload.registry import query
 from workload.scalars import D_CTE, GRAIN, INFER_FROM, PLATFORM, SC_HIT
 from workload.text import TEXT
@@ -46,8 +46,8 @@ LARGE_CTE = (D_CTE + SC_HIT + ", " + _V + f"runs AS (SELECT gse_id, {_RUNS} AS r
 
 @query("c3_infer_large", LARGE_CTE + ", " + GROUPS.lstrip(", ") + f"SELECT x.gse_id, coalesce(hd.canonical, '') AS disease, coalesce(ho.canonical, '') AS organ, "
        f"coalesce(ha.canonical, '') AS assay, coalesce(hd.weight, 0)::DOUBLE AS disease_weight, CASE WHEN ha.canonical IS NOT NULL AND ha.granularity <> 'unknown' THEN ha.granularity ELSE "
-       f"{GRAIN} END AS granularity, {PLATFORM} AS platform, {METHOD} AS method, {DESIGN} AS design, contrast_ready, n_samples FROM datasets x "
-       f"JOIN {INFER_FROM} USING (gse_id) JOIN gsum USING (gse_id)", "datasets samples")
+       f"{GRAIN} END AS granularity, {PLATFORM} AS platform, {SAMPLED} FROM datasets x "
+       f"JOIN {INFER_FROM} USING (gse_id) LEFT JOIN gsum USING (gse_id)", "datasets samples")
 def c3_large(spark, sf):
     summary, groups = sg.infer_groups(table(spark, sf, "samples"))
     vocab = inference.Vocabularies.of(text_vocab(spark, sf))
