@@ -35,3 +35,12 @@ def test_records_without_samples_are_kept(spark, tmp_path, name):
     few = spark.read.parquet(f"{SF}/lineitem.parquet").filter("l_orderkey % 1000 < 40")
     docs = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert verdict(spark, tables(spark, tmp_path, lineitem=few), name).startswith(f"ok {docs} ")
+
+
+def test_landed_packages_take_little_disk(spark):
+    from pyspark.sql import functions as F
+    from workload import readers, sources
+    packages = sources.xml_packages(spark, SF)
+    folder = readers.files(spark, packages)
+    stored = sum(p.stat().st_size for p in Path(folder).iterdir())
+    assert stored * 5 < packages.agg(F.sum(F.octet_length("body"))).first()[0]
