@@ -44,3 +44,9 @@ def test_landed_packages_take_little_disk(spark):
     folder = readers.files(spark, packages)
     stored = sum(p.stat().st_size for p in Path(folder).iterdir())
     assert stored * 5 < packages.agg(F.sum(F.octet_length("body"))).first()[0]
+
+
+@pytest.mark.parametrize("name", ["x1_stream_upsert", "x4_history_counts"])
+def test_streams_read_tables_of_several_files(spark, tmp_path, name):
+    parts = {t: spark.read.parquet(f"{SF}/{t}.parquet").repartition(3) for t in ("documents", "events")}
+    assert verdict(spark, tables(spark, tmp_path, **parts), name).startswith("ok ")

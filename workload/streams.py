@@ -15,10 +15,10 @@ c, lit = F.col, F.lit
 
 
 def stream(spark, sf, name):
-    """The derived table as a stream of the given file."""
+    """The derived table as a stream of the given file, or of the files of the given folder."""
     source, columns = TABLES[name]
     schema = spark.read.parquet(f"{sf}/{source}.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", f"{source}.parquet").parquet(sf)
+    raw = spark.readStream.schema(schema).parquet(f"{sf}/{source}.parque[t]")  # only a pattern may name a file
     return raw.selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
 
 
