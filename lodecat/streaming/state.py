@@ -137,43 +137,49 @@ def read_review(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- expiry -------------------------------------------------------------------------------
 
-def _keep_newest(key: tuple, frames: Iterator[pd.DataFrame],
+def _keep_newest(bucket: tuple, frames: Iterator[pd.DataFrame],
                  state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        at = state.get[0]
+    clock = state.getCurrentWatermarkMs()
+    held = {k: (at, ever) for k, at, ever in zip(*state.get, strict=True)} if state.exists else {}
+    came = {}
+    for f in frames if not state.hasTimedOut else ():
+        for k, at, ever in zip(f["key"].tolist(), f["at_ms"].tolist(), f["untimed"].tolist(), strict=True):
+            newest, forever = came.get(k) or held.get(k) or (UNTIMED, False)
+            came[k] = (max(newest, at), forever or ever)
+    came = {k: v for k, v in came.items() if k in held or v[1] or v[0] >= clock}
+    gone = {k: v for k, v in held.items() if k not in came and not v[1] and v[0] < clock}
+    held = {k: v for k, v in held.items() if k not in gone} | came
+    if held:
+        state.update((list(held), [at for at, _ in held.values()], [ever for _, ever in held.values()]))
+        first = min((at for at, ever in held.values() if not ever), default=None)
+        if first is not None:
+            state.setTimeoutTimestamp(max(first, clock + 1, 1))
+    elif state.exists:
         state.remove()
-        yield pd.DataFrame({"key": [key[0]], "at_ms": [at], "expired": [True]})
-        return
-    newest, forever = state.get if state.exists else (UNTIMED, False)
-    for f in frames:
-        newest = max(newest, int(f["at_ms"].max()))
-        forever = forever or bool(f["untimed"].any())
-    if not state.exists and not forever and newest < state.getCurrentWatermarkMs():
-        return
-    state.update((newest, forever))
-    if not forever:
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs() + 1, 1))
-    yield pd.DataFrame({"key": [key[0]], "at_ms": [newest], "expired": [False]})
+    for rows, expired in ((gone, True), (came, False)):
+        if rows:
+            yield pd.DataFrame({"key": list(rows), "at_ms": [at for at, _ in rows.values()], "expired": expired})
 
 
-def expiring_keys(stream: DataFrame, key: str, time: str, ttl_hours: float) -> DataFrame:
+def expiring_keys(stream: DataFrame, key: str, time: str, ttl_hours: float, buckets: int = 1024) -> DataFrame:
     """(key, at_ms, expired): keys as they come, and each once more as a deletion when its
     newest row is older than the time to live (X3).
 
-    The clock is the greatest time seen so far.  A timer on the key's state fires when the
-    clock passes it, also when the key sends no more rows.  The watermark lies one time to
-    live behind the clock, so the rows it turns away are those that were dead on arrival; they
-    are not named at all.  A deletion follows at most two milliseconds late.  A key that ever came without a time
-    never expires.
+    The clock is the greatest time seen so far.  State is kept by buckets of keys, by a hash, so that a
+    call serves many keys at once; a bucket's timer fires when the clock passes the first of its keys,
+    also when none of them sends rows.  A batch rewrites the buckets it touches: choose ``buckets`` so that
+    one holds some thousand keys.  The watermark lies one time to live behind the clock, so the rows it
+    turns away are those that were dead on arrival; they are not named at all.  A deletion follows at
+    most two milliseconds late.  A key that ever came without a time never expires.
     """
     at = F.col(time).cast("timestamp")
     rows = stream.select(
         F.col(key).cast("string").alias("key"), F.coalesce(F.unix_millis(at), F.lit(UNTIMED)).alias("at_ms"),
-        at.isNull().alias("untimed"), at.alias("_time"))
+        at.isNull().alias("untimed"), at.alias("_time")).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
     return (rows.withWatermark("_time", f"{round(ttl_hours * 3600)} seconds")
-            .groupBy("key").applyInPandasWithState(
+            .groupBy("bucket").applyInPandasWithState(
                 _keep_newest, "key string, at_ms long, expired boolean",
-                "newest long, forever boolean", "update", GroupStateTimeout.EventTimeTimeout))
+                "keys array<string>, newest array<long>, forever array<boolean>", "update", GroupStateTimeout.EventTimeTimeout))
 
 
 def keep_unexpired(stream: DataFrame, key: str, time: str, ttl_hours: float, folder: str,

@@ -50,3 +50,22 @@ def test_landed_packages_take_little_disk(spark):
 def test_streams_read_tables_of_several_files(spark, tmp_path, name):
     parts = {t: spark.read.parquet(f"{SF}/{t}.parquet").repartition(3) for t in ("documents", "events")}
     assert verdict(spark, tables(spark, tmp_path, **parts), name).startswith("ok ")
+
+
+def test_expiry_calls_serve_many_keys(spark, tmp_path):
+    from datetime import datetime, timedelta
+    from lodecat.streaming import state
+    day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
+    for i, low in enumerate((0, 10, 20, 30)):  # each batch ends the keys of the last one; null and repeated keys too
+        rows = [(f"k{low}-{n}", day(low)) for n in range(1500)] + [(None, day(low)), ("again", day(low)), ("again", day(low))]
+        spark.createDataFrame(rows, "k string, t timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/n={i}")
+    stream = spark.readStream.schema("k string, t timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/n=*")
+    kept = state.keep_unexpired(stream, "k", "t", 96, f"{tmp_path}/out", f"{tmp_path}/state", None)
+    kept.awaitTermination()
+    held = [o["numRowsTotal"] for p in kept.recentProgress for o in p["stateOperators"]]
+    assert max(held) <= 1024  # state rows are buckets, not keys
+    last = {r.key: r.expired for r in state.read_keys(spark, f"{tmp_path}/out").collect()}
+    assert len(last) == 6002 and last[None] is False and last["again"] is False
+    assert all(gone == (k is not None and not k.startswith(("k30", "again"))) for k, gone in last.items())
+    told = spark.read.parquet(f"{tmp_path}/out").filter("expired").groupBy("key").count()
+    assert told.filter("count > 1 and key <> 'again' and key is not null").count() == 0
