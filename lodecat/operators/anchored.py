@@ -19,27 +19,29 @@ from lodecat.session import cut_lineage
 
 #: Bits of the set that turns places away: 16384 longs, whatever the vocabulary.
 BITS = 1 << 20
+#: Bits of the set that tells runs of units; more, as every run it lets through is shuffled.
+RUN_BITS = 1 << 21
 #: Letters of a q-gram; shorter terms are filed whole.
 GRAM = 5
 #: Word boundaries, where text falls into runs of word signs and of others.
 RUNS = r"(?U)(?<=\w)(?=\W)|(?<=\W)(?=\w)"
 
 
-def may_hold(units: DataFrame, unit: str) -> Callable[[Column], Column]:
+def may_hold(units: DataFrame, unit: str, size: int = BITS) -> Callable[[Column], Column]:
     """A test that is true for every unit of the table, and for few others.
 
-    The driver reads at most ``BITS / 64`` numbers.
+    The driver reads at most ``size / 64`` numbers.
     """
-    at = F.pmod(F.xxhash64(unit), F.lit(BITS))
+    at = F.pmod(F.xxhash64(unit), F.lit(size))
     words = units.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).collect()
-    held = [0] * (BITS // 64)
+    held = [0] * (size // 64)
     for r in words:
         held[r["word"]] = r["bits"]
     bits = F.from_json(F.lit(str(held)), "array<bigint>")
 
     def test(value: Column) -> Column:
-        place = F.pmod(F.xxhash64(value), F.lit(BITS))
+        place = F.pmod(F.xxhash64(value), F.lit(size))
         word = F.get(bits, F.shiftright(place, 6).cast("int"))
         return F.getbit(word, place.bitwiseAND(63).cast("int")) == 1
     return test
@@ -53,36 +55,44 @@ def _filed(terms: DataFrame, places: DataFrame) -> DataFrame:
         "term", "f.unit", "f.offset")
 
 
-def unit_hits(df: DataFrame, key: str, units: Column, terms: DataFrame, joint: str) -> DataFrame:
-    """(key, term, place, width): where a term's units stand one after the other among the text's units.
+def unit_places(df: DataFrame, key: str, units: Column, terms: DataFrame, joint: str) -> DataFrame:
+    """(key, term, place, width): runs of the text's units that may be terms; none that is one is left out.
 
-    ``terms`` has term and its units as an array; ``joint`` stands between units in a term.  Places count from 0.
+    ``terms`` has term and its units as an array, and is read three times; ``joint`` stands between units in a
+    term.  Places count from 0.  At every place the runs of the widths that terms have are looked up as a whole, so only a run, and not its
+    surroundings, goes on to a join.
     """
-    listed = cut_lineage(terms.filter(F.size("units") > 0).dropDuplicates(["term"]).select("term", F.col("units").alias("own"))).withColumn(
-        "units", F.transform("own", lambda u, i: F.struct(u.alias("unit"), i.alias("offset"))))
-    widest = listed.agg(F.max(F.size("own"))).first()[0]
-    if widest is None:
+    listed = terms.select("term", F.size("units").alias("width"), F.get("units", F.lit(0)).alias("first"))
+    widths = sorted(r[0] for r in listed.select("width").distinct().collect())  # a few numbers
+    if not widths:
         return df.select(key).limit(0).withColumns({"term": F.lit(""), "place": F.lit(0), "width": F.lit(0)})
-    texts = df.select(key, units.alias("_units"))
-    if widest == 1:
-        filed = listed.select("term", F.get("own", F.lit(0)).alias("unit"), F.lit(0).alias("offset"))
-    else:
-        known = may_hold(listed.select(F.explode("own").alias("unit")), "unit")
-        filed = cut_lineage(_filed(listed, texts.select(F.explode_outer("_units").alias("unit")).filter(known(F.col("unit")))))
-    wanted = may_hold(filed, "unit")
-    first = F.greatest(F.col("_at") - (widest - 1), F.lit(0))
-    around = (texts.select(key, "_units", F.posexplode_outer("_units").alias("_at", "unit")).filter(wanted(F.col("unit")))
-              .select(key, "unit", "_at", first.alias("_from"), F.slice("_units", first + 1, F.lit(2 * widest - 1)).alias("_around")))
-    place, width = F.col("_at") - F.col("offset"), F.col("width")
-    sides = filed.join(listed.select("term", F.size("own").alias("width")), "term")
-    stands = F.array_join(F.slice("_around", F.greatest(place - F.col("_from") + 1, F.lit(1)), width), joint) == F.col("term")
-    return around.join(sides, "unit").filter((place >= F.col("_from")) & stands).select(key, "term", place.alias("place"), "width")
+    runs = df.select(key, units.alias("_units")).select(key, "_units", F.posexplode_outer("_units").alias("place", "unit"))
+    if widths != [1]:
+        runs = runs.filter(may_hold(listed, "first")(F.col("unit")))
+    at = lambda w: F.col("unit") if w == 1 else F.when(
+        F.col("place") + w <= F.size("_units"), F.array_join(F.slice("_units", F.col("place") + 1, F.lit(w)), joint))
+    each = runs.select(key, "place", F.explode(F.array(*[F.struct(at(w).alias("term"), F.lit(w).alias("width")) for w in widths])).alias("r"))
+    return each.select(key, "r.term", "place", "r.width").filter(F.col("term").isNotNull() & may_hold(listed, "term", RUN_BITS)(F.col("term")))
+
+
+def unit_hits(df: DataFrame, key: str, units: Column, terms: DataFrame, joint: str) -> DataFrame:
+    """(key, term, place, width): where a term's units stand one after the other among the text's units."""
+    listed = cut_lineage(terms.filter(F.size("units") > 0).dropDuplicates(["term"]))
+    return unit_places(df, key, units, listed, joint).join(listed.select("term"), "term").select(key, "term", "place", "width")
+
+
+def _runs_of(terms: DataFrame) -> DataFrame:
+    return terms.select("term").filter("term <> ''").distinct().select("term", F.split("term", RUNS).alias("units"))
+
+
+def word_places(df: DataFrame, key: str, text: Column, terms: DataFrame) -> DataFrame:
+    """Like :func:`word_hits`, with some runs that are no terms; a join with the terms sorts them out."""
+    return unit_places(df, key, F.split(squash(text), RUNS), cut_lineage(_runs_of(terms)), "")
 
 
 def word_hits(df: DataFrame, key: str, text: Column, terms: DataFrame) -> DataFrame:
     """(key, term, place, width) of every whole-word term of the squashed text; places count runs."""
-    listed = terms.select("term").filter("term <> ''").distinct().select("term", F.split("term", RUNS).alias("units"))
-    return unit_hits(df, key, F.split(squash(text), RUNS), listed, "")
+    return unit_hits(df, key, F.split(squash(text), RUNS), _runs_of(terms), "")
 
 
 def substring_hits(df: DataFrame, key: str, text: Column, terms: DataFrame) -> DataFrame:
@@ -144,20 +154,20 @@ def phrase_tokens(df: DataFrame, key: str, text: Column, phrases: DataFrame, out
     """Adds ``out``: the tokens of a query, the longest known phrase at each place being one token (M8).
 
     ``phrases`` has term, of any number of rows.  Spans of phrases come from :func:`unit_hits`; one fold per
-    text goes over them by place and takes a span that starts behind the last one taken.
+    text goes over them by place, the longest first, and takes a span that starts behind the last one taken.
     """
     plain = F.trim(F.regexp_replace(F.translate(blank(text), ",，", "  "), r"\s+", " "))
-    rows = df.withColumn("_tokens", F.filter(F.split(plain, " "), lambda t: t != ""))
+    tokens = F.filter(F.split(plain, " "), lambda t: t != "")
     terms = phrases.select(_ascii_lower(F.col("term")).alias("term")).filter("term <> ''").withColumn("units", F.split("term", " ")).filter(
-        F.size("units") <= max_words)
-    hits = unit_hits(rows, key, F.transform("_tokens", _ascii_lower), terms, " ").filter("width > 1")
-    longest = hits.groupBy(key, "place").agg(F.max("width").alias("width"))
-    spans = longest.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "width"))).alias("_spans"))
+        F.size("units").between(2, max_words))
+    hits = unit_hits(df, key, F.transform(tokens, _ascii_lower), terms, " ")
+    spans = hits.groupBy(key).agg(F.collect_set(F.struct("place", (-F.col("width")).alias("less"))).alias("_found")).select(
+        key, F.transform(F.array_sort("_found"), lambda s: F.struct(s["place"].alias("place"), (-s["less"]).alias("width"))).alias("_spans"))
     none = F.array().cast("array<struct<place:int,width:int>>")
     end = lambda s: s["place"] + s["width"]
     taken = F.aggregate(F.coalesce("_spans", none), none, lambda got, s: F.when(
         (F.size(got) == 0) | (s["place"] >= end(F.element_at(got, -1))), F.concat(got, F.array(s))).otherwise(got))
-    rows = rows.join(spans, key, "left").withColumn("_taken", taken)
+    rows = df.join(spans, key, "left").withColumn("_tokens", tokens).withColumn("_taken", taken)
     behind = lambda i: F.when(i > 0, end(F.get("_taken", i - 1))).otherwise(0)
     parts = F.transform("_taken", lambda s, i: F.concat(
         F.slice("_tokens", behind(i) + 1, s["place"] - behind(i)), F.array(F.array_join(F.slice("_tokens", s["place"] + 1, s["width"]), " "))))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodecat.functions.text import best_phrase, blank, squash
-from lodecat.operators.anchored import word_hits
+from lodecat.operators.anchored import word_hits, word_places
 from lodecat.session import spread
 
 INLINE_TERMS = 5000
@@ -76,9 +76,11 @@ def best_per_domain(df: DataFrame, key: str, text: Column, vocab: DataFrame, out
     """Adds a struct(canonical, weight, granularity) for each domain of ``out`` (domain to column): its best
     whole-word term in the text, or null.  One scan serves all domains; ``key`` is unique."""
     terms = ranked(vocab.filter(F.col("domain").isin(*out) & (F.col("term") == F.lower("term"))), "domain")
-    hits = word_hits(df, key, text, terms).select(key, "term").distinct().join(terms, "term")
-    mine = lambda d, value: F.when(F.col("domain") == d, value)
-    best = hits.groupBy(key).agg(*[F.min_by(mine(d, F.struct(*FIELDS)), mine(d, F.col("rank"))).alias(c) for d, c in out.items()])
+    hits = word_places(df, key, text, terms).select(key, "term").join(terms.select("term", "domain", "rank"), "term")
+    first = hits.groupBy(key, "domain").agg(F.min(F.struct("rank", "term")).alias("_f"))  # narrow rows; the rest is told of the best alone
+    told = terms.groupBy("domain", "term", "rank").agg(F.min(F.struct(*FIELDS)).alias("_v"))
+    won = first.select(key, "domain", "_f.*").join(told, ["domain", "term", "rank"])
+    best = won.groupBy(key).agg(*[F.min(F.when(F.col("domain") == d, F.col("_v"))).alias(c) for d, c in out.items()])
     return df.join(best, key, "left")
 
 

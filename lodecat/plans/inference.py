@@ -67,8 +67,9 @@ def infer_fields(rows: DataFrame, text: Column, vocab: Vocabularies | Vocabulary
     found ones come back by ``key``, which is unique.
     """
     if isinstance(vocab, VocabularyTable):
-        out = best_per_domain(rows, key, text, vocab.terms, {"disease": "_d", "organ": "_o", "assay": "_a"}).withColumn(
-            "_g", text_granularity(text))
+        # The text is read for its granularity before the join, so that it need not be shuffled.
+        out = best_per_domain(rows.withColumn("_g", text_granularity(text)), key, text, vocab.terms,
+                              {"disease": "_d", "organ": "_o", "assay": "_a"})
     else:
         none = F.lit(None).cast("struct<canonical:string,weight:double,granularity:string>")
         every = [t for part in (vocab.disease, vocab.organ, vocab.assay, single_cell_terms())

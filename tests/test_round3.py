@@ -69,3 +69,38 @@ def test_expiry_calls_serve_many_keys(spark, tmp_path):
     assert all(gone == (k is not None and not k.startswith(("k30", "again"))) for k, gone in last.items())
     told = spark.read.parquet(f"{tmp_path}/out").filter("expired").groupBy("key").count()
     assert told.filter("count > 1 and key <> 'again' and key is not null").count() == 0
+
+
+def shuffled(df):
+    """Bytes that a query's exchanges write."""
+    df.collect()
+    plan, found = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        p = plan.pop()
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            plan.append(p.executedPlan())
+            continue
+        if p.getClass().getSimpleName().endswith("QueryStageExec"):
+            plan.append(p.plan())
+        if p.metrics().contains("shuffleBytesWritten"):
+            found += p.metrics().apply("shuffleBytesWritten").value()
+        kids = p.children()
+        plan += [kids.apply(k) for k in range(kids.size())]
+    return found
+
+
+def test_places_of_terms_carry_no_surroundings(spark):
+    import random
+    from pyspark.sql import functions as F
+    from lodecat.operators import anchored
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(3000)]
+    texts = [" ".join(r.choice(words) for _ in range(400)) for _ in range(60)]
+    terms = spark.createDataFrame([(w,) for w in words] + [(f"{a} {b} {a}",) for a, b in zip(words, words[1:])], "term string")
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = shuffled(anchored.word_hits(df, "id", F.col("t"), terms))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < moved < 3 * sum(map(len, texts))

@@ -6,6 +6,7 @@ from lodecat.functions import text as t
 from lodecat.operators.anchored import phrase_tokens, with_classes
 from lodecat.plans import inference, sample_groups as sg
 from lodecat.plans.view import to_view
+from lodecat.session import cut_lineage
 from workload.derived import AS_OF, QUERY, given, records, table
 from workload.composites import GROUPS, SAMPLED
 from workload.registry import query
@@ -16,14 +17,16 @@ c = F.col
 WORD, PAIR = "[a-z]{9,}", "[a-z]{6,} [a-z]{6,}"
 
 
-def _found(spark, sf, pattern):
-    return given(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))).alias("term")).distinct()
+def _found(spark, sf, *patterns):
+    """What the patterns find in all documents, read once."""
+    found = [F.regexp_extract_all(F.lower("text"), F.lit(p), F.lit(0)) for p in patterns]
+    return given(spark, sf, "documents").select(F.explode(F.concat(*found)).alias("term")).distinct()
 
 
 def text_vocab(spark, sf):
     """Long words and pairs of words of all documents, dealt to the domains by length."""
     n = F.length("term")
-    return _found(spark, sf, WORD).union(_found(spark, sf, PAIR)).select(
+    return cut_lineage(_found(spark, sf, WORD, PAIR)).select(
         F.element_at(F.array(*map(F.lit, ("disease", "organ", "assay"))), n % 3 + 1).alias("domain"), "term", F.upper("term").alias("canonical"),
         F.lit(0.5).alias("weight"), F.when(n % 2 == 0, "bulk").otherwise("unknown").alias("granularity"), c("term").alias("pos"))
 
