@@ -1,10 +1,9 @@
 """Matching texts against vocabularies of any size.
 
-Every term is filed under its rarest unit: a word of it, or a run of a few letters (q-gram) where terms
-may stand inside words.  A place in a text meets only the terms filed under the unit that stands there, and
-the surroundings of the place, which travel with it, decide.  So neither the vocabulary nor the word
-sequences of the texts are shuffled as a whole: places whose unit files no term are turned away in the row,
-by a bit set of fixed size.  Terms, and what they are filed under, are stored, since they are read several times.
+At every place of a text the strings, or runs of words, of the lengths that terms have are looked up as a
+whole in a bit set that grows with the terms, behind a first look at how terms start.  What may be a term goes on to a
+join, without its surroundings; so neither the texts nor their word sequences are shuffled.  Terms are stored,
+since they are read several times.
 """
 
 from __future__ import annotations
@@ -19,46 +18,56 @@ from lodecat.session import cut_lineage
 
 #: Bits of the set that turns places away: 16384 longs, whatever the vocabulary.
 BITS = 1 << 20
-#: Bits of the set that tells runs of units; more, as every run it lets through is shuffled.
-RUN_BITS = 1 << 21
-#: Letters of a q-gram; shorter terms are filed whole.
-GRAM = 5
+#: Bits of a set for each term, and bits of the largest set, which is sent to every task (some 50 MB).
+PER_TERM, MOST_BITS = 8, 1 << 27
+#: Letters of a term's head; shorter terms are their own.
+HEAD = 8
 #: Word boundaries, where text falls into runs of word signs and of others.
 RUNS = r"(?U)(?<=\w)(?=\W)|(?<=\W)(?=\w)"
 
 
-def may_hold(units: DataFrame, unit: str, size: int = BITS) -> Callable[[Column], Column]:
+def _words(units: DataFrame, unit: str, size: int) -> DataFrame:
+    at = F.pmod(F.xxhash64(unit), F.lit(size))
+    return units.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+
+
+def may_hold(units: DataFrame, unit: str) -> Callable[[Column], Column]:
     """A test that is true for every unit of the table, and for few others.
 
-    The driver reads at most ``size / 64`` numbers.
+    The driver reads at most ``BITS / 64`` numbers.
     """
-    at = F.pmod(F.xxhash64(unit), F.lit(size))
-    words = units.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).collect()
-    held = [0] * (size // 64)
-    for r in words:
+    held = [0] * (BITS // 64)
+    for r in _words(units, unit, BITS).collect():
         held[r["word"]] = r["bits"]
     bits = F.from_json(F.lit(str(held)), "array<bigint>")
 
     def test(value: Column) -> Column:
-        place = F.pmod(F.xxhash64(value), F.lit(size))
+        place = F.pmod(F.xxhash64(value), F.lit(BITS))
         word = F.get(bits, F.shiftright(place, 6).cast("int"))
         return F.getbit(word, place.bitwiseAND(63).cast("int")) == 1
     return test
 
 
-def _filed(terms: DataFrame, places: DataFrame) -> DataFrame:
-    """Each term (term, units: array of (unit, offset)) under the unit that stands least often in ``places``."""
-    units = terms.select("term", F.explode("units").alias("u")).select("term", "u.unit", "u.offset")
-    counts = places.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
-    return units.join(counts, "unit").groupBy("term").agg(F.min_by(F.struct("unit", "offset"), F.struct("n", "offset", "unit")).alias("f")).select(
-        "term", "f.unit", "f.offset")
+def keep_known(rows: DataFrame, column: str, units: DataFrame, unit: str) -> DataFrame:
+    """The rows whose ``column`` is a unit of the table, and few others.
+
+    The set grows with the table, so that it turns away as many of any vocabulary: up to ``BITS`` it is a
+    part of the test, above it is joined as a table of words, which is broadcast.
+    """
+    size = min(1 << (PER_TERM * units.count()).bit_length(), MOST_BITS)
+    if size <= BITS:
+        return rows.filter(F.col(column).isNotNull() & may_hold(units, unit)(F.col(column)))
+    words = _words(units, unit, size).select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))
+    placed = rows.filter(F.col(column).isNotNull()).withColumn("_bit", F.pmod(F.xxhash64(column), F.lit(size)))
+    held = placed.join(F.broadcast(words), F.shiftright("_bit", 6) == F.col("_word"))
+    return held.filter(F.getbit("_bits", F.col("_bit").bitwiseAND(63).cast("int")) == 1).select(*rows.columns)
 
 
 def unit_places(df: DataFrame, key: str, units: Column, terms: DataFrame, joint: str) -> DataFrame:
     """(key, term, place, width): runs of the text's units that may be terms; none that is one is left out.
 
-    ``terms`` has term and its units as an array, and is read three times; ``joint`` stands between units in a
+    ``terms`` has term and its units as an array, and is read some times; ``joint`` stands between units in a
     term.  Places count from 0.  At every place the runs of the widths that terms have are looked up as a whole, so only a run, and not its
     surroundings, goes on to a join.
     """
@@ -68,11 +77,11 @@ def unit_places(df: DataFrame, key: str, units: Column, terms: DataFrame, joint:
         return df.select(key).limit(0).withColumns({"term": F.lit(""), "place": F.lit(0), "width": F.lit(0)})
     runs = df.select(key, units.alias("_units")).select(key, "_units", F.posexplode_outer("_units").alias("place", "unit"))
     if widths != [1]:
-        runs = runs.filter(may_hold(listed, "first")(F.col("unit")))
+        runs = keep_known(runs, "unit", listed.select("first").distinct(), "first")
     at = lambda w: F.col("unit") if w == 1 else F.when(
         F.col("place") + w <= F.size("_units"), F.array_join(F.slice("_units", F.col("place") + 1, F.lit(w)), joint))
     each = runs.select(key, "place", F.explode(F.array(*[F.struct(at(w).alias("term"), F.lit(w).alias("width")) for w in widths])).alias("r"))
-    return each.select(key, "r.term", "place", "r.width").filter(F.col("term").isNotNull() & may_hold(listed, "term", RUN_BITS)(F.col("term")))
+    return keep_known(each.select(key, "r.term", "place", "r.width"), "term", listed, "term")
 
 
 def unit_hits(df: DataFrame, key: str, units: Column, terms: DataFrame, joint: str) -> DataFrame:
@@ -95,37 +104,35 @@ def word_hits(df: DataFrame, key: str, text: Column, terms: DataFrame) -> DataFr
     return unit_hits(df, key, F.split(squash(text), RUNS), _runs_of(terms), "")
 
 
-def substring_hits(df: DataFrame, key: str, text: Column, terms: DataFrame) -> DataFrame:
-    """(key, term): the terms that stand anywhere in the text, each once.  An empty term stands in every text.
+def substring_places(df: DataFrame, key: str, text: Column, terms: DataFrame) -> DataFrame:
+    """(key, term): strings of the text that may be terms; none that is one is left out, some come often.
 
-    Texts are cut into pieces first, so that a place is found from the start of its piece.
+    ``terms`` has terms that are not empty, and is read some times.  A place is told by the head of the terms that
+    start there; where a head stands, the strings of the lengths that terms have are looked up as a whole.  Texts are
+    cut into pieces first, so that a place is found from the start of its piece.
     """
-    given = cut_lineage(terms.select("term").distinct())
-    listed = given.filter("term <> ''").select("term", F.length("term").alias("width"), F.least(F.length("term"), F.lit(GRAM)).alias("size"))
-    shape = listed.agg(F.max("width"), F.collect_set("size")).first()  # a number, and at most GRAM more
-    every = df.select(key).withColumn("term", F.lit("")) if given.filter("term = ''").count() else None
-    if shape[0] is None:
-        return df.select(key).limit(0).withColumn("term", F.lit("")) if every is None else every
-    widest, sizes = shape[0], sorted(shape[1])
-    grams = listed.select("term", F.transform(F.sequence(F.lit(0), F.col("width") - F.col("size")), lambda i: F.struct(
-        F.substring("term", i + 1, F.col("size")).alias("unit"), i.alias("offset"))).alias("units"))
-    step = max(128, widest)
+    listed = terms.select("term", F.length("term").alias("width"), F.substring("term", 1, HEAD).alias("head"))
+    widths = sorted(r[0] for r in listed.select("width").distinct().collect())  # a few numbers
+    if not widths:
+        return df.select(key).limit(0).withColumn("term", F.lit(""))
+    step = max(64, widths[-1])
     pieces = F.regexp_extract_all(blank(text), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
     cut = df.select(key, pieces.alias("_p")).select(key, "_p", F.posexplode_outer("_p").alias("_i", "_own"))
-    before = F.when(F.col("_i") > 0, F.get("_p", F.col("_i") - 1)).otherwise("")
-    wide = cut.select(key, F.concat(before, "_own", F.coalesce(F.get("_p", F.col("_i") + 1), F.lit(""))).alias("_around"),
-                      F.length(before).alias("_skip"), F.length("_own").alias("_n"))
-    places = wide.select(key, "_around", F.explode_outer(F.sequence(F.col("_skip") + 1, F.col("_skip") + F.col("_n"))).alias("_at"))
-    at = places.select(key, "_around", "_at", F.explode(F.array(*[F.substring("_around", F.col("_at"), F.lit(n)) for n in sizes])).alias("unit"))
-    known = may_hold(grams.select(F.explode("units.unit").alias("unit")), "unit")
-    filed = cut_lineage(_filed(grams, at.select("unit").filter(known(F.col("unit")))))
-    wanted = may_hold(filed, "unit")
-    first = F.greatest(F.col("_at") - (widest - 1), F.lit(1))
-    near = at.filter(wanted(F.col("unit"))).select(key, "unit", (F.col("_at") - first).alias("_into"),
-                                                   F.substring("_around", first, F.lit(2 * widest - 1)).alias("_near")).distinct()
-    start = F.col("_into") - F.col("offset")
-    hits = near.join(filed, "unit").filter((start >= 0) & (F.substring("_near", start + 1, F.length("term")) == F.col("term"))).select(key, "term").distinct()
-    return hits if every is None else hits.union(every)
+    wide = cut.select(key, F.concat("_own", F.coalesce(F.get("_p", F.col("_i") + 1), F.lit(""))).alias("_ahead"), F.length("_own").alias("_n"))
+    places = wide.select(key, "_ahead", F.explode_outer(F.sequence(F.lit(1), F.col("_n"))).alias("_at"))
+    starts = lambda n: F.substring("_ahead", F.col("_at"), F.lit(n))
+    sizes = sorted({min(w, HEAD) for w in widths})
+    heads = places.select(key, "_ahead", "_at", F.explode(F.array(*[F.struct(starts(n).alias("head"), F.lit(n).alias("size")) for n in sizes])).alias("h"))
+    headed = keep_known(heads.select(key, "_ahead", "_at", "h.head", "h.size"), "head", listed.select("head").distinct(), "head")
+    each = headed.select(key, F.explode(F.array(*[F.when((F.col("size") == min(w, HEAD)) & (F.length(starts(w)) == w), starts(w)) for w in widths])).alias("term"))
+    return keep_known(each, "term", listed, "term")
+
+
+def substring_hits(df: DataFrame, key: str, text: Column, terms: DataFrame) -> DataFrame:
+    """(key, term): the terms that stand anywhere in the text, each once.  An empty term stands in every text."""
+    given = cut_lineage(terms.select("term").distinct())
+    hits = substring_places(df, key, text, given.filter("term <> ''")).join(given, "term").select(key, "term").distinct()
+    return hits.union(df.select(key).withColumn("term", F.lit(""))) if given.filter("term = ''").count() else hits
 
 
 def with_classes(df: DataFrame, key: str, text: Column, vocab: DataFrame, rule: str, out: str) -> DataFrame:
@@ -135,9 +142,12 @@ def with_classes(df: DataFrame, key: str, text: Column, vocab: DataFrame, rule:
     term, declared order on equal length (M3).  ``all``: every class with a term, in declared order (M4).
     Texts without a hit give null, or an empty array.
     """
-    order = Window.partitionBy("name")
-    classes = vocab.select("name", "term", "pos", F.min("pos").over(order).alias("first"))
-    hits = substring_hits(df, key, text, vocab).join(classes, "term")
+    vocab = cut_lineage(vocab.select("name", "term", "pos"))
+    classes = vocab.withColumn("first", F.min("pos").over(Window.partitionBy("name")))
+    hits = substring_places(df, key, text, cut_lineage(vocab.select("term").filter("term <> ''").distinct()))
+    if vocab.filter("term = ''").count():
+        hits = hits.union(df.select(key).withColumn("term", F.lit("")))
+    hits = hits.join(classes, "term")
     if rule == "all":
         told = hits.groupBy(key).agg(F.transform(F.array_sort(F.collect_set(F.struct("first", "name"))), lambda s: s["name"]).alias(out))
         return df.join(told, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))

@@ -104,3 +104,31 @@ def test_places_of_terms_carry_no_surroundings(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert 0 < moved < 3 * sum(map(len, texts))
+
+
+def test_substrings_carry_no_surroundings(spark):
+    import random
+    from pyspark.sql import functions as F
+    from lodecat.operators import anchored
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.choice((3, 9, 14)))) for _ in range(3000)]
+    texts = [" ".join(r.choice(words) for _ in range(400)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    found = anchored.substring_hits(df, "id", F.col("t"), spark.createDataFrame([(w,) for w in words], "term string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = shuffled(found)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {tuple(x) for x in found.collect()} == {(i, w) for i, t in enumerate(texts) for w in words if w in t}
+    assert 0 < moved < 6 * sum(map(len, texts))
+
+
+def test_the_set_of_terms_grows_with_them(spark, monkeypatch):
+    from lodecat.operators import anchored
+    monkeypatch.setattr(anchored, "BITS", 1 << 10)
+    units = spark.range(20_000).selectExpr("cast(id as string) AS unit")
+    rows = spark.range(40_000).selectExpr("cast(id as string) AS u")
+    kept = anchored.keep_known(rows, "u", units, "unit")
+    assert kept.columns == ["u"] and kept.join(units, kept.u == units.unit).count() == 20_000
+    assert kept.count() < 24_000  # a set of fixed size lets all 40,000 through
