@@ -62,18 +62,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 SPLIT_BYTES = 128 * 1024 * 1024
+PIECE_BYTES = 8 * 1024 * 1024
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores when the input is too small to come in a piece per core.
 
     For work that costs far more per row than a shuffle of the row, such as reading XML or
-    scanning whole texts.  Only the planner's size estimate is asked; no job runs.  Inputs of
+    scanning whole texts.  Only the planner's size estimate is asked; no job runs.  Pieces are small, so
+    that what a task holds, such as groups before a shuffle, does not grow with the input.  Inputs of
     a cluster's size stay as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution().optimizedPlan()
     names = plan.toString()
     shuffled = any(step in names for step in ("Repartition", "Aggregate [", "Join "))
-    small = int(str(plan.stats().sizeInBytes())) < cores * SPLIT_BYTES
-    return df.repartition(cores) if small and not shuffled else df
+    size = int(str(plan.stats().sizeInBytes()))
+    small = size < cores * SPLIT_BYTES
+    return df.repartition(max(cores, -(-size // PIECE_BYTES))) if small and not shuffled else df

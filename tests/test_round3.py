@@ -132,3 +132,10 @@ def test_the_set_of_terms_grows_with_them(spark, monkeypatch):
     kept = anchored.keep_known(rows, "u", units, "unit")
     assert kept.columns == ["u"] and kept.join(units, kept.u == units.unit).count() == 20_000
     assert kept.count() < 24_000  # a set of fixed size lets all 40,000 through
+
+
+def test_pieces_stay_small_as_inputs_grow(spark, monkeypatch):
+    from lodecat import session
+    monkeypatch.setattr(session, "PIECE_BYTES", 10_000, raising=False)
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet")
+    assert session.spread(rows).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism

@@ -236,7 +236,7 @@ def cte(*names: str) -> str:
 def given(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A given table; the large ones come as one piece each and are spread over the cores."""
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(df) if name in ("documents", "lineitem") else df
+    return spread(df) if name in ("documents", "lineitem", "part") else df
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
