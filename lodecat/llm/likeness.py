@@ -1,11 +1,13 @@
 """Near copies by the likeness of their word shingles, through SimHash (the pipeline's stage 10).
 
 Two texts are near copies if their sets of shingles have a Jaccard likeness of at least a
-threshold t.  At 0.8 the fingerprints of such sets differ in about 12 of 64 bits, too many for cells
-of fingerprints alone, so texts first meet by shingles: in one order of all shingles, rare ones first,
-sets that are so alike share one of their first ``n - ceil(t * n) + 1`` shingles, hence candidates are
-complete.  Among those that meet, sizes, the Manhattan distance of the segment popcounts (a lower
-bound) and the differing bits sort candidates out; the sets themselves decide.
+threshold t.  Candidates come by the operator's grid: fingerprints of at most ``DISTANCE`` differing bits
+meet in cells of equal segment popcounts, and the sets decide.  At a likeness of 0.8, though, fingerprints differ in
+about 12 of 64 bits, which no cell of 64 bits finds for sure.  So what the grid has not linked
+meets once more by shingles, which is complete: in one order of all shingles, rare ones first,
+sets that are so alike share one of their first ``n - ceil(t * n) + 1`` shingles.  Among those that meet, sizes,
+the Manhattan distance of the segment popcounts (a lower bound) and the differing bits sort candidates
+out, nearest fingerprints are asked first, and again the sets decide.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodecat.llm.common import block_pairs, components, lookup, map_rows, pieces, release, texts, whole_partition
-from lodecat.llm.simhash import fingerprint, popcounts, shingle_hashes
+from lodecat.llm.simhash import fingerprint, grid_links, popcounts, shingle_hashes
 from lodecat.session import cut_lineage
 
 #: Rows of the sample that says which shingles are common, and common ones kept.  Both bear on
@@ -28,8 +30,14 @@ from lodecat.session import cut_lineage
 SAMPLE_ROWS, COMMON = 8_000, 100_000
 #: Differing bits allowed by default: five deviations (of 3) above the mean of 12 at a likeness of 0.8.
 BITS = 28
-#: Partners of one text that one task compares with it, and rows of a cell's block.
-CHUNK, BLOCK_ROWS = 1024, 1024
+#: The grid's widest distance and its groups; more bits need more cells than there are rare shingles.
+DISTANCE, GROUPS = 5, 7
+#: Of the rest, each member of a cell first asks so many nearest ones, at most so many bits away.
+NEAREST, NEAR_BITS = 3, 16
+#: Thousands of shingles in a block of texts that are compared, blocks at least, and rows of a cell's block.
+CHUNK, BLOCKS, BLOCK_ROWS = 1024, 8, 1024
+#: Pairs that a task holds before it sends them on.
+HELD = 1 << 17
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:
@@ -67,20 +75,23 @@ def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _decide(words: int, likeness: float):
-    """Rows by (a, chunk): the text of a first, then its partners; gives the pairs that are alike."""
+    """Rows by (left, right): the texts of two blocks, then pairs among them; gives the pairs that are alike."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own = None, None
+        key, own = None, {}
         for batch in pieces(batches):
             out = []
-            for a, chunk, b, text in zip(*(batch.column(c).to_pylist() for c in ("a", "chunk", "b", "text"))):
-                mine = shingle_set(text, words)
+            for left, right, a, b, text in zip(*(batch.column(c).to_pylist() for c in ("left", "right", "a", "b", "text"))):
+                if key != (left, right):
+                    key, own = (left, right), {}
                 if b is None:
-                    key, own = (a, chunk), mine
-                elif key == (a, chunk):
-                    both = len(np.intersect1d(own, mine, assume_unique=True))
-                    if both >= likeness * (len(own) + len(mine) - both) - 1e-9:
+                    own[a] = shingle_set(text, words)
+                else:
+                    x, y = own[a], own[b]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both >= likeness * (len(x) + len(y) - both) - 1e-9:
                         out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(2)], ["a", "b"])
+        del own
         release()
     return run
 
@@ -88,19 +99,20 @@ def _decide(words: int, likeness: float):
 def _alike(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, likeness: float) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are alike.
 
-    Texts are read again, for the nodes of pairs only.  A text meets its partners in chunks: it goes
-    once to each chunk, a partner once for each pair.
+    Texts are read again, for the nodes of pairs only, and dealt in blocks of bounded size; a text goes once to each
+    two blocks that hold a pair of it, however many pairs those are.
     """
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    own = cut_lineage(nodes.join(asked, "node", "left_semi").select("node", "doc_id", "mark"))
-    text = cut_lineage(rows.join(lookup(own, own.count()), ["doc_id", "mark"]).select("node", "text").dropDuplicates(["node"]))
-    chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks"))
-    dealt = cut_lineage(pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), "b"))
-    many = dealt.count()
-    first = text.join(lookup(dealt.select("a", "chunk").distinct(), many), F.col("a") == F.col("node")).select(
-        "a", "chunk", F.lit(None).cast("long").alias("b"), "text")
-    others = text.join(lookup(dealt, many), F.col("b") == F.col("node")).select("a", "chunk", "b", "text")
-    met = first.union(others).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.asc_nulls_first("b"))
+    own = cut_lineage(nodes.join(asked, "node", "left_semi").select("node", "doc_id", "mark", "n"))
+    count, size = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    text = cut_lineage(rows.join(lookup(own.drop("n"), count), ["doc_id", "mark"]).select("node", "text").dropDuplicates(["node"]))
+    blocks = max(BLOCKS, math.ceil(size / (CHUNK * 1024)))
+    i, j = (F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int") for c in ("a", "b"))
+    dealt = pairs.select(F.least(i, j).alias("left"), F.greatest(i, j).alias("right"), "a", "b")
+    sent = cut_lineage(dealt.select("left", "right", F.explode(F.array("a", "b")).alias("node")).distinct())
+    given = text.join(lookup(sent, sent.count()), "node").select("left", "right", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    met = given.union(dealt.withColumn("text", F.lit(None).cast("string")))
+    met = met.repartition("left", "right").sortWithinPartitions("left", "right", F.asc_nulls_first("b"))
     return cut_lineage(met.mapInArrow(_decide(words, likeness), "a long, b long"))
 
 
@@ -115,45 +127,111 @@ def _needed(likeness: float) -> Column:
     return up((F.col("n") + F.col("m")) * F.lit(likeness / (1 + likeness))) - up(F.greatest("n", "m") * F.lit(likeness)) + 1
 
 
+def _candidates(table: pa.Table, likeness: float, bits: int | None):
+    """The columns of a partition, then again and again the places (x, y) and differing bits of pairs of one dealt
+    cell that are not linked yet and may be alike by size and fingerprint; the Manhattan distance of the segments is asked
+    before the bits."""
+    col = {c: table.column(c).to_numpy() for c in ("cell", "left", "right", "block", "node", "n", "fp", "root")}
+    order = np.lexsort((col["n"], col["right"], col["left"], col["cell"]))
+    col = {c: v[order] for c, v in col.items()}
+    new = np.ones(len(order), bool)
+    new[1:] = (col["cell"][1:] != col["cell"][:-1]) | (col["left"][1:] != col["left"][:-1]) | (col["right"][1:] != col["right"][:-1])
+    group = np.cumsum(new)
+    n, fp, split = col["n"], col["fp"].view(np.uint64), col["left"] != col["right"]
+    grid = popcounts(fp)
+    yield col
+    here, shift = np.arange(len(n)), 0
+    while True:  # the row with the one so many places on, while cell and size hold
+        shift += 1
+        here = here[here + shift < len(n)]
+        there = here + shift
+        here = here[(group[here] == group[there]) & (n[here] >= likeness * n[there] - 1e-9)]
+        if not len(here):
+            return
+        x, y = here, here + shift
+        ok = (col["root"][x] != col["root"][y]) & (~split[x] | (col["block"][x] != col["block"][y]))
+        x, y = x[ok], y[ok]
+        if bits is not None:
+            ok = np.abs(grid[x] - grid[y]).sum(1, dtype=np.int16) <= bits
+            x, y = x[ok], y[ok]
+        apart = np.bitwise_count(fp[x] ^ fp[y])
+        if bits is not None:
+            ok = apart <= bits
+            x, y, apart = x[ok], y[ok], apart[ok]
+        yield x, y, apart
+
+
+def _ordered(col: dict, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places with the smaller node first."""
+    swap = col["node"][x] > col["node"][y]
+    return np.where(swap, y, x), np.where(swap, x, y)
+
+
+def _nearest(likeness: float, bits: int):
+    """Of each member of each dealt cell, the pairs with its nearest ones."""
+    def best(held: list) -> tuple:
+        x, y, apart = (np.concatenate([h[k] for h in held]) for k in range(3))
+        own, other, far = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([apart, apart])
+        order = np.lexsort((other, far, own))
+        own = own[order]
+        first = np.r_[True, own[1:] != own[:-1]]
+        rank = np.arange(len(own)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+        keep = np.unique(order[rank < NEAREST] % len(x))
+        return x[keep], y[keep], apart[keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = whole_partition(batches)
+        if table is None:
+            return
+        found = _candidates(table, likeness, bits)
+        col, held, limit = next(found), [], HELD
+        for part in found:
+            held.append(part)
+            if sum(len(h[0]) for h in held) > limit:
+                held = [best(held)]
+                limit = HELD + len(held[0][0])
+        if sum(len(h[0]) for h in held):
+            x, y, _ = best(held)
+            x, y = _ordered(col, x, y)
+            pairs = np.unique(np.stack([col["node"][x], col["node"][y]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(2)], ["a", "b"])
+        del table, col, held, found
+        release()
+    return run
+
+
 def _meet(likeness: float, bits: int | None):
-    """The pairs of each dealt cell that are not linked yet and may be alike by size and fingerprint, with the
-    cells they share here; the Manhattan distance of the segments is asked before the bits."""
+    """All candidates of each dealt cell, with the cells they share here; given in parts."""
+    def counted(col: dict, held: list) -> pa.RecordBatch:
+        x, y = _ordered(col, *(np.concatenate([h[k] for h in held]) for k in range(2)))
+        found, times = np.unique(np.stack([col["node"][x], col["node"][y], col["n"][x], col["n"][y]], 1), axis=0, return_counts=True)
+        return pa.RecordBatch.from_arrays([*[pa.array(found[:, k]) for k in range(4)], pa.array(times)], ["a", "b", "n", "m", "times"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = whole_partition(batches)
         if table is None:
             return
-        col = {c: table.column(c).to_numpy() for c in ("cell", "left", "right", "block", "node", "n", "fp", "root")}
-        order = np.lexsort((col["n"], col["right"], col["left"], col["cell"]))
-        col = {c: v[order] for c, v in col.items()}
-        key = np.stack([col["cell"], col["left"], col["right"]])
-        group = np.cumsum(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
-        n, fp, split = col["n"], col["fp"].view(np.uint64), col["left"] != col["right"]
-        grid = popcounts(fp)
-        here, shift, seen = np.arange(len(n)), 0, []
-        while True:  # the row with the one so many places on, while cell and size hold
-            shift += 1
-            here = here[here + shift < len(n)]
-            there = here + shift
-            here = here[(group[here] == group[there]) & (n[here] >= likeness * n[there] - 1e-9)]
-            if not len(here):
-                break
-            x, y = here, here + shift
-            ok = (col["root"][x] != col["root"][y]) & (~split[x] | (col["block"][x] != col["block"][y]))
-            x, y = x[ok], y[ok]
-            if bits is not None:
-                for near in (lambda: np.abs(grid[x] - grid[y]).sum(1, dtype=np.int16), lambda: np.bitwise_count(fp[x] ^ fp[y])):
-                    ok = near() <= bits
-                    x, y = x[ok], y[ok]
-            swap = col["node"][x] > col["node"][y]
-            x, y = np.where(swap, y, x), np.where(swap, x, y)
-            seen.append(np.stack([col["node"][x], col["node"][y], n[x], n[y]], 1))
-        found, times = np.unique(np.concatenate(seen), axis=0, return_counts=True) if seen else (np.zeros((0, 4), np.int64), np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([*[pa.array(found[:, k]) for k in range(4)], pa.array(times)], ["a", "b", "n", "m", "times"])
-        del table, col, grid, fp, seen
+        found = _candidates(table, likeness, bits)
+        col, held = next(found), []
+        for part in found:
+            held.append(part)
+            if sum(len(h[0]) for h in held) > HELD:
+                yield counted(col, held)
+                held = []
+        if held:
+            yield counted(col, held)
+        del table, col, held, found
         release()
     return run
 
 
+def _mixed(cells: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of those cells that hold nodes not linked with each other yet, with their ``root``."""
+    rooted = cells.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("cell")
+    return cut_lineage(rooted.join(mixed, "cell", "left_semi"))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, likeness: float = 0.8,
                 bits: int | None = BITS) -> DataFrame:
     """``doc_id``, ``mark`` (a hash of the text), ``component`` for every row: rows of one
@@ -161,8 +239,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are nodes, not ids: rows that share an id, or have none, are linked only by their texts.
     Texts of equal sets are one node; a text of fewer words is one shingle; texts without words are
-    one node.  First every member of a cell meets the least of it; what is linked then is not compared
-    again, and the rest of each cell meets in full, in blocks, so large groups of copies cost no square.
+    one node.  First fingerprints meet in the grid of ``simhash``, where each group sends on a spanning forest; then
+    each member of a cell of rare shingles meets its nearest ones.  What is linked by then is not compared again, and the
+    rest of each cell meets in full, in blocks, so large groups of copies cost no square.
     Pairs count the cells that they share; too few, and the sets cannot be alike.
     With ``bits`` None no fingerprint sorts out candidates, and links are exact in every case; else a
     pair at the threshold is missed if its fingerprints differ in more bits, one in some million.
@@ -183,22 +262,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = cut_lineage(map_rows(rows, sign, "doc_id long, mark long, node long, n int, fp long, cells array<long>"))
     nodes = cut_lineage(named.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("row"), F.min("n").alias("n"), F.min("fp").alias("fp"))
                         .select("node", "row.doc_id", "row.mark", "n", "fp"))
+    prints = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
+    same = nodes.join(prints, "fp").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    near = grid_links(prints, DISTANCE, GROUPS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = _alike(cut_lineage(near.union(same)), rows, nodes, words, likeness)
     cells = named.select("node", F.explode("cells").alias("cell"))
-    tops = cells.groupBy("cell").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("cell", "least")
-    shared = cut_lineage(cells.join(tops, "cell").select("cell", "node", "least").distinct())
-    side = nodes.select("node", "n", "fp")
-    stars = (shared.filter("node <> least").groupBy(F.col("least").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("times"))
-             .join(side.toDF("a", "n", "x"), "a").join(side.toDF("b", "m", "y"), "b"))
-    ok = (F.least("n", "m") >= F.lit(likeness) * F.greatest("n", "m") - 1e-9) & (F.col("times") >= _needed(likeness))
-    if bits is not None:
-        ok &= F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= bits
-    links = _alike(cut_lineage(stars.filter(ok).select("a", "b")), rows, nodes, words, likeness)
-    roots = components(links)
-    rooted = shared.select("cell", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("cell")
-    rest = cut_lineage(rooted.join(mixed, "cell", "left_semi").join(side, "node"))
-    met = block_pairs(rest, "node", BLOCK_ROWS).repartition("cell", "left", "right").mapInArrow(
-        _meet(likeness, bits), "a long, b long, n long, m long, times long")
+    tops = cells.groupBy("cell").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("cell")
+    shared = cells.join(tops, "cell").select("cell", "node").distinct()
+    rest = _mixed(shared.join(nodes.select("node", "n", "fp"), "node"), links)
+
+    def dealt(cells: DataFrame) -> DataFrame:
+        return block_pairs(cells, "node", BLOCK_ROWS).repartition("cell", "left", "right")
+    first = dealt(rest).mapInArrow(_nearest(likeness, NEAR_BITS if bits is None else min(bits, NEAR_BITS)), "a long, b long").distinct()
+    links = links.union(_alike(cut_lineage(first), rows, nodes, words, likeness))
+    rest = _mixed(rest.drop("root"), links)
+    met = dealt(rest).mapInArrow(_meet(likeness, bits), "a long, b long, n long, m long, times long")
     left = met.groupBy("a", "b", "n", "m").agg(F.sum("times").alias("times")).filter(F.col("times") >= _needed(likeness)).select("a", "b")
     more = _alike(cut_lineage(left), rows, nodes, words, likeness)
     final = components(links.union(more))

@@ -63,10 +63,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_rows(texts(docs, id_col, text_col), rows, "doc_id long, fp long")
 
 
+#: The two-bit popcounts of each byte, low bits first.
+_PAIRS = np.bitwise_count((np.arange(256)[:, None] >> np.arange(0, 8, 64 // SEGMENTS)) & 3).astype(np.int8)
+
+
 def popcounts(bits: np.ndarray) -> np.ndarray:
     """The embedding: a row of 32 two-bit popcounts for each fingerprint."""
-    shifts = np.arange(0, 64, 64 // SEGMENTS, dtype=np.uint64)
-    return np.bitwise_count((bits[:, None] >> shifts) & np.uint64(3)).astype(np.int8)
+    return _PAIRS[np.ascontiguousarray(bits, "<u8").view(np.uint8).reshape(-1, 8)].reshape(-1, SEGMENTS)
 
 
 def _cells(groups: int, distance: int):
@@ -136,6 +139,16 @@ def _verify(distance: int):
     return run
 
 
+def grid_links(classes: DataFrame, distance: int = 4, groups: int = 6) -> DataFrame:
+    """Links (a, b) among classes (``fp``, ``rep``) of at most ``distance`` differing bits: in each group of
+    rows that meet in a grid cell, a spanning forest of them."""
+    if groups <= distance:
+        raise ValueError("groups must exceed distance")
+    cells = map_rows(classes, _cells(groups, distance), "cell long, rest int, fp long, rep long")
+    dealt = block_pairs(cells, "fp").repartition("cell", "left", "right")
+    return dealt.mapInArrow(_verify(distance), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
                     seed: int = 42, distance: int = 4, groups: int = 6) -> DataFrame:
     """``doc_id``, ``fp``, ``component_id`` for every row: the smallest doc_id reachable by links of
@@ -155,10 +168,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     from lodecat.session import cut_lineage
     prints = cut_lineage(prints)
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    cells = map_rows(classes, _cells(groups, distance), "cell long, rest int, fp long, rep long")
-    dealt = block_pairs(cells, "fp").repartition("cell", "left", "right")
-    links = dealt.mapInArrow(_verify(distance), "a long, b long")
-    roots = components(links)
+    roots = components(grid_links(classes, distance, groups))
     named = classes.join(roots, classes.rep == roots.node, "left").select(
         "fp", F.coalesce("root", "rep").alias("component_id"))
     return prints.join(named, "fp").select(public_id(), "fp", public_id("component_id"))

@@ -78,3 +78,39 @@ def test_large_cells_are_dealt_and_filters_can_be_off(spark, monkeypatch):
         for x in likeness.near_copies(rows, bits=bits).collect():
             got.setdefault(x["component"], []).append(x["doc_id"])
         assert {i: min(g) for g in got.values() for i in g} == want
+
+
+def test_groups_of_copies_cost_no_square(spark, monkeypatch):
+    r = random.Random(9)
+    base, texts = [f"b{i}" for i in range(150)], []
+    for _ in range(300):  # many pairs are alike, many more are nearly so
+        copy = list(base)
+        for _ in range(r.randint(1, 4)):
+            copy[r.randrange(150)] = f"w{r.randrange(10_000)}"
+        texts.append(" ".join(copy))
+    rows, asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), []
+    alike = likeness._alike
+
+    def counted(pairs, *more):
+        asked.append(pairs.count())
+        return alike(pairs, *more)
+    monkeypatch.setattr(likeness, "_alike", counted)
+    got = {}
+    for x in likeness.near_copies(rows).collect():
+        got.setdefault(x["component"], []).append(x["doc_id"])
+    assert {i: min(g) for g in got.values() for i in g} == roots(texts)
+    assert sum(asked) < 25 * len(texts), asked
+
+
+def test_stage_asks_the_grid_of_fingerprints_first(spark, monkeypatch):
+    base = [f"g{i}" for i in range(400)]
+    texts = [" ".join([*base[:k], "other", *base[k:]]) for k in range(0, 400, 40)]
+    rows, found = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), []
+    grid = likeness.grid_links
+
+    def held(*given):
+        found.append(grid(*given).count())
+        return grid(*given)
+    monkeypatch.setattr(likeness, "grid_links", held)
+    assert len({x["component"] for x in likeness.near_copies(rows).collect()}) == 1
+    assert found[0] >= len(texts) - 1
