@@ -85,15 +85,17 @@ def lookup(small: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(small) if rows <= LOOKUP_ROWS else small
 
 
-def block_pairs(df: DataFrame, member: str, block_rows: int = 2048) -> DataFrame:
+def block_pairs(df: DataFrame, member: str, block_rows: int = 2048, size: Column | None = None) -> DataFrame:
     """Deals the rows of every ``cell`` into groups of bounded size that meet every pair.
 
     Small cells stay one group.  A cell with more than ``block_rows`` rows is cut into blocks by
     a hash of ``member``; block i meets block j in group (i, j), so the work of one hot cell is
     spread over many tasks.  Adds ``block``, ``left`` and ``right``: pairs count when both rows
-    are of the same block where left = right, and of different blocks otherwise.
+    are of the same block where left = right, and of different blocks otherwise.  With ``size`` a row
+    counts as so many.
     """
-    large = cut_lineage(df.groupBy("cell").count().filter(F.col("count") > block_rows)
+    counted = F.sum(F.lit(1) if size is None else size).alias("count")
+    large = cut_lineage(df.groupBy("cell").agg(counted).filter(F.col("count") > block_rows)
                         .select("cell", F.ceil(F.col("count") / block_rows).cast("int").alias("blocks")))
     dealt = (df.join(lookup(large, large.count()), "cell", "left")
              .withColumn("blocks", F.coalesce("blocks", F.lit(1)))

@@ -6,8 +6,8 @@ meet in cells of equal segment popcounts, and the sets decide.  At a likeness of
 about 12 of 64 bits, which no cell of 64 bits finds for sure.  So what the grid has not linked
 meets once more by shingles, which is complete: in one order of all shingles, rare ones first,
 sets that are so alike share one of their first ``n - ceil(t * n) + 1`` shingles.  Among those that meet, sizes,
-the Manhattan distance of the segment popcounts (a lower bound) and the differing bits sort candidates
-out, nearest fingerprints are asked first, and again the sets decide.
+the Manhattan distance of the segment popcounts (a lower bound), the differing bits and the shingles shared sort
+candidates out, and again the sets decide.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodecat.llm.common import block_pairs, components, lookup, map_rows, pieces, release, texts, whole_partition
+from lodecat.llm.common import block_pairs, components, forest, longs, lookup, map_rows, pieces, release, texts, whole_partition
 from lodecat.llm.simhash import fingerprint, grid_links, popcounts, shingle_hashes
 from lodecat.session import cut_lineage
 
@@ -32,11 +32,11 @@ SAMPLE_ROWS, COMMON = 8_000, 100_000
 BITS = 28
 #: The grid's widest distance and its groups; more bits need more cells than there are rare shingles.
 DISTANCE, GROUPS = 5, 7
-#: Of the rest, each member of a cell first asks so many nearest ones, at most so many bits away.
-NEAREST, NEAR_BITS = 3, 16
-#: Thousands of shingles in a block of texts that are compared, blocks at least, and rows of a cell's block.
+#: Thousands of shingles in a block of texts that are compared, blocks at least, and rows of a family's block.
 CHUNK, BLOCKS, BLOCK_ROWS = 1024, 8, 1024
-#: Pairs that a task holds before it sends them on.
+#: Shingles in a block of a family's texts.
+BLOCK_SHINGLES = 1 << 17
+#: Pairs, or cells or shingles of pairs, that a task looks at in one go.
 HELD = 1 << 17
 
 
@@ -96,6 +96,12 @@ def _decide(words: int, likeness: float):
     return run
 
 
+def _texts(asked: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node``, ``text`` of the asked nodes, read again."""
+    own = cut_lineage(nodes.join(asked, "node", "left_semi").select("node", "doc_id", "mark"))
+    return cut_lineage(rows.join(lookup(own, own.count()), ["doc_id", "mark"]).select("node", "text").dropDuplicates(["node"]))
+
+
 def _alike(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, likeness: float) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are alike.
 
@@ -103,9 +109,8 @@ def _alike(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, like
     two blocks that hold a pair of it, however many pairs those are.
     """
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    own = cut_lineage(nodes.join(asked, "node", "left_semi").select("node", "doc_id", "mark", "n"))
-    count, size = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    text = cut_lineage(rows.join(lookup(own.drop("n"), count), ["doc_id", "mark"]).select("node", "text").dropDuplicates(["node"]))
+    size = nodes.join(asked, "node", "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    text = _texts(asked, rows, nodes)
     blocks = max(BLOCKS, math.ceil(size / (CHUNK * 1024)))
     i, j = (F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int") for c in ("a", "b"))
     dealt = pairs.select(F.least(i, j).alias("left"), F.greatest(i, j).alias("right"), "a", "b")
@@ -116,24 +121,24 @@ def _alike(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, like
     return cut_lineage(met.mapInArrow(_decide(words, likeness), "a long, b long"))
 
 
-def _needed(likeness: float) -> Column:
+def _needed(n: np.ndarray, m: np.ndarray, likeness: float) -> np.ndarray:
     """How many of their first shingles sets of n and m must share to be alike.
 
     Of what they share, all but the shingles after the first ones of one of them stands among the first ones of
     both, and those after are ``ceil(t * n) - 1`` of n.
     """
-    def up(x: Column) -> Column:
-        return F.ceil(x - 1e-9)
-    return up((F.col("n") + F.col("m")) * F.lit(likeness / (1 + likeness))) - up(F.greatest("n", "m") * F.lit(likeness)) + 1
+    def up(x: np.ndarray) -> np.ndarray:
+        return np.ceil(x - 1e-9)
+    return up((n + m) * (likeness / (1 + likeness))) - up(np.maximum(n, m) * likeness) + 1
 
 
 def _candidates(table: pa.Table, likeness: float, bits: int | None):
-    """The columns of a partition, then again and again the places (x, y) and differing bits of pairs of one dealt
-    cell that are not linked yet and may be alike by size and fingerprint; the Manhattan distance of the segments is asked
+    """The columns of a partition and its rows by place, then again and again the places (x, y) of pairs of one
+    dealt cell that are not linked yet and may be alike by size and fingerprint; the Manhattan distance of the segments is asked
     before the bits."""
     col = {c: table.column(c).to_numpy() for c in ("cell", "left", "right", "block", "node", "n", "fp", "root")}
     order = np.lexsort((col["n"], col["right"], col["left"], col["cell"]))
-    col = {c: v[order] for c, v in col.items()}
+    col = {c: v[order] for c, v in col.items()} | {"row": order}
     new = np.ones(len(order), bool)
     new[1:] = (col["cell"][1:] != col["cell"][:-1]) | (col["left"][1:] != col["left"][:-1]) | (col["right"][1:] != col["right"][:-1])
     group = np.cumsum(new)
@@ -154,80 +159,131 @@ def _candidates(table: pa.Table, likeness: float, bits: int | None):
         if bits is not None:
             ok = np.abs(grid[x] - grid[y]).sum(1, dtype=np.int16) <= bits
             x, y = x[ok], y[ok]
-        apart = np.bitwise_count(fp[x] ^ fp[y])
-        if bits is not None:
-            ok = apart <= bits
-            x, y, apart = x[ok], y[ok], apart[ok]
-        yield x, y, apart
-
-
-def _ordered(col: dict, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places with the smaller node first."""
-    swap = col["node"][x] > col["node"][y]
-    return np.where(swap, y, x), np.where(swap, x, y)
-
-
-def _nearest(likeness: float, bits: int):
-    """Of each member of each dealt cell, the pairs with its nearest ones."""
-    def best(held: list) -> tuple:
-        x, y, apart = (np.concatenate([h[k] for h in held]) for k in range(3))
-        own, other, far = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([apart, apart])
-        order = np.lexsort((other, far, own))
-        own = own[order]
-        first = np.r_[True, own[1:] != own[:-1]]
-        rank = np.arange(len(own)) - np.flatnonzero(first)[np.cumsum(first) - 1]
-        keep = np.unique(order[rank < NEAREST] % len(x))
-        return x[keep], y[keep], apart[keep]
-
+            ok = np.bitwise_count(fp[x] ^ fp[y]) <= bits
+            x, y = x[ok], y[ok]
+        yield x, y
+
+
+def _shared(table: pa.Table, rows: np.ndarray):
+    """Counts the ``cells`` that the rows at places x and y have in common, pair by pair."""
+    cells = table.column("cells").combine_chunks()
+    size = np.diff(cells.offsets.to_numpy()).astype(np.int64)
+    names, flat = np.unique(cells.flatten().to_numpy(), return_inverse=True)
+    place = np.empty(len(rows), np.int64)
+    place[rows] = np.arange(len(rows))
+    known = np.sort(np.repeat(place, size) * len(names) + flat)
+    start, size = (np.cumsum(size) - size)[rows], size[rows]
+
+    def count(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        end = np.cumsum(size[x])
+        first = end - size[x]
+        at = np.arange(end[-1]) + np.repeat(start[x] - first, size[x])
+        asked = np.repeat(y, size[x]) * len(names) + flat[at]
+        found = known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked
+        return np.add.reduceat(found, first, dtype=np.int64)
+    return count
+
+
+def _asked(likeness: float, bits: int | None):
+    """Of each dealt family, the members that have a candidate in it: each once, however many they are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = whole_partition(batches)
         if table is None:
             return
         found = _candidates(table, likeness, bits)
-        col, held, limit = next(found), [], HELD
-        for part in found:
-            held.append(part)
-            if sum(len(h[0]) for h in held) > limit:
-                held = [best(held)]
-                limit = HELD + len(held[0][0])
-        if sum(len(h[0]) for h in held):
-            x, y, _ = best(held)
-            x, y = _ordered(col, x, y)
-            pairs = np.unique(np.stack([col["node"][x], col["node"][y]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(2)], ["a", "b"])
-        del table, col, held, found
+        col = next(found)
+        count, asked = _shared(table, col["row"]), np.zeros(len(col["row"]), bool)
+        wide = max(1, int(table.column("wide").to_numpy().max()))
+        for x, y in found:
+            for at in range(0, len(x), max(1, HELD // wide)):
+                a, b = x[at:at + max(1, HELD // wide)], y[at:at + max(1, HELD // wide)]
+                ok = count(a, b) >= _needed(col["n"][a], col["n"][b], likeness)
+                asked[a[ok]] = asked[b[ok]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(col[c][asked]) for c in ("cell", "node")], ["cell", "node"])
+        del table, col, count, found
         release()
     return run
 
 
-def _meet(likeness: float, bits: int | None):
-    """All candidates of each dealt cell, with the cells they share here; given in parts."""
-    def counted(col: dict, held: list) -> pa.RecordBatch:
-        x, y = _ordered(col, *(np.concatenate([h[k] for h in held]) for k in range(2)))
-        found, times = np.unique(np.stack([col["node"][x], col["node"][y], col["n"][x], col["n"][y]], 1), axis=0, return_counts=True)
-        return pa.RecordBatch.from_arrays([*[pa.array(found[:, k]) for k in range(4)], pa.array(times)], ["a", "b", "n", "m", "times"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = whole_partition(batches)
-        if table is None:
-            return
-        found = _candidates(table, likeness, bits)
-        col, held = next(found), []
-        for part in found:
-            held.append(part)
-            if sum(len(h[0]) for h in held) > HELD:
-                yield counted(col, held)
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each dealt family, one after the other, of rows sorted by family."""
+    key, held = None, []
+    for batch in pieces(batches):
+        own = np.stack([longs(batch, c).astype(np.int64) for c in ("cell", "left", "right")], 1)
+        cuts = [0, *(np.flatnonzero((own[1:] != own[:-1]).any(1)) + 1).tolist(), len(own)]
+        for at, to in zip(cuts, cuts[1:]):
+            if held and tuple(own[at]) != key:
+                yield pa.Table.from_batches(held)
                 held = []
-        if held:
-            yield counted(col, held)
-        del table, col, held, found
+            key = tuple(own[at])
+            held.append(batch.slice(at, to - at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _forest(table: pa.Table, words: int, likeness: float) -> list[tuple[int, int]]:
+    """Links between members of one dealt family whose sets are alike; none inside what is linked."""
+    sets = [shingle_set(t, words) for t in table.column("text").to_pylist()]
+    n = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(n, kind="stable")
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(n)
+    own, n = [flat[ends[k] - n[k]:ends[k]] for k in order], n[order]
+    node, block = longs(table, "node")[order], longs(table, "block")[order]
+    split = bool((longs(table, "left") != longs(table, "right"))[0])
+    _, first, root = np.unique(longs(table, "root")[order], return_index=True, return_inverse=True)
+    parent, mark, out = first[root], np.zeros(len(flat), bool), []
+    for x in range(len(n) - 1):
+        y = np.arange(x + 1, np.searchsorted(n, n[x] / likeness + 1e-6, side="right"))
+        y = y[parent[y] != parent[x]]
+        if split:
+            y = y[block[y] != block[x]]
+        mark[own[x]] = True
+        while len(y):  # in parts of bounded size; who gets linked meanwhile is not asked
+            part = y[:max(1, int(np.searchsorted(np.cumsum(n[y]), HELD)))]
+            both = np.add.reduceat(mark[np.concatenate([own[k] for k in part])], np.cumsum(n[part]) - n[part], dtype=np.int64)
+            alike = part[both >= likeness * (n[x] + n[part] - both) - 1e-9]
+            parent, used = forest(len(n), np.full(len(alike), x), alike, parent)
+            out += [(int(node[x]), int(node[k])) for k in alike[used]]
+            y = y[len(part):]
+            y = y[parent[y] != parent[x]]
+        mark[own[x]] = False
+    return out
+
+
+def _linked(words: int, likeness: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            out = _forest(table, words, likeness)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(2)], ["a", "b"])
         release()
     return run
 
 
-def _mixed(cells: DataFrame, links: DataFrame) -> DataFrame:
+def _families(rest: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, likeness: float, bits: int | None) -> DataFrame:
+    """Links that join what is alike among the rows of ``rest``, complete, and no more than a forest of each dealt family.
+
+    The cells of one smallest node are one family: near copies share most of their cells, so a member stands in a
+    few families, not in each of its cells, and pairs meet where the sets are, not as rows.  A member is told with all its
+    cells, so a family sees how many a pair shares; texts go to the members that have a candidate there.
+    """
+    least = rest.groupBy("cell").agg(F.min("node").alias("family"))
+    own = rest.groupBy("node").agg(F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("root").alias("root"), F.collect_list("cell").alias("cells"))
+    member = rest.join(least, "cell").select(F.col("family").alias("cell"), "node").distinct()
+    told = cut_lineage(member.join(own.withColumn("wide", F.size("cells")), "node"))
+    dealt = block_pairs(told, "node", BLOCK_ROWS, F.ceil(F.col("wide") / 64)).repartition("cell", "left", "right")
+    asked = cut_lineage(dealt.mapInArrow(_asked(likeness, bits), "cell long, node long").distinct())
+    text = _texts(asked.select("node").distinct(), rows, nodes)
+    ready = told.select("cell", "node", "n", "root").join(asked, ["cell", "node"])
+    dealt = block_pairs(cut_lineage(ready), "node", BLOCK_SHINGLES, F.col("n")).join(text, "node")
+    dealt = dealt.repartition("cell", "left", "right").sortWithinPartitions("cell", "left", "right")
+    return cut_lineage(dealt.mapInArrow(_linked(words, likeness), "a long, b long"))
+
+
+def _mixed(cells: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of those cells that hold nodes not linked with each other yet, with their ``root``."""
-    rooted = cells.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = cells.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("cell")
     return cut_lineage(rooted.join(mixed, "cell", "left_semi"))
 
@@ -239,9 +295,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are nodes, not ids: rows that share an id, or have none, are linked only by their texts.
     Texts of equal sets are one node; a text of fewer words is one shingle; texts without words are
-    one node.  First fingerprints meet in the grid of ``simhash``, where each group sends on a spanning forest; then
-    each member of a cell of rare shingles meets its nearest ones.  What is linked by then is not compared again, and the
-    rest of each cell meets in full, in blocks, so large groups of copies cost no square.
+    one node.  First fingerprints meet in the grid of ``simhash``, where each group sends on a spanning forest.  What is
+    linked by then is not compared again, and the rest meets in full, in families of cells and in blocks, inside tasks:
+    candidates and pairs that turn out unlike make no rows, so large groups of copies cost no square of rows.
     Pairs count the cells that they share; too few, and the sets cannot be alike.
     With ``bits`` None no fingerprint sorts out candidates, and links are exact in every case; else a
     pair at the threshold is missed if its fingerprints differ in more bits, one in some million.
@@ -265,20 +321,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
     same = nodes.join(prints, "fp").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     near = grid_links(prints, DISTANCE, GROUPS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = _alike(cut_lineage(near.union(same)), rows, nodes, words, likeness)
+    roots = components(_alike(cut_lineage(near.union(same)), rows, nodes, words, likeness))
     cells = named.select("node", F.explode("cells").alias("cell"))
     tops = cells.groupBy("cell").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("cell")
     shared = cells.join(tops, "cell").select("cell", "node").distinct()
-    rest = _mixed(shared.join(nodes.select("node", "n", "fp"), "node"), links)
-
-    def dealt(cells: DataFrame) -> DataFrame:
-        return block_pairs(cells, "node", BLOCK_ROWS).repartition("cell", "left", "right")
-    first = dealt(rest).mapInArrow(_nearest(likeness, NEAR_BITS if bits is None else min(bits, NEAR_BITS)), "a long, b long").distinct()
-    links = links.union(_alike(cut_lineage(first), rows, nodes, words, likeness))
-    rest = _mixed(rest.drop("root"), links)
-    met = dealt(rest).mapInArrow(_meet(likeness, bits), "a long, b long, n long, m long, times long")
-    left = met.groupBy("a", "b", "n", "m").agg(F.sum("times").alias("times")).filter(F.col("times") >= _needed(likeness)).select("a", "b")
-    more = _alike(cut_lineage(left), rows, nodes, words, likeness)
-    final = components(links.union(more))
+    rest = _mixed(shared.join(nodes.select("node", "n", "fp"), "node"), roots)
+    more = _families(rest, rows, nodes, words, likeness, bits)
+    final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     return named.select("doc_id", "mark", "node").join(final, "node", "left").select(
         "doc_id", "mark", F.coalesce("root", "node").alias("component"))

@@ -114,3 +114,33 @@ def test_stage_asks_the_grid_of_fingerprints_first(spark, monkeypatch):
     monkeypatch.setattr(likeness, "grid_links", held)
     assert len({x["component"] for x in likeness.near_copies(rows).collect()}) == 1
     assert found[0] >= len(texts) - 1
+
+
+def test_candidates_that_are_unlike_make_no_rows_of_pairs(spark, monkeypatch):
+    r = random.Random(3)
+    base, texts = [f"b{i}" for i in range(150)], []
+    for k in range(240):  # some are alike; most share their rare shingles and are not quite alike
+        copy = list(base)
+        for _ in range(r.randint(5, 7) if k % 4 else 2):
+            copy[r.randrange(150)] = f"w{r.randrange(10_000)}"
+        texts.append(" ".join(copy))
+    rows, made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), []
+    frame, given = type(rows), type(rows).mapInArrow
+
+    def counted(df, run, schema, *more):
+        out = given(df, run, schema, *more)
+        if {"left", "right"} <= set(df.columns):
+            made.append(out.count())
+        return out
+    want = roots(texts)
+    for rows_of, shingles in ((likeness.BLOCK_ROWS, 1 << 17), (50, 3000)):
+        monkeypatch.setattr(likeness, "BLOCK_ROWS", rows_of)
+        monkeypatch.setattr(likeness, "BLOCK_SHINGLES", shingles, raising=False)
+        with monkeypatch.context() as m:
+            if rows_of > 50:
+                m.setattr(frame, "mapInArrow", counted)
+            got = {}
+            for x in likeness.near_copies(rows).collect():
+                got.setdefault(x["component"], []).append(x["doc_id"])
+        assert {i: min(g) for g in got.values() for i in g} == want
+    assert len(texts) < sum(made) < 25 * len(texts), made
