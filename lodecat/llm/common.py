@@ -142,26 +142,37 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(names[own]), pa.array(names[parent[own]])], ["a", "b"])
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of edges dealt by their larger end the stars of what they join here; ``moved`` where edges were others before."""
+    table = whole_partition(batches)
+    if table is None:
+        return
+    a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent, _ = forest(len(names), at[:len(a)], at[len(a):])
+    moved = bool(table.column("moved").to_numpy().any() or (parent[at[:len(a)]] != at[len(a):]).any())
+    own = np.flatnonzero(parent != np.arange(len(names)))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(names[own]), pa.array(names[parent[own]]), pa.array(np.full(len(own), moved))], ["a", "b", "moved"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root``: the smallest node reachable along edges (a, b), for nodes with an edge.
 
-    Edges first shrink to stars inside each batch, then large-star and small-star steps
-    alternate until nothing changes.  Only edges move; each step is a checkpoint, so a lost
-    executor costs one step.
+    Edges first shrink to stars inside each batch, then two steps alternate until nothing changes.  Large star: the
+    lesser end of each edge gives way to its own least neighbour.  Small star: edges are dealt by their larger end, and
+    what a task joins becomes stars.  A node is the larger end of one edge from each batch or task at most, so no
+    node is hot in that shuffle.  Only edges move, and never get more; a round is two shuffles and a checkpoint, so a
+    lost executor costs one round.
     """
     narrow = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
-    now = cut_lineage(narrow.mapInArrow(_stars, "a long, b long")
-                      .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+    now = narrow.mapInArrow(_stars, "a long, b long").withColumn("moved", F.lit(True))
+    now = cut_lineage(now.repartition("a").mapInArrow(_joined, "a long, b long, moved boolean"))
     while True:
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
-        if tuple(seen) == mark or not seen[0]:
+        count, moved = now.agg(F.count(F.lit(1)), F.max("moved")).first()
+        if not moved:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = tuple(seen)
-        both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.greatest("b", "m").alias("x"), "m").filter("x <> m")
-        now = cut_lineage(small.select(F.col("x").alias("a"), F.col("m").alias("b"))
-                          .union(low.select("a", F.col("m").alias("b"))).distinct())
+        least = now.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "at")
+        large = now.join(lookup(least, count), F.col("b") == F.col("at"), "left").select(
+            "a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("moved"))
+        now = cut_lineage(large.repartition("a").mapInArrow(_joined, "a long, b long, moved boolean"))
