@@ -161,8 +161,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Edges first shrink to stars inside each batch, then two steps alternate until nothing changes.  Large star: the
     lesser end of each edge gives way to its own least neighbour.  Small star: edges are dealt by their larger end, and
-    what a task joins becomes stars.  A node is the larger end of one edge from each batch or task at most, so no
-    node is hot in that shuffle.  Only edges move, and never get more; a round is two shuffles and a checkpoint, so a
+    what a task joins becomes stars.  A node is the larger end of one edge from each batch or task at most, so
+    their number bounds what it brings to a task.  Only edges move, and never get more; a round is two shuffles and a checkpoint, so a
     lost executor costs one round.
     """
     narrow = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
