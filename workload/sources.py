@@ -107,11 +107,12 @@ def s3(spark, sf):
 
 
 def paper_documents(spark, sf):
+    """Every other summary lands its abstract, whatever that holds; the rest have no such field."""
     df = table(spark, sf, "papers")
-    item = F.to_json(F.struct(
-        "title", F.when(c("pos") % 2 == 1, c("abstract")).alias("abstract"), c("journal").alias("fulljournalname"),
-        lit("2021").alias("pubdate"),
-        F.array(F.struct(lit("Ann").alias("name")), F.struct(lit("Bo").alias("name"))).alias("authors")))
+    item = [c("title"), c("journal").alias("fulljournalname"), lit("2021").alias("pubdate"),
+            F.array(F.struct(lit("Ann").alias("name")), F.struct(lit("Bo").alias("name"))).alias("authors")]
+    item = F.when(c("pos") % 2 == 0, F.to_json(F.struct(*item))).otherwise(
+        F.to_json(F.struct(*item, "abstract"), {"ignoreNullFields": "false"}))
     body = F.concat(lit('{"result": {"uids": [], "'), c("pmid"), lit('": '), item, lit("}}"))
     return doc(df, body, c("pmid"))
 
