@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.test_round3 import SF, tables, verdict
 
 
-@pytest.mark.parametrize("name", ["s3_pubmed_files"])
+@pytest.mark.parametrize("name", ["s3_pubmed_files", "s3_pubmed_summaries"])
 def test_landed_abstracts_stay_as_they_are(spark, tmp_path, name):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     text = F.when(F.col("doc_id") % 10 == 1, "").when(F.col("doc_id") % 10 == 3, F.lit(None)).when(F.col("doc_id") == 5, F.repeat(F.lit("ab "), 7_000_000)).otherwise(F.col("text"))
