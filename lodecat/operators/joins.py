@@ -16,7 +16,7 @@ from lodecat.functions.parse import accession_type
 from lodecat.functions.text import distinct_ignoring_case
 from lodecat.operators.matching import resolve_alias
 from lodecat.operators.order import one_per_key, top_per_key
-from lodecat.session import cut_lineage
+from lodecat.session import cut_lineage, measured_joins
 
 VIEW_FIELDS = ["title", "organism", "sample_count", "omics_type", "omics_granularity",
                "platform", "availability_status", "access_type"]
@@ -133,22 +133,30 @@ def descendants(nodes: DataFrame, edges: DataFrame, deepest: int | None = None)
     return _walk(nodes, edges.select(F.col("parent").alias("at"), F.col("child").alias("next")), deepest)
 
 
+#: Asked names up to this number are sent to every task.
+FEW_NAMES = 50_000
+
+
 def _walk(nodes: DataFrame, step: DataFrame, deepest: int | None) -> DataFrame:
     """All relatives up to depth n are known exactly, then up to 2n: whoever is farther than n passes
     through a relative at n, so only those at n are joined on.  One job and one checkpoint a doubling;
-    rows grow to the relatives of all names, not of ``nodes`` alone."""
-    reach = cut_lineage(step.filter("at <> next").distinct().withColumn("depth", F.lit(1)))
-    reached = 1
-    while deepest is None or reached < deepest:
-        far = reach.filter(F.col("depth") == reached)
-        if far.isEmpty():
-            break
-        further = (far.select("at", F.col("next").alias("via")).join(reach.select(F.col("at").alias("via"), "next", "depth"), "via")
-                   .select("at", "next", (F.col("depth") + reached).alias("depth")).filter("at <> next"))
-        reach = cut_lineage(reach.unionByName(further).groupBy("at", "next").agg(F.min("depth").alias("depth")))
-        reached *= 2
+    rows grow to the relatives of all names, not of ``nodes`` alone.  Tables of names are broadcast by their
+    measured size, so the driver holds no more of a large vocabulary than of a small one."""
+    with measured_joins(step.sparkSession):
+        reach = cut_lineage(step.filter("at <> next").distinct().withColumn("depth", F.lit(1)))
+        reached = 1
+        while deepest is None or reached < deepest:
+            far = reach.filter(F.col("depth") == reached)
+            if far.isEmpty():
+                break
+            further = (far.select("at", F.col("next").alias("via")).join(reach.select(F.col("at").alias("via"), "next", "depth"), "via")
+                       .select("at", "next", (F.col("depth") + reached).alias("depth")).filter("at <> next"))
+            reach = cut_lineage(reach.unionByName(further).groupBy("at", "next").agg(F.min("depth").alias("depth")))
+            reached *= 2
+        asked = nodes.select(F.col("node").alias("at")).distinct()
+        few = asked.limit(FEW_NAMES + 1).count() <= FEW_NAMES
     found = reach if deepest is None else reach.filter(F.col("depth") <= deepest)
-    return nodes.select(F.col("node").alias("at")).distinct().join(found, "at").select(
+    return (F.broadcast(asked) if few else asked.hint("merge")).join(found, "at").select(
         F.col("at").alias("node"), F.col("next").alias("relative"), "depth")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,6 +79,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             spark.conf.set(CLEANUP, before)
 
 
+#: Largest table that is broadcast, by the planner's estimate and by the size that shuffles measure.
+ESTIMATED, MEASURED = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+
+
+@contextmanager
+def measured_joins(spark: SparkSession) -> Iterator[None]:
+    """Joins that are run inside broadcast a table by its measured size alone.
+
+    The estimate starts from the length of files, and names that are read out of packed files take many
+    times that, in the driver too; a broadcast once planned is not taken back.
+    """
+    before = {k: spark.conf.get(k, None) for k in (ESTIMATED, MEASURED)}
+    spark.conf.set(MEASURED, before[MEASURED] or spark.conf.get(ESTIMATED))
+    spark.conf.set(ESTIMATED, "-1")
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 SPLIT_BYTES = 128 * 1024 * 1024
 PIECE_BYTES = 8 * 1024 * 1024
 

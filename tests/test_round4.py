@@ -12,3 +12,26 @@ def test_landed_abstracts_stay_as_they_are(spark, tmp_path, name):
     text = F.when(F.col("doc_id") % 10 == 1, "").when(F.col("doc_id") % 10 == 3, F.lit(None)).when(F.col("doc_id") == 5, F.repeat(F.lit("ab "), 7_000_000)).otherwise(F.col("text"))
     odd = docs.withColumn("text", text).withColumn("doc_id", F.when(F.col("doc_id") == 7, F.lit(-7)).otherwise(F.col("doc_id")))
     assert verdict(spark, tables(spark, tmp_path, documents=odd), name).startswith(f"ok {docs.count()} ")
+
+
+@pytest.mark.parametrize("name", ["j13_alias_parents", "j13_hierarchy"])
+def test_names_are_broadcast_by_measured_size(spark, monkeypatch, name):
+    import workload
+    from lodecat.operators import joins
+    plans = []
+
+    def run(df):
+        got = df.select("*")
+        got.collect()
+        plans.append(got._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(joins, "cut_lineage", lambda df, own=joins.cut_lineage: own(run(df)))
+    monkeypatch.setattr(joins, "FEW_NAMES", 100, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "150KB")  # the files are estimated smaller, the names take more
+    try:
+        run(workload.QUERIES[name](spark, "/root/testdata/sf0.1"))
+        assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "150KB"
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) > 4 and not any("BroadcastExchange" in p for p in plans)
