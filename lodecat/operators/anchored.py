@@ -104,11 +104,24 @@ def word_hits(df: DataFrame, key: str, text: Column, terms: DataFrame) -> DataFr
     return unit_hits(df, key, F.split(squash(text), RUNS), _runs_of(terms), "")
 
 
+def _runs_of_signs(text: Column, terms: DataFrame, shortest: int) -> Column:
+    """The parts of a text that are long enough for a term, each once.
+
+    Parts end at signs that no term has, told for the 128 first; so a term stands in one part, whole.
+    """
+    signs = terms.select(F.explode(F.array_distinct(F.split("term", ""))).alias("sign")).filter("sign <> '' and ascii(sign) < 128")
+    used = {ord(r[0]) for r in signs.distinct().collect()}  # 128 at most
+    ends = "".join(rf"\x{n:02x}" for n in range(128) if n not in used)
+    sign = f"[^{ends}]" if ends else r"[\s\S]"
+    return F.array_distinct(F.regexp_extract_all(blank(text), F.lit(f"{sign}{{{shortest}}}{sign}*"), F.lit(0)))
+
+
 def substring_places(df: DataFrame, key: str, text: Column, terms: DataFrame) -> DataFrame:
     """(key, term): strings of the text that may be terms; none that is one is left out, some come often.
 
-    ``terms`` has terms that are not empty, and is read some times.  A place is told by the head of the terms that
-    start there; where a head stands, the strings of the lengths that terms have are looked up as a whole.  Texts are
+    ``terms`` has terms that are not empty, and is read some times.  Texts fall into the runs of signs that terms have, and a
+    run that comes again in a text is passed over.  A place is told by the head of the terms that
+    start there; where a head stands, the strings of the lengths that terms have are looked up as a whole.  Runs are
     cut into pieces first, so that a place is found from the start of its piece.
     """
     listed = terms.select("term", F.length("term").alias("width"), F.substring("term", 1, HEAD).alias("head"))
@@ -116,15 +129,21 @@ def substring_places(df: DataFrame, key: str, text: Column, terms: DataFrame) ->
     if not widths:
         return df.select(key).limit(0).withColumn("term", F.lit(""))
     step = max(64, widths[-1])
-    pieces = F.regexp_extract_all(blank(text), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
-    cut = df.select(key, pieces.alias("_p")).select(key, "_p", F.posexplode_outer("_p").alias("_i", "_own"))
+    runs = df.select(key, _runs_of_signs(text, terms, widths[0]).alias("_r")).select(key, F.explode_outer("_r").alias("_run")).filter("_run is not null")
+    pieces = F.when(F.length("_run") <= step, F.array("_run")).otherwise(F.regexp_extract_all("_run", F.lit(f"(?s).{{1,{step}}}"), F.lit(0)))
+    cut = runs.select(key, pieces.alias("_p")).select(key, "_p", F.posexplode_outer("_p").alias("_i", "_own"))
     wide = cut.select(key, F.concat("_own", F.coalesce(F.get("_p", F.col("_i") + 1), F.lit(""))).alias("_ahead"), F.length("_own").alias("_n"))
-    places = wide.select(key, "_ahead", F.explode_outer(F.sequence(F.lit(1), F.col("_n"))).alias("_at"))
-    starts = lambda n: F.substring("_ahead", F.col("_at"), F.lit(n))
+    long = wide.withColumn("_len", F.length("_ahead")).withColumn("_last", F.least("_n", F.col("_len") - widths[0] + 1))  # behind it no term has room
+    places = long.filter("_last > 0").select(key, "_ahead", "_len", F.explode_outer(F.sequence(F.lit(1), F.col("_last"))).alias("_at"))
+    starts = lambda n: F.when(F.col("_at") + (n - 1) <= F.col("_len"), F.substring("_ahead", F.col("_at"), F.lit(n)))
     sizes = sorted({min(w, HEAD) for w in widths})
-    heads = places.select(key, "_ahead", "_at", F.explode(F.array(*[F.struct(starts(n).alias("head"), F.lit(n).alias("size")) for n in sizes])).alias("h"))
-    headed = keep_known(heads.select(key, "_ahead", "_at", "h.head", "h.size"), "head", listed.select("head").distinct(), "head")
-    each = headed.select(key, F.explode(F.array(*[F.when((F.col("size") == min(w, HEAD)) & (F.length(starts(w)) == w), starts(w)) for w in widths])).alias("term"))
+    if len(sizes) == 1:
+        heads = places.withColumns({"head": starts(sizes[0]), "size": F.lit(sizes[0])})
+    else:
+        heads = places.select("*", F.explode(F.array(*[F.struct(starts(n).alias("head"), F.lit(n).alias("size")) for n in sizes])).alias("h")).select(
+            key, "_ahead", "_len", "_at", "h.*")
+    headed = keep_known(heads, "head", listed.select("head").distinct(), "head")
+    each = headed.select(key, F.explode(F.array(*[F.when(F.col("size") == min(w, HEAD), starts(w)) for w in widths])).alias("term"))
     return keep_known(each, "term", listed, "term")
 
 
