@@ -56,7 +56,7 @@ def generated(df):
     return max(found)
 
 
-@pytest.mark.parametrize("rule", ["all", "longest"])
+@pytest.mark.parametrize("rule", ["all", "longest", "first"])
 @pytest.mark.parametrize("odd", ["", "é", "-", "\U0001f600"])
 def test_places_are_runs_with_room_for_a_term(spark, rule, odd):
     import random
